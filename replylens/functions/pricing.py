@@ -24,9 +24,17 @@ _FIELDS = (
 )
 
 
-def _entry(row: Sequence, source: str) -> Column:
-    fields = [F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, _FIELDS)]
-    return F.struct(*fields, F.lit(source).alias("price_source"))
+def _sql(value: object, kind: str) -> str:
+    if value is None:
+        return f"CAST(NULL AS {kind})"
+    if kind == "string":
+        return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"CAST({value} AS {kind})"
+
+
+def _entry(row: Sequence, source: str) -> str:
+    fields = [f"'{name}', {_sql(value, kind)}" for value, (name, kind) in zip(row, _FIELDS)]
+    return f"named_struct({', '.join(fields)}, 'price_source', '{source}')"
 
 
 def price_of(model: Column, prices: Sequence[Sequence] = PRICES) -> Column:
@@ -34,11 +42,12 @@ def price_of(model: Column, prices: Sequence[Sequence] = PRICES) -> Column:
 
     An equal key wins. Otherwise the first row in list order whose key starts
     the id, or starts with the id's first two dash-separated parts. Otherwise
-    the default row.
+    the default row. The tables are built as SQL text, which is parsed in one go
+    and folded into constants.
     """
-    by_key = F.create_map(*[part for row in prices for part in (F.lit(row[0]), _entry(row, "exact"))])
-    in_order = F.array(*[_entry(row, "prefix") for row in prices])
-    default = next(_entry(row, "default") for row in prices if row[0] == DEFAULT_PRICE_KEY)
+    by_key = F.expr(f"map({', '.join(_sql(row[0], 'string') + ', ' + _entry(row, 'exact') for row in prices)})")
+    in_order = F.expr(f"array({', '.join(_entry(row, 'prefix') for row in prices)})")
+    default = F.expr(next(_entry(row, "default") for row in prices if row[0] == DEFAULT_PRICE_KEY))
     family = F.substring_index(model, "-", 2)
     fits = F.filter(in_order, lambda p: model.startswith(p["key"]) | p["key"].startswith(family))
     return F.coalesce(F.try_element_at(by_key, model), F.get(fits, F.lit(0)), default)

@@ -22,6 +22,8 @@ from replylens.session import durable, join_bounded
 TEXT_BLOCK = 48
 # Key sets per block: a tile is one matrix product of this size.
 KEY_SET_BLOCK = 1024
+# Distinct keys held in one matrix at a time, however many a tile has.
+KEY_COLUMNS = 4096
 # Copies of a text are merged within this many positions (2**17), which bounds
 # the position list a row can carry.
 COPY_BITS = 17
@@ -121,23 +123,40 @@ def format_consistency(replies: DataFrame, keys: Sequence[str] = ("model",), tex
     return counts.join(sums, group).select(*group, mean.alias("format_consistency"))
 
 
+def _shared_keys(first: pd.Series, second: pd.Series) -> np.ndarray:
+    """Number of common keys of every set in `first` with every set in `second`."""
+    codes: dict[str, int] = {}
+    sides = []
+    for side in (first, second):
+        rows = np.repeat(np.arange(len(side)), [len(keys) for keys in side])
+        columns = np.array([codes.setdefault(k, len(codes)) for keys in side for k in keys], dtype=np.int64)
+        sides.append((rows, columns, len(side)))
+    shared = np.zeros((len(first), len(second)))
+    for start in range(0, len(codes), KEY_COLUMNS):
+        parts = []
+        for rows, columns, n in sides:
+            inside = (columns >= start) & (columns < start + KEY_COLUMNS)
+            part = np.zeros((n, min(KEY_COLUMNS, len(codes) - start)))
+            part[rows[inside], columns[inside] - start] = 1
+            parts.append(part)
+        shared += parts[0] @ parts[1].T
+    return shared
+
+
 def _key_set_kernel(rows: pd.DataFrame) -> float:
     """Weighted sum of the Jaccard index of key sets over the pairs of one tile."""
-    names = {k: i for i, k in enumerate(sorted({k for keys in rows["json_keys"] for k in keys}))}
-    holds = np.zeros((len(rows), len(names)))
-    for r, keys in enumerate(rows["json_keys"]):
-        holds[r, [names[k] for k in keys]] = 1
-    sizes = holds.sum(axis=1)
-    copies = rows["copies"].to_numpy(dtype=float)
-    low = rows["tile_low"].iat[0]
-    diagonal = low == rows["tile_high"].iat[0]
-    first = np.ones(len(rows), dtype=bool) if diagonal else (rows["block"] == low).to_numpy()
-    second = first if diagonal else ~first
-    shared = holds[first] @ holds[second].T
-    jaccard = shared / (sizes[first][:, None] + sizes[second][None, :] - shared)
-    total = float(copies[first] @ jaccard @ copies[second])
+    low, high = rows["tile_low"].iat[0], rows["tile_high"].iat[0]
+    first = rows[rows["block"] == low]
+    second = rows[rows["block"] == high]
+    if len(first) == 0 or len(second) == 0:
+        return 0.0
+    shared = _shared_keys(first["json_keys"], second["json_keys"])
+    sizes = [side["json_keys"].map(len).to_numpy(dtype=float) for side in (first, second)]
+    jaccard = shared / (sizes[0][:, None] + sizes[1][None, :] - shared)
+    copies = [side["copies"].to_numpy(dtype=float) for side in (first, second)]
+    total = float(copies[0] @ jaccard @ copies[1])
     # On the diagonal each pair is met twice, and each reply once with itself.
-    return (total - float(copies[first].sum())) / 2 if diagonal else total
+    return (total - float(copies[0].sum())) / 2 if low == high else total
 
 
 def structure_consistency(
