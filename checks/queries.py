@@ -82,7 +82,7 @@ def cost_tiered(spark, sf_dir):
 
 @query
 def cost_by_model(spark, sf_dir):
-    return rounded(run_log(spark, sf_dir).groupBy("model").agg(F.sum("cost").alias("total_cost")), 4)
+    return rounded(run_log(spark, sf_dir).groupBy("model").agg(F.sum("cost").alias("total_cost")), 3)
 
 
 # statistics

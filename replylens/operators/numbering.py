@@ -12,7 +12,7 @@ SLICE_BITS = 18
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], pos: str = "pos", name: str = "row_number", total: str | None = None
+    df: DataFrame, keys: Sequence[str], pos: str = "pos", name: str = "review_number", total: str | None = None
 ) -> DataFrame:
     """Number rows 1..n per group in order of `pos`, optionally with n itself.
 
