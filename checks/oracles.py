@@ -36,7 +36,7 @@ def strip(column: str) -> str:
 
 
 def words(column: str) -> str:
-    return f"len(list_filter(regexp_split_to_array({column}, '{BLANK}+'), w -> w <> ''))"
+    return f"len(list_filter(regexp_split_to_array({column}, '{BLANK}+'), lambda w: w <> ''))"
 
 
 def with_ctes(*ctes: str, select: str) -> str:
@@ -223,8 +223,8 @@ ORACLES: dict[str, str] = {
           CAST(r.output AS DOUBLE) AS output, count(*) AS calls
           FROM log l JOIN resolved r ON l.model = r.model GROUP BY ALL""",
     ),
-    "cost_flat": with_ctes(*COSTED, select="SELECT pos, round(cost, 8) AS cost FROM priced WHERE thr IS NULL"),
-    "cost_tiered": with_ctes(*COSTED, select="SELECT pos, round(cost, 8) AS cost FROM priced WHERE thr IS NOT NULL"),
+    "cost_flat": with_ctes(*COSTED, select="SELECT pos, round(cost, 10) AS cost FROM priced WHERE thr IS NULL"),
+    "cost_tiered": with_ctes(*COSTED, select="SELECT pos, round(cost, 10) AS cost FROM priced WHERE thr IS NOT NULL"),
     "cost_by_model": with_ctes(
         *COSTED, select="SELECT model, round(sum(cost), 3) AS total_cost FROM priced GROUP BY model"
     ),
@@ -285,7 +285,7 @@ ORACLES: dict[str, str] = {
         *COSTED,
         select=f"""SELECT model, row_number() OVER (PARTITION BY model ORDER BY pos) AS review_number,
           review AS review_text, prompt AS prompt_sent, response, success, prompt_tokens + completion_tokens AS tokens,
-          round(cost, 8) AS cost, latency, {response_cost('cost')} AS cost_text,
+          round(cost, 10) AS cost, latency, {response_cost('cost')} AS cost_text,
           format('{{:.2f}} seconds', latency) AS latency_text FROM priced""",
     ),
     "sample_response": with_ctes(
@@ -470,8 +470,8 @@ ORACLES: dict[str, str] = {
     # scoring
     "score_stub": with_ctes(
         RUN, STUB, PRICE, RESOLVED, PRICED,
-        select="""SELECT model, pos, model AS called_model, success, response, round(prompt_tokens, 6) AS prompt_tokens,
-          completion_tokens, round(prompt_tokens + completion_tokens, 6) AS total_tokens, round(cost, 6) AS cost,
+        select="""SELECT model, pos, model AS called_model, success, response, round(prompt_tokens, 10) AS prompt_tokens,
+          completion_tokens, round(prompt_tokens + completion_tokens, 10) AS total_tokens, round(cost, 10) AS cost,
           CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '...' ELSE text END AS review_preview
           FROM priced""",
     ),

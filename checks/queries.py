@@ -71,13 +71,13 @@ def price_resolution(spark, sf_dir):
 @query
 def cost_flat(spark, sf_dir):
     log = run_log(spark, sf_dir).filter(F.col("price.tier_threshold").isNull())
-    return log.select("pos", F.round("cost", 8).alias("cost"))
+    return log.select("pos", F.round("cost", 10).alias("cost"))
 
 
 @query
 def cost_tiered(spark, sf_dir):
     log = run_log(spark, sf_dir).filter(F.col("price.tier_threshold").isNotNull())
-    return log.select("pos", F.round("cost", 8).alias("cost"))
+    return log.select("pos", F.round("cost", 10).alias("cost"))
 
 
 @query
@@ -241,7 +241,7 @@ def priced_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def all_responses(spark, sf_dir):
     table = report.all_responses(priced_responses(spark, sf_dir), texts=True)
-    return table.withColumn("cost", F.round("cost", 8))
+    return table.withColumn("cost", F.round("cost", 10))
 
 
 @query
@@ -626,29 +626,32 @@ def _no_sleep(_: float) -> None:
     return None
 
 
+# the usual policies, without waiting between attempts
+RETRIES = {
+    "anthropic": scoring.Retry(on=(scoring.CallTimeout, scoring.ServerError), sleep=_no_sleep),
+    "google": scoring.Retry(on=(Exception,), sleep=_no_sleep),
+}
+
+
 @query
 def score_stub(spark, sf_dir):
-    scored = scoring.score(reviews(spark, sf_dir), RUN_MODELS, TEMPLATE, _count_letters)
+    scored = scoring.score(reviews(spark, sf_dir), RUN_MODELS, TEMPLATE, _count_letters, RETRIES)
     return rounded(
         scored.select("model", "pos", "called_model", "success", "response", "prompt_tokens", "completion_tokens",
-                      "total_tokens", "cost", "review_preview")
+                      "total_tokens", "cost", "review_preview"), 10
     )
 
 
 @query
 def score_retries(spark, sf_dir):
-    retries = {
-        "anthropic": scoring.Retry(on=(scoring.CallTimeout, scoring.ServerError), sleep=_no_sleep),
-        "google": scoring.Retry(on=(Exception,), sleep=_no_sleep),
-    }
     # position in the prompt keeps copies of a text apart
     numbered = reviews(spark, sf_dir).withColumn("review", F.concat(F.col("pos").cast("string"), F.lit(" "), "review"))
-    scored = scoring.score(numbered, RUN_MODELS, "{review}", _Flaky(), retries)
+    scored = scoring.score(numbered, RUN_MODELS, "{review}", _Flaky(), RETRIES)
     return scored.select("model", "pos", "success", "response", "completion_tokens")
 
 
 @query
 def score_written(spark, sf_dir):
-    scored = scoring.score(reviews(spark, sf_dir), RUN_MODELS, TEMPLATE, _count_letters, concurrency=16)
+    scored = scoring.score(reviews(spark, sf_dir), RUN_MODELS, TEMPLATE, _count_letters, RETRIES, concurrency=16)
     stored = sinks.write_responses(scored, scratch_path(spark, "responses"))
     return rounded(stats.run_stats(stored).drop("average_latency"))
