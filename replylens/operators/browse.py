@@ -8,14 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from replylens.operators.numbering import first_rows, number_rows
+from replylens.session import join_bounded
 
 RUN_LIMIT = 100
 PAGE_SIZE = 10
 
 
 def limit_reviews(reviews: DataFrame, n: int = RUN_LIMIT, keys: Sequence[str] = ("source",)) -> DataFrame:
-    """The reviews a run takes: the first n of each source."""
-    return first_rows(reviews, keys, n)
+    """The reviews a run takes: the first n of each source.
+
+    Which ones is decided over positions alone, so the texts are neither sorted
+    nor, while few are taken, shuffled.
+    """
+    if not keys:
+        return first_rows(reviews, (), n)
+    chosen = first_rows(reviews.select(*keys, "pos"), keys, n)
+    return join_bounded(reviews, chosen, [*keys, "pos"], "left_semi")
 
 
 def search_reviews(reviews: DataFrame, term: str) -> DataFrame:
