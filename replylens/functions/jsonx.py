@@ -58,7 +58,7 @@ def with_json(df: DataFrame, text: str = "response") -> DataFrame:
     )
     truthy = named.withColumn("json_truthy", is_truthy_json(F.col("json_text")))
     is_object = F.col("json_truthy") & F.ltrim(F.col("json_text"), F.lit(" \t\n\r")).startswith("{")
-    keys = F.when(is_object, F.array_sort(F.array_distinct(F.json_object_keys("json_text"))))
+    keys = F.when(is_object, F.sort_array(F.array_distinct(F.json_object_keys("json_text"))))
     found = F.struct(F.col("_first_ok").alias("json_valid"), "json_text", "json_truthy", keys.alias("json_keys"))
     # A generator of one row: later filters stay above it, instead of being
     # rewritten into a second copy of the parsing.
