@@ -37,13 +37,17 @@ def number_rows(
     return numbered.withColumn(name, F.col("_within") + F.col("_shift")).drop("_slice", "_within", "_shift")
 
 
-def first_rows(df: DataFrame, keys: Sequence[str], n: int, pos: str = "pos") -> DataFrame:
-    """The first n rows per group in order of `pos`.
+def first_rows(
+    df: DataFrame, keys: Sequence[str], n: int, pos: str = "pos", number: str | None = None
+) -> DataFrame:
+    """The first n rows per group in order of `pos`, numbered if `number` names a column.
 
     Spark prunes each task to n rows per group before the shuffle, so a hot
     group costs no more than n rows per task.
     """
-    if not keys:
+    if not keys and number is None:
         return df.orderBy(pos).limit(n)
+    nth = number or "_nth"
     order = Window.partitionBy(*keys).orderBy(pos)
-    return df.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= n).drop("_nth")
+    kept = df.withColumn(nth, F.row_number().over(order)).filter(F.col(nth) <= n)
+    return kept if number else kept.drop(nth)

@@ -8,7 +8,7 @@ raises on failure. What happens around it (retries, timing, error rows) is here.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from replylens import dims
 from replylens.functions.naming import provider_by_prefix, resolve_alias, route_provider
 from replylens.functions.pricing import with_cost
-from replylens.functions.text import preview, reported_or_approx, strip_provider
-from replylens.operators.prompts import check_run, render_prompts
+from replylens.functions.text import preview, strip_provider
+from replylens.functions.tokens import Counter, count_tokens
+from replylens.operators.prompts import render_prompts
 
 Call = Callable[[str, str, dict], tuple]
 
@@ -102,20 +103,20 @@ def score(
     template: str,
     call: Call,
     retries: dict[str, Retry] | None = None,
-    token_counter: Callable[[Column], Column] | None = None,
+    counters: Mapping[str, Counter] | None = None,
     concurrency: int | None = None,
 ) -> DataFrame:
     """Run every review through every model and price the answers.
 
     The number of partitions is the number of calls in flight. A task that is
     retried calls the provider again, so write the result before analysing it
-    (`sinks.write_responses`). `token_counter` overrides the word-based estimate
-    that fills in for usage a provider did not report.
+    (`sinks.write_responses`). `counters` holds token counters per provider, for
+    usage a provider did not report; the others are estimated from words.
     """
     requests = with_settings(render_prompts(reviews, models, template))
     if concurrency:
         requests = requests.repartition(concurrency, "model", "pos")
-    return _priced(_called(_with_call_id(requests), call, retries), token_counter)
+    return _priced(_called(_with_call_id(requests), call, retries), counters)
 
 
 def score_prompt(
@@ -170,13 +171,10 @@ def _called(requests: DataFrame, call: Call, retries: dict[str, Retry] | None) -
     return requests.mapInPandas(run, schema)
 
 
-def _priced(answers: DataFrame, token_counter: Callable[[Column], Column] | None = None) -> DataFrame:
+def _priced(answers: DataFrame, counters: Mapping[str, Counter] | None = None) -> DataFrame:
     def tokens(reported: str, text: str) -> Column:
-        if token_counter is None:
-            counted = reported_or_approx(F.col(reported), F.col(text))
-        else:
-            counted = F.when(F.col(reported) == 0, token_counter(F.col(text))).otherwise(F.col(reported))
-        return F.when(F.col("success"), counted).otherwise(F.col(reported))
+        uncounted = F.col("success") & (F.col(reported) == 0)
+        return F.when(uncounted, count_tokens(F.col(text), F.col("model"), counters)).otherwise(F.col(reported))
 
     counted = answers.withColumns(
         {
@@ -191,6 +189,3 @@ def _priced(answers: DataFrame, token_counter: Callable[[Column], Column] | None
         (F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"),
         "latency", "total_time", "cost",
     )
-
-
-__all__ = ["CallTimeout", "Retry", "ServerError", "check_run", "score", "score_prompt", "with_registry"]

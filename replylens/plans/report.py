@@ -109,10 +109,10 @@ def sample_response(responses: DataFrame, keys: Sequence[str] = ("model",)) -> D
 def top_responses(responses: DataFrame, n: int = SAMPLES, keys: Sequence[str] = ("model",)) -> DataFrame:
     """The first n responses per model, with how many more there are."""
     narrow = responses.select(*keys, "pos")
-    first = number_rows(first_rows(narrow, keys, n), keys)
+    first = first_rows(narrow, keys, n, number="review_number")
     totals = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
     chosen = first.join(totals, list(keys)).select(
-        *keys, "pos", "review_number", F.greatest(F.col("_total") - n, F.lit(0)).alias("more")
+        *keys, "pos", F.col("review_number").cast("bigint"), F.greatest(F.col("_total") - n, F.lit(0)).alias("more")
     )
     return join_bounded(responses, chosen, [*keys, "pos"])
 

@@ -7,6 +7,8 @@ parallel; the options that keep a file in one task say so.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +23,7 @@ from replylens.operators.cleaning import (
     strip_quotes_if_first_quoted,
 )
 from replylens.session import join_bounded
-from replylens.sources.columns import detect_text_column, pick_column
+from replylens.sources.columns import detect_text_column, pick_column, sample_lines, sample_values
 
 # Cells read from a row of a ragged file.
 RAGGED_WIDTH = 64
@@ -219,6 +221,43 @@ def read_reviews(spark: SparkSession, path: str, column: str | None = None) -> D
     raise ValueError(f"unsupported file extension: {kind}")
 
 
+@dataclass(frozen=True)
+class Inspection:
+    """What a file looks like: its columns and the first values of each."""
+
+    columns: list[str]
+    sample: dict[str, list[str]]
+    file_type: str
+    no_header: bool = False
+    error: str | None = None
+
+
+def inspect_file(spark: SparkSession, path: str) -> Inspection:
+    """Look at the first rows of a file; a file that cannot be read is reported, not raised."""
+    kind = extension(path)
+    if kind == "txt":
+        try:
+            lines = _as_reviews(_placed(spark.read.text(path)), "value")
+            return Inspection(["text"], {"text": [r.value for r in sample_lines(lines).collect()]}, kind)
+        except Exception as failure:
+            return Inspection([], {}, kind, error=str(failure))
+    if kind != "csv":
+        return Inspection([], {}, "unknown", error=f"Unsupported file extension: {kind}")
+    failure = None
+    for header in (True, False):
+        try:
+            table = read_csv(spark, path, header)
+            names = data_columns(table)
+            sample: dict[str, list[str]] = {name: [] for name in names}
+            # at most three values per column come back
+            for row in sample_values(table).orderBy("column_ord", "sample_ord").collect():
+                sample[row.column_name].append(row.value)
+            return Inspection(names, sample, kind, no_header=not header)
+        except Exception as error:
+            failure = error
+    return Inspection([], {}, kind, error=str(failure))
+
+
 def read_staged(spark: SparkSession, path: str, run_id: str) -> DataFrame:
     """A staged review set; only the partition of its run is listed and read."""
     return spark.read.parquet(path).filter(F.col("run_id") == run_id)

@@ -100,6 +100,16 @@ def test_ranking_against_python(spark, values):
     assert got == python_ranking(values)
 
 
+def test_runs_are_evaluated_side_by_side(spark, log):
+    both = log.selectExpr("'one' run_id", "*").unionByName(
+        log.filter("model = 'o1'").selectExpr("'two' run_id", "*")
+    )
+    evaluation = evaluate(both, keys=("run_id", "model"))
+    ranked = ranking.full_ranking(evaluation, run=("run_id",))
+    rows = {r.run_id: r for r in ranking.recommendations(ranked, run=("run_id",)).collect()}
+    assert rows["one"].best_overall == "gpt-4o" and rows["two"].top_models == ["o1"]
+
+
 def test_recommendations(spark, log):
     ranked = ranking.full_ranking(evaluate(log, compare_texts=False))
     row = ranking.recommendations(ranked).first()

@@ -124,6 +124,15 @@ def test_samples(spark, tmp_path):
     assert [(r.column_name, r.value) for r in got] == [("a", "1"), ("a", "2"), ("a", "3"), ("b", "nan"), ("b", "y"), ("b", "z")]
 
 
+def test_inspection(spark, tmp_path):
+    csv = write(tmp_path / "a.csv", "a,b\n1,\n2,y\n3,z\n4,w\n")
+    seen = readers.inspect_file(spark, csv)
+    assert (seen.columns, seen.sample, seen.file_type) == (["a", "b"], {"a": ["1", "2", "3"], "b": ["nan", "y", "z"]}, "csv")
+    text = write(tmp_path / "a.txt", "\n one\n\ntwo\nthree\nfour\n")
+    assert readers.inspect_file(spark, text).sample == {"text": ["one", "two", "three"]}
+    assert readers.inspect_file(spark, "a.pdf").error and readers.inspect_file(spark, str(tmp_path / "no.csv")).error
+
+
 def test_staging_replaces_one_run_only(spark, tmp_path):
     path, at = str(tmp_path / "staged"), datetime(2025, 1, 1)
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from replylens.functions.tokens import tokenizer_counter
 from replylens.operators import prompts, scoring
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -87,9 +88,17 @@ def test_one_prompt_many_models(spark):
     assert not rows["mistral:large"].success and rows["gpt-4o"].success
 
 
-def test_own_token_counter(spark):
-    df = scoring.score(reviews(spark, "abc"), ["gpt-4o"], "{review}", answer, token_counter=F.length)
-    assert df.first().prompt_tokens == 3
+def test_tokenizers_per_provider(spark):
+    def encode(text):
+        if "odd" in text:
+            raise ValueError
+        return list(text)
+
+    counters = {"openai": tokenizer_counter(encode)}
+    df = scoring.score(reviews(spark, "a b c", "odd one"), ["gpt-4o", "claude-3-haiku"], "{review}", answer, FAST, counters)
+    tokens = {(r.model, r.pos): r.prompt_tokens for r in df.collect()}
+    assert tokens["gpt-4o", 0] == 5
+    assert [tokens["gpt-4o", 1], tokens["claude-3-haiku", 0]] == pytest.approx([2.6, 3.9])
 
 
 def test_bad_requests_fail_before_any_job(spark):
