@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from replylens.session import durable, join_bounded
+from replylens.session import broadcast_if_small, durable
 
 # Texts per block: a tile compares at most twice the square of this.
 TEXT_BLOCK = 48
@@ -29,17 +29,22 @@ KEY_COLUMNS = 4096
 COPY_BITS = 17
 
 
+def _blocks(items, block_rows: int):
+    """Number of blocks for about that many items; it decides balance, not results."""
+    return F.greatest(F.ceil(items / F.lit(block_rows)), F.lit(1)).cast("int").alias("_blocks")
+
+
 def _tile_sums(
-    items: DataFrame, keys: Sequence[str], block_of, block_rows: int, kernel: Callable[[pd.DataFrame], float]
+    items: DataFrame, sizes: DataFrame, keys: Sequence[str], block_of, kernel: Callable[[pd.DataFrame], float]
 ) -> DataFrame:
     """Sum `kernel` over all tiles of each group, as `pair_sum`.
 
-    `items` must be cheap to read twice. The kernel gets the rows of two blocks
-    (or of one, on the diagonal) with their block in `block`.
+    `sizes` holds the number of `_blocks` per group. The kernel gets the rows of
+    two blocks (or of one, on the diagonal) with their block in `block`.
     """
     group = list(keys)
-    sizes = items.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_blocks"))
-    placed = join_bounded(items, sizes, group).withColumn("block", F.pmod(block_of, F.col("_blocks")).cast("int"))
+    per_group = broadcast_if_small(sizes.select(*group, "_blocks"))
+    placed = items.join(per_group, group).withColumn("block", F.pmod(block_of, F.col("_blocks")).cast("int"))
     others = F.sequence(F.lit(0), F.col("_blocks") - 1)
     tiled = placed.withColumn("_other", F.explode(others)).select(
         *group,
@@ -71,6 +76,22 @@ def _earlier_pairs(first: np.ndarray, second: np.ndarray) -> int:
     return int(np.searchsorted(first, second).sum())
 
 
+def _matched(matcher: SequenceMatcher, first: int, second: int) -> int:
+    """Characters in matching blocks: what `ratio()` counts, without building the blocks."""
+    matched = 0
+    open_ranges = [(0, first, 0, second)]
+    while open_ranges:
+        a_low, a_high, b_low, b_high = open_ranges.pop()
+        a, b, size = matcher.find_longest_match(a_low, a_high, b_low, b_high)
+        if size:
+            matched += size
+            if a_low < a and b_low < b:
+                open_ranges.append((a_low, a, b_low, b))
+            if a + size < a_high and b + size < b_high:
+                open_ranges.append((a + size, a_high, b + size, b_high))
+    return matched
+
+
 def _text_kernel(rows: pd.DataFrame) -> float:
     """Weighted sum of text similarity over the pairs of one tile.
 
@@ -97,7 +118,8 @@ def _text_kernel(rows: pd.DataFrame) -> float:
                 total += weight
                 continue
             matcher.set_seq1(earlier)
-            total += weight * matcher.ratio()
+            matched = _matched(matcher, len(earlier), len(later))
+            total += weight * (2.0 * matched / (len(earlier) + len(later)))
     return total
 
 
@@ -112,15 +134,20 @@ def format_consistency(replies: DataFrame, keys: Sequence[str] = ("model",), tex
     first; the comparisons left are one per ordered pair of distinct texts.
     """
     group = list(keys)
-    pieces = durable(
-        replies.select(*group, F.col(text).alias("text"), F.col("pos").cast("bigint").alias("pos"))
-        .groupBy(*group, "text", F.shiftright("pos", COPY_BITS).alias("span"))
-        .agg(F.collect_list("pos").alias("places"))
+    placed = replies.filter(F.col(text).isNotNull()).select(
+        *group,
+        F.col(text).alias("text"),
+        F.col("pos").cast("bigint").alias("pos"),
+        F.shiftright(F.col("pos").cast("bigint"), COPY_BITS).alias("span"),
     )
-    counts = pieces.groupBy(*group).agg(F.sum(F.size("places")).alias("_n"))
-    sums = _tile_sums(pieces, group, F.xxhash64("text", "span"), TEXT_BLOCK, _text_kernel)
+    # Only sizes are kept from the first pass: the texts themselves are read
+    # again rather than written out, and their number may be an estimate.
+    distinct = F.approx_count_distinct(F.xxhash64("text", "span"))
+    sizes = durable(placed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), _blocks(distinct, TEXT_BLOCK)))
+    pieces = placed.groupBy(*group, "text", "span").agg(F.collect_list("pos").alias("places"))
+    sums = _tile_sums(pieces, sizes, group, F.xxhash64("text", "span"), _text_kernel)
     mean = F.coalesce(F.try_divide("pair_sum", _pair_count(F.col("_n"))), F.lit(0.0))
-    return counts.join(sums, group).select(*group, mean.alias("format_consistency"))
+    return sizes.join(sums, group).select(*group, mean.alias("format_consistency"))
 
 
 def _shared_keys(first: pd.Series, second: pd.Series) -> np.ndarray:
@@ -175,10 +202,12 @@ def structure_consistency(
         .groupBy(*group, "json_keys")
         .agg(F.sum(weight).alias("copies"))
     )
-    counts = sets.groupBy(*group).agg(F.sum("copies").alias("_n"))
-    sums = _tile_sums(sets, group, F.xxhash64("json_keys"), KEY_SET_BLOCK, _key_set_kernel)
+    sizes = durable(
+        sets.groupBy(*group).agg(F.sum("copies").alias("_n"), _blocks(F.count(F.lit(1)), KEY_SET_BLOCK))
+    )
+    sums = _tile_sums(sets, sizes, group, F.xxhash64("json_keys"), _key_set_kernel)
     mean = F.coalesce(F.try_divide("pair_sum", _pair_count(F.col("_n"))), F.lit(0.0))
-    return counts.join(sums, group).select(*group, mean.alias("json_structure_consistency"))
+    return sizes.join(sums, group).select(*group, mean.alias("json_structure_consistency"))
 
 
 def pair_counts(replies: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:

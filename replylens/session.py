@@ -49,12 +49,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(kept: DataFrame) -> DataFrame:
+    """Mark a computed table for broadcast if it was counted within BROADCAST_ROWS.
+
+    Beyond that it is left as it is: Spark then joins by shuffle, and AQE splits
+    whatever key turns out to be hot.
+    """
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
 def join_bounded(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join with a side that is expected to be small.
+    """Join with a side that is expected to be small: computed once, counted, then joined.
 
-    The side is computed once and counted. Within BROADCAST_ROWS it is
-    broadcast and `big` is not shuffled; beyond that Spark joins by shuffle and
-    AQE splits whatever key turns out to be hot.
+    While the side is small, `big` is not shuffled.
     """
-    kept = durable(small)
-    return big.join(F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept, on, how)
+    return big.join(broadcast_if_small(durable(small)), on, how)
