@@ -7,6 +7,7 @@ a stream.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,27 +15,20 @@ from pyspark.sql import functions as F
 
 from replylens.fixed_values import DEFAULT_PRICE_KEY, PRICES
 
-_FIELDS = (
-    ("key", "string"),
-    ("input", "double"),
-    ("output", "double"),
-    ("tier_threshold", "bigint"),
-    ("tier2_input", "double"),
-    ("tier2_output", "double"),
+_ENTRY = (
+    "struct<key: string, input: double, output: double, tier_threshold: bigint, "
+    "tier2_input: double, tier2_output: double, price_source: string>"
 )
+_NAMES = ("key", "input", "output", "tier_threshold", "tier2_input", "tier2_output", "price_source")
 
 
-def _sql(value: object, kind: str) -> str:
-    if value is None:
-        return f"CAST(NULL AS {kind})"
-    if kind == "string":
-        return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return f"CAST({value} AS {kind})"
+def _entry(row: Sequence, source: str) -> dict:
+    return dict(zip(_NAMES, (*row, source)))
 
 
-def _entry(row: Sequence, source: str) -> str:
-    fields = [f"'{name}', {_sql(value, kind)}" for value, (name, kind) in zip(row, _FIELDS)]
-    return f"named_struct({', '.join(fields)}, 'price_source', '{source}')"
+def _constant(value: object, kind: str) -> Column:
+    """A nested constant: one small expression that Spark folds before it runs."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 def price_of(model: Column, prices: Sequence[Sequence] = PRICES) -> Column:
@@ -42,12 +36,11 @@ def price_of(model: Column, prices: Sequence[Sequence] = PRICES) -> Column:
 
     An equal key wins. Otherwise the first row in list order whose key starts
     the id, or starts with the id's first two dash-separated parts. Otherwise
-    the default row. The tables are built as SQL text, which is parsed in one go
-    and folded into constants.
+    the default row.
     """
-    by_key = F.expr(f"map({', '.join(_sql(row[0], 'string') + ', ' + _entry(row, 'exact') for row in prices)})")
-    in_order = F.expr(f"array({', '.join(_entry(row, 'prefix') for row in prices)})")
-    default = F.expr(next(_entry(row, "default") for row in prices if row[0] == DEFAULT_PRICE_KEY))
+    by_key = _constant({row[0]: _entry(row, "exact") for row in prices}, f"map<string, {_ENTRY}>")
+    in_order = _constant([_entry(row, "prefix") for row in prices], f"array<{_ENTRY}>")
+    default = _constant(next(_entry(row, "default") for row in prices if row[0] == DEFAULT_PRICE_KEY), _ENTRY)
     family = F.substring_index(model, "-", 2)
     fits = F.filter(in_order, lambda p: model.startswith(p["key"]) | p["key"].startswith(family))
     return F.coalesce(F.try_element_at(by_key, model), F.get(fits, F.lit(0)), default)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from replylens.session import broadcast_if_small, durable
+from replylens.session import BROADCAST_ROWS, durable
 
 # Texts per block: a tile compares at most twice the square of this.
 TEXT_BLOCK = 48
@@ -43,7 +43,11 @@ def _tile_sums(
     two blocks (or of one, on the diagonal) with their block in `block`.
     """
     group = list(keys)
-    per_group = broadcast_if_small(sizes.select(*group, "_blocks"))
+    per_group = sizes.select(*group, "_blocks")
+    tiles = F.sum(F.col("_blocks") * (F.col("_blocks") + F.lit(1)) / F.lit(2))
+    work = sizes.agg(F.count(F.lit(1)).alias("groups"), tiles.alias("tiles")).first()
+    if work.groups <= BROADCAST_ROWS:
+        per_group = F.broadcast(per_group)
     placed = items.join(per_group, group).withColumn("block", F.pmod(block_of, F.col("_blocks")).cast("int"))
     others = F.sequence(F.lit(0), F.col("_blocks") - 1)
     tiled = placed.withColumn("_other", F.explode(others)).select(
@@ -53,9 +57,10 @@ def _tile_sums(
         *[c for c in items.columns if c not in group],
         "block",
     )
-    spark = items.sparkSession
     # Tiles are small in bytes and heavy in work, so AQE must not merge them.
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    spark = items.sparkSession
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    tasks = max(1, min(most, int(work.tiles or 1)))
     tile = [*group, "tile_low", "tile_high"]
 
     def partial(rows: pd.DataFrame) -> pd.DataFrame:
@@ -192,16 +197,15 @@ def structure_consistency(
     """Mean Jaccard index of top-level key sets over all pairs of JSON replies.
 
     Takes rows with `json_keys`, one per reply or, with `replies` naming a count
-    column, one per distinct set. Rows without keys are ignored; groups with
+    column, one per distinct set of a stored table. Rows without keys are ignored; groups with
     fewer than two JSON replies get 0.
     """
     group = list(keys)
     weight = F.col(replies) if replies else F.lit(1)
-    sets = durable(
-        key_sets.filter(F.col("json_keys").isNotNull())
-        .groupBy(*group, "json_keys")
-        .agg(F.sum(weight).alias("copies"))
-    )
+    present = key_sets.filter(F.col("json_keys").isNotNull())
+    sets = present.groupBy(*group, "json_keys").agg(F.sum(weight).alias("copies"))
+    if not replies:  # counted sets come from a stored table, replies would be parsed twice
+        sets = durable(sets)
     sizes = durable(
         sets.groupBy(*group).agg(F.sum("copies").alias("_n"), _blocks(F.count(F.lit(1)), KEY_SET_BLOCK))
     )

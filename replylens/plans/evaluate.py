@@ -11,7 +11,7 @@ from replylens.functions.jsonx import with_json
 from replylens.functions.pricing import with_cost
 from replylens.operators.pairwise import format_consistency, structure_consistency
 from replylens.operators.stats import EVALUATION_METRICS, eval_sums, finish_eval, usable
-from replylens.session import durable, join_bounded
+from replylens.session import durable
 
 _SUMS = (
     "n_all",
@@ -39,7 +39,7 @@ def evaluate(
     every sum, and both the metrics and the structure consistency are rolled up
     from it. `compare_texts=False` leaves out `format_consistency`, the one
     metric whose work grows with the square of the distinct replies; it is then
-    reported as 0.
+    reported as 0. The result is stored, as rankings and reports read it again.
     """
     group = list(keys)
     priced = log if "cost" in log.columns else with_cost(log)
@@ -56,12 +56,11 @@ def evaluate(
     structure = structure_consistency(
         by_key_set.select(*group, F.col("_set").alias("json_keys"), "n"), group, replies="n"
     )
-    metrics = join_bounded(metrics, structure, group, "left")
+    # One row per model on either side from here on.
+    metrics = metrics.join(structure, group, "left")
     if compare_texts:
-        texts = format_consistency(flagged.filter("usable"), group)
-        metrics = join_bounded(metrics, texts, group, "left")
+        metrics = metrics.join(format_consistency(flagged.filter("usable"), group), group, "left")
     else:
         metrics = metrics.withColumn("format_consistency", F.lit(0.0))
-    return metrics.fillna(0.0, ["json_structure_consistency", "format_consistency"]).select(
-        *group, "model_ord", *EVALUATION_METRICS
-    )
+    complete = metrics.fillna(0.0, ["json_structure_consistency", "format_consistency"])
+    return durable(complete.select(*group, "model_ord", *EVALUATION_METRICS))
