@@ -2,7 +2,6 @@ import sys
 
 import pytest
 from pyspark import cloudpickle
-from pyspark.sql import functions as F
 
 from replylens.functions.tokens import tokenizer_counter
 from replylens.operators import prompts, scoring
