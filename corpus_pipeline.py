@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replylens.llm import line_dedup, quality
+from replylens.llm import decontaminate, line_dedup, packing, quality, simhash
 from replylens.llm.common import stored, table
 
 
@@ -28,9 +29,37 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return kept.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of linked fingerprints the document with the smallest doc_id; rows without a doc_id stay.
+
+    The texts of the others are never shuffled: the rows that stay are looked up by doc_id. Of
+    rows that share the smallest doc_id, one stays.
+    """
+    first = simhash.classes(docs.select("doc_id", "text")).select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct()
+    whole = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    kept = whole.join(stored(first, "kept-documents").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select("doc.*").unionByName(docs.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    whole = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    found = decontaminate.scan(whole, table(spark, sf_dir, "benchmark"), carry=["doc"])
+    return found.where(F.size("found.hits") == 0).select("doc.*")
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their ids and their place in a training sequence."""
+    packed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_deduplication),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
 ]
 
 # fingerprints and packing are not expressible in SQL; the tests hold the stages against brute force

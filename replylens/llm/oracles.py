@@ -50,7 +50,56 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (NOT st
 FROM marked GROUP BY row_id
 """
 
+# the tokens, the compressor, the patterns' code point spans and the page grammar have no SQL form; those
+# queries are held against brute force in the tests
+DECONTAMINATION = r"""
+WITH normal AS (
+  SELECT row_number() OVER () AS row_id, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+  FROM documents
+), items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id,
+         list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), item_windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(words[i : i + size - 1], ' ') AS run
+  FROM (SELECT item_id, words, least(10, len(words)) AS size, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM items WHERE len(words) > 0)
+), sizes AS (
+  SELECT DISTINCT size FROM item_windows
+), document_windows AS (
+  SELECT row_id, size, i, array_to_string(words[i : i + size - 1], ' ') AS run
+  FROM (SELECT row_id, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM normal, sizes WHERE len(words) >= size)
+), hits AS (
+  SELECT d.row_id, d.i, d.size, w.item_id FROM document_windows d JOIN item_windows w USING (size, run)
+), places AS (
+  SELECT row_id, count(DISTINCT place) AS n_hit FROM (SELECT row_id, unnest(range(i, i + size)) AS place FROM hits) GROUP BY row_id
+), owners AS (
+  SELECT row_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS list FROM (SELECT DISTINCT row_id, item_id FROM hits) GROUP BY row_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM normal LEFT JOIN places USING (row_id) LEFT JOIN owners USING (row_id)
+"""
+
+WARC = r"""
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages
+), digests AS (
+  SELECT page_id, payload_bytes, sha1(payload) AS payload_digest FROM payloads
+), largest AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS first FROM digests
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM largest
+"""
+
 ORACLES: dict[str, str] = {
+    "op4_decontamination": DECONTAMINATION,
+    "op5_warc": WARC,
     "op8_quality_rules": QUALITY,
     "op9_line_dedup": LINE_DEDUP,
 }
