@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 # A response log: seven model ids, one per way a price is found; replies that are
-# bare, wrapped and list JSON, plain text and errors.
+# bare, wrapped and list JSON, plain text and errors. Replies show one digit of the value, so
+# that SQL can compare all distinct ones.
 RUN_LOG = """
 SELECT CASE event_id % 7 WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'gpt-4o-2024-11-20' WHEN 2 THEN 'gpt-3.5-turbo'
          WHEN 3 THEN 'claude-3-5-haiku-20241022' WHEN 4 THEN 'gemini-2.5-pro'
@@ -19,11 +20,11 @@ SELECT CASE event_id % 7 WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'gpt-4o-2024-11-20' WH
        event_type <> 'error' AS success,
        CASE event_type
          WHEN 'error'    THEN 'Error: upstream failure'
-         WHEN 'click'    THEN props
-         WHEN 'view'     THEN 'Here is the result: ' || props
-         WHEN 'signup'   THEN '{"service": ' || props || ', "food": null' ||
+         WHEN 'click'    THEN substr(props, 1, 7) || '}'
+         WHEN 'view'     THEN 'Here is the result: ' || substr(props, 1, 7) || '}'
+         WHEN 'signup'   THEN '{"service": ' || substr(props, 1, 7) || '}' || ', "food": null' ||
                               CASE WHEN event_id % 2 = 0 THEN ', "value": 1}' ELSE '}' END
-         ELSE CASE WHEN event_id % 3 = 0 THEN 'plain text' ELSE '[' || props || ']' END
+         ELSE CASE WHEN event_id % 3 = 0 THEN 'plain text' ELSE '[' || substr(props, 1, 7) || '}]' END
        END AS response,
        CASE WHEN event_type = 'error' THEN 0 ELSE (event_id * 7919) % 300000 END AS prompt_tokens,
        CASE WHEN event_type = 'error' THEN 0 ELSE (event_id * 104729) % 250000 END AS completion_tokens,

@@ -40,7 +40,7 @@ def words(column: str) -> str:
 
 
 def with_ctes(*ctes: str, select: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + select
 
 
 LOG = f"log AS ({RUN_LOG})"
@@ -126,11 +126,27 @@ QUALITY = """quality AS (
   SELECT model, avg(CAST(json_valid AS INT)) AS json_validity, avg(CAST(json_truthy AS INT)) * 100 AS valid_json_percentage,
     coalesce(avg(score) FILTER (WHERE json_truthy), 0) AS structural_accuracy
   FROM scored GROUP BY model)"""
+# Every ordered pair of replies. Its similarity is twice the characters in matching blocks over all characters; the longest
+# common run (the first in x, then in y) is a block, and what lies before and after it is matched in the same way.
+TEXTS = """ordered AS (SELECT a.model, a.response AS x, b.response AS y, count(*) AS n
+  FROM log a JOIN log b ON a.model = b.model AND a.pos < b.pos GROUP BY ALL),
+matches(x, y, a, b, size) AS (
+  SELECT x, y, x, y, 0 FROM (SELECT DISTINCT x, y FROM ordered WHERE x <> y)
+  UNION ALL
+  SELECT x, y, unnest([substr(a, 1, i - 1), substr(a, i + k)]), unnest([substr(b, 1, j - 1), substr(b, j + k)]), unnest([k, 0])
+  FROM (SELECT x, y, a, b, CAST(best.k AS INT) AS k, -best.before AS i, strpos(b, substr(a, -best.before, best.k)) AS j
+    FROM (SELECT *, list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(a) - i + 2),
+        lambda k: CASE WHEN contains(b, substr(a, i, k)) THEN {'k': k, 'before': -i} END)))) AS best
+      FROM matches WHERE a <> '' AND b <> '') WHERE best IS NOT NULL)),
+ratios AS (SELECT x, y, 2.0 * sum(size) / (length(x) + length(y)) AS ratio FROM matches GROUP BY x, y),
+consistency AS (SELECT model, sum(n * CASE WHEN o.x = o.y THEN 1.0 ELSE ratio END) / sum(n) AS format_consistency
+  FROM ordered o LEFT JOIN ratios s ON o.x = s.x AND o.y = s.y GROUP BY model)"""
 EVALUATION = """evaluation AS (
-  SELECT b.*, q.json_validity, q.valid_json_percentage, CAST(0 AS DOUBLE) AS format_consistency,
+  SELECT b.*, q.json_validity, q.valid_json_percentage, coalesce(c.format_consistency, 0) AS format_consistency,
     coalesce(s.json_structure_consistency, 0) AS json_structure_consistency, q.structural_accuracy
-  FROM basic b JOIN quality q ON b.model = q.model LEFT JOIN structure s ON b.model = s.model)"""
-EVALUATED = (*COSTED, PARSED, SCORED, SETS, STRUCTURE, basic("priced"), QUALITY, EVALUATION)
+  FROM basic b JOIN quality q ON b.model = q.model LEFT JOIN structure s ON b.model = s.model
+    LEFT JOIN consistency c ON b.model = c.model)"""
+EVALUATED = (*COSTED, PARSED, SCORED, SETS, STRUCTURE, TEXTS, basic("priced"), QUALITY, EVALUATION)
 
 
 def rounded(names) -> str:
@@ -247,6 +263,9 @@ ORACLES: dict[str, str] = {
     "evaluate_metrics": with_ctes(
         *EVALUATED, select=f"SELECT model, model_ord, {rounded(BASIC_COLUMNS + JSON_COLUMNS)} FROM evaluation"
     ),
+    "evaluate_all": with_ctes(
+        *EVALUATED, select=f"SELECT model, model_ord, {rounded(BASIC_COLUMNS + JSON_COLUMNS)} FROM evaluation"
+    ),
     # JSON
     "json_valid": with_ctes(LOG, PARSED, select="SELECT pos, json_valid FROM parsed"),
     "json_extract": with_ctes(LOG, PARSED, select="SELECT pos, json_text FROM parsed"),
@@ -263,7 +282,10 @@ ORACLES: dict[str, str] = {
     "structure_consistency": with_ctes(
         LOG, PARSED, SETS, STRUCTURE, select=f"SELECT model, {rounded(['json_structure_consistency'])} FROM structure"
     ),
-    # pairs of replies, counted one by one
+    # pairs of replies, compared and counted one by one
+    "format_consistency_log": with_ctes(
+        LOG, TEXTS, select="SELECT model, round(format_consistency, 6) AS format_consistency FROM consistency"
+    ),
     "pair_counts": with_ctes(
         LOG,
         select="""SELECT a.model, any_value(n.replies) AS replies, count(*) AS pairs

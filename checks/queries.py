@@ -44,8 +44,7 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Everything but the pairwise text comparison, which has no SQL counterpart."""
-    return evaluate(run_log(spark, sf_dir), expected_keys=DEFAULT_REPLY_KEYS, compare_texts=False)
+    return evaluate(run_log(spark, sf_dir), expected_keys=DEFAULT_REPLY_KEYS)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -20,6 +20,8 @@ from replylens.session import BROADCAST_ROWS, durable
 
 # Texts per block: a tile compares at most twice the square of this.
 TEXT_BLOCK = 48
+# and bytes of text per block, by the average length
+BLOCK_BYTES = 4 << 20
 # Key sets per block: a tile is one matrix product of this size.
 KEY_SET_BLOCK = 1024
 # Distinct keys held in one matrix at a time, however many a tile has.
@@ -27,6 +29,8 @@ KEY_COLUMNS = 4096
 # Copies of a text are merged within this many positions (2**17), which bounds
 # the position list a row can carry.
 COPY_BITS = 17
+# Positions are weighed in segments of this many (2**22), one task each.
+SEGMENT_BITS = 22
 
 
 def _blocks(items, block_rows: int):
@@ -34,33 +38,40 @@ def _blocks(items, block_rows: int):
     return F.greatest(F.ceil(items / F.lit(block_rows)), F.lit(1)).cast("int").alias("_blocks")
 
 
-def _tile_sums(
-    items: DataFrame, sizes: DataFrame, keys: Sequence[str], block_of, kernel: Callable[[pd.DataFrame], float]
-) -> DataFrame:
-    """Sum `kernel` over all tiles of each group, as `pair_sum`.
+def _tile_tasks(sizes: DataFrame) -> int:
+    """Partitions for the tiles of all groups: enough for all cores, no more than there are tiles."""
+    tiles = F.sum(F.col("_blocks") * (F.col("_blocks") + F.lit(1)) / F.lit(2))
+    work = sizes.agg(tiles.alias("tiles")).first()
+    spark = sizes.sparkSession
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    return max(1, min(most, int(work.tiles or 1)))
 
-    `sizes` holds the number of `_blocks` per group. The kernel gets the rows of
-    two blocks (or of one, on the diagonal) with their block in `block`.
-    """
+
+def _tiled(items: DataFrame, sizes: DataFrame, keys: Sequence[str], block_of) -> DataFrame:
+    """Each item once per tile of its block; `sizes` holds the number of `_blocks` per group."""
     group = list(keys)
     per_group = sizes.select(*group, "_blocks")
-    tiles = F.sum(F.col("_blocks") * (F.col("_blocks") + F.lit(1)) / F.lit(2))
-    work = sizes.agg(F.count(F.lit(1)).alias("groups"), tiles.alias("tiles")).first()
-    if work.groups <= BROADCAST_ROWS:
+    if sizes.count() <= BROADCAST_ROWS:
         per_group = F.broadcast(per_group)
     placed = items.join(per_group, group).withColumn("block", F.pmod(block_of, F.col("_blocks")).cast("int"))
     others = F.sequence(F.lit(0), F.col("_blocks") - 1)
-    tiled = placed.withColumn("_other", F.explode(others)).select(
+    return placed.withColumn("_other", F.explode(others)).select(
         *group,
         F.least("block", "_other").alias("tile_low"),
         F.greatest("block", "_other").alias("tile_high"),
         *[c for c in items.columns if c not in group],
         "block",
     )
-    # Tiles are small in bytes and heavy in work, so AQE must not merge them.
-    spark = items.sparkSession
-    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
-    tasks = max(1, min(most, int(work.tiles or 1)))
+
+
+def _tile_sums(
+    items: DataFrame, sizes: DataFrame, keys: Sequence[str], block_of, kernel: Callable[[pd.DataFrame], float]
+) -> DataFrame:
+    """Sum `kernel` over all tiles of each group, as `pair_sum`.
+
+    The kernel gets the rows of two blocks (or of one, on the diagonal) with their block in `block`.
+    """
+    group = list(keys)
     tile = [*group, "tile_low", "tile_high"]
 
     def partial(rows: pd.DataFrame) -> pd.DataFrame:
@@ -68,7 +79,9 @@ def _tile_sums(
         return head.assign(pair_sum=kernel(rows))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.select(*group).schema.fields)
-    sums = tiled.repartition(tasks, *tile).groupBy(*tile).applyInPandas(partial, f"{schema}, pair_sum DOUBLE")
+    # Tiles are small in bytes and heavy in work, so AQE must not merge them.
+    tiled = _tiled(items, sizes, keys, block_of).repartition(_tile_tasks(sizes), *tile)
+    sums = tiled.groupBy(*tile).applyInPandas(partial, f"{schema}, pair_sum DOUBLE")
     return sums.groupBy(*group).agg(F.sum("pair_sum").alias("pair_sum"))
 
 
@@ -97,60 +110,122 @@ def _matched(matcher: SequenceMatcher, first: int, second: int) -> int:
     return matched
 
 
-def _text_kernel(rows: pd.DataFrame) -> float:
+def _pair_count(n):
+    return n * (n - F.lit(1)) / F.lit(2)
+
+
+def _weighed(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one tile and segment: the texts' hashes, their numbers of replies, and how many
+    replies with the text of the row come before one with the text of the column."""
+    hashes = np.unique(rows["h"].to_numpy(np.int64))
+    counts = np.zeros(len(hashes), np.int64)
+    weights = np.zeros((len(hashes), len(hashes)), np.int64)
+    for _, span in rows.sort_values("span").groupby("span", sort=True):
+        at = np.searchsorted(hashes, span["h"].to_numpy(np.int64))
+        places = [np.sort(np.asarray(p)) for p in span["places"]]
+        together = np.sort(np.concatenate(places))
+        if (together[1:] == together[:-1]).any():
+            raise ValueError("positions repeat within a group; number the replies first (numbering.run_positions)")
+        here = np.zeros(len(hashes), np.int64)
+        here[at] = [len(p) for p in places]
+        weights += np.outer(counts, here)
+        for j, second in zip(at, places, strict=True):
+            for i, first in zip(at, places, strict=True):
+                if i != j:
+                    weights[i, j] += _earlier_pairs(first, second)
+        counts += here
+    return hashes, counts, weights
+
+
+def _combined(hashes: np.ndarray, weighed: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of replies and weights of whole groups, from those of their segments in order."""
+    counts = np.zeros(len(hashes), np.int64)
+    weights = np.zeros((len(hashes), len(hashes)), np.int64)
+    for row in weighed.sort_values("segment").itertuples(index=False):
+        at = np.searchsorted(hashes, np.asarray(row.hashes, np.int64))
+        here = np.zeros(len(hashes), np.int64)
+        here[at] = row.counts
+        weights += np.outer(counts, here)
+        weights[np.ix_(at, at)] += np.asarray(row.weights, np.int64).reshape(len(at), len(at))
+        counts += here
+    return counts, weights
+
+
+def _text_kernel(texts: pd.DataFrame, weighed: pd.DataFrame) -> float:
     """Weighted sum of text similarity over the pairs of one tile.
 
-    Similarity depends on which text comes first, so each order is weighed by
-    how many pairs occur in it. A text is similar to itself by exactly 1.
+    Similarity depends on which text comes first, so each order is compared
+    once and weighed by how many pairs occur in it. A text is similar to itself by exactly 1.
     """
-    texts = rows["text"].tolist()
-    places = [np.sort(np.asarray(p)) for p in rows["places"]]
-    blocks = rows["block"].tolist()
-    diagonal = rows["tile_low"].iat[0] == rows["tile_high"].iat[0]
+    texts = texts.sort_values("h", ignore_index=True)
+    counts, weights = _combined(texts["h"].to_numpy(np.int64), weighed)
+    blocks, words = texts["block"].tolist(), texts["text"].tolist()
+    diagonal = texts["tile_low"].iat[0] == texts["tile_high"].iat[0]
     total = 0.0
-    for j, later in enumerate(texts):
+    for j, later in enumerate(words):
+        if diagonal:
+            total += int(counts[j]) * (int(counts[j]) - 1) / 2
         matcher = SequenceMatcher(None, "", later)  # keeps its index of the later text
-        for i, earlier in enumerate(texts):
-            if not diagonal and blocks[i] == blocks[j]:
-                continue
-            if i == j:
-                total += len(places[i]) * (len(places[i]) - 1) / 2
-                continue
-            weight = _earlier_pairs(places[i], places[j])
-            if weight == 0:
-                continue
-            if earlier == later:
-                total += weight
+        for i, earlier in enumerate(words):
+            if i == j or not weights[i, j] or (not diagonal and blocks[i] == blocks[j]):
                 continue
             matcher.set_seq1(earlier)
             matched = _matched(matcher, len(earlier), len(later))
-            total += weight * (2.0 * matched / (len(earlier) + len(later)))
+            total += int(weights[i, j]) * (2.0 * matched / (len(earlier) + len(later)))
     return total
 
 
-def _pair_count(n):
-    return n * (n - F.lit(1)) / F.lit(2)
-
-
 def format_consistency(replies: DataFrame, keys: Sequence[str] = ("model",), text: str = "response") -> DataFrame:
     """Mean similarity of all pairs of replies per group, 0 below two replies.
 
-    `replies` needs a position `pos`, unique within the group. Copies are merged
-    first; the comparisons left are one per ordered pair of distinct texts.
+    `replies` needs a position `pos`, unique within the group; a repeat is refused. Texts
+    are placed in blocks by their hash alone. How many replies with one text come before those with
+    another is counted per tile and segment of positions, without the texts; a tile then meets each
+    of its texts once and compares every ordered pair of distinct texts once, however long
+    the log is. Building the result already runs a pass for the numbers of texts.
     """
     group = list(keys)
     placed = replies.filter(F.col(text).isNotNull()).select(
         *group,
         F.col(text).alias("text"),
+        F.xxhash64(text).alias("h"),
         F.col("pos").cast("bigint").alias("pos"),
         F.shiftright(F.col("pos").cast("bigint"), COPY_BITS).alias("span"),
     )
     # Only sizes are kept from the first pass: the texts themselves are read
     # again rather than written out, and their number may be an estimate.
-    distinct = F.approx_count_distinct(F.xxhash64("text", "span"))
-    sizes = durable(placed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), _blocks(distinct, TEXT_BLOCK)))
-    pieces = placed.groupBy(*group, "text", "span").agg(F.collect_list("pos").alias("places"))
-    sums = _tile_sums(pieces, sizes, group, F.xxhash64("text", "span"), _text_kernel)
+    distinct = F.approx_count_distinct("h")
+    by_bytes = distinct * F.avg(F.octet_length("text")) / F.lit(BLOCK_BYTES)
+    blocks = F.greatest(F.ceil(distinct / F.lit(TEXT_BLOCK)), F.ceil(by_bytes), F.lit(1)).cast("int")
+    sizes = durable(placed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), blocks.alias("_blocks")))
+    tile = [*group, "tile_low", "tile_high"]
+    tasks = _tile_tasks(sizes)
+
+    pieces = placed.groupBy(*group, "h", "span").agg(F.collect_list("pos").alias("places"))
+    pieces = pieces.withColumn("segment", F.shiftright("span", SEGMENT_BITS - COPY_BITS))
+    keyed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sizes.select(*group).schema.fields)
+    keyed += ", tile_low INT, tile_high INT"
+
+    def weigh(rows: pd.DataFrame) -> pd.DataFrame:
+        hashes, counts, weights = _weighed(rows)
+        head = rows.iloc[:1][[*tile, "segment"]].reset_index(drop=True)
+        return head.assign(hashes=[hashes], counts=[counts], weights=[weights.ravel()])
+
+    weighed = (
+        _tiled(pieces, sizes, group, F.col("h"))
+        .groupBy(*tile, "segment")
+        .applyInPandas(weigh, f"{keyed}, segment BIGINT, hashes ARRAY<BIGINT>, counts ARRAY<BIGINT>, weights ARRAY<BIGINT>")
+    )
+    texts = _tiled(placed.select(*group, "h", "text").distinct(), sizes, group, F.col("h"))
+
+    def compared(texts: pd.DataFrame, weighed: pd.DataFrame) -> pd.DataFrame:
+        head = texts.iloc[:1][group].reset_index(drop=True)
+        return head.assign(pair_sum=_text_kernel(texts, weighed))
+
+    schema = keyed.removesuffix(", tile_low INT, tile_high INT") + ", pair_sum DOUBLE"
+    # Tiles are small in bytes and heavy in work, so AQE must not merge them.
+    sides = [side.repartition(tasks, *tile).groupBy(*tile) for side in (texts, weighed)]
+    sums = sides[0].cogroup(sides[1]).applyInPandas(compared, schema).groupBy(*group).agg(F.sum("pair_sum").alias("pair_sum"))
     mean = F.coalesce(F.try_divide("pair_sum", _pair_count(F.col("_n"))), F.lit(0.0))
     return sizes.join(sums, group).select(*group, mean.alias("format_consistency"))
 

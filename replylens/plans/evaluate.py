@@ -31,15 +31,13 @@ def evaluate(
     keys: Sequence[str] = ("model",),
     expected_keys: Sequence[str] | None = None,
     policy: str = "record",
-    compare_texts: bool = True,
 ) -> DataFrame:
     """All evaluation metrics per model.
 
     Replies are parsed once: a first aggregate per model and key set carries
     every sum, and both the metrics and the structure consistency are rolled up
-    from it. `compare_texts=False` leaves out `format_consistency`, the one
-    metric whose work grows with the square of the distinct replies; it is then
-    reported as 0. The result is stored, as rankings and reports read it again.
+    from it. The result is stored, as rankings and reports read it again; building it
+    already runs passes over the log.
     """
     group = list(keys)
     priced = log if "cost" in log.columns else with_cost(log)
@@ -58,9 +56,6 @@ def evaluate(
     )
     # One row per model on either side from here on.
     metrics = metrics.join(structure, group, "left")
-    if compare_texts:
-        metrics = metrics.join(format_consistency(flagged.filter("usable"), group), group, "left")
-    else:
-        metrics = metrics.withColumn("format_consistency", F.lit(0.0))
+    metrics = metrics.join(format_consistency(flagged.filter("usable"), group), group, "left")
     complete = metrics.fillna(0.0, ["json_structure_consistency", "format_consistency"])
     return durable(complete.select(*group, "model_ord", *EVALUATION_METRICS))

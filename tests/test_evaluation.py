@@ -49,7 +49,7 @@ def test_failed_calls_count_unless_told_otherwise(log):
     assert recorded.format_consistency == pytest.approx(sum(pairs) / 3)
     assert recorded.structural_accuracy == pytest.approx(0.75)
     assert recorded.json_structure_consistency == 0.5
-    strict = by_model(evaluate(log, policy="prefix", compare_texts=False))
+    strict = by_model(evaluate(log, policy="prefix"))
     assert strict["gpt-4o"].success_rate == pytest.approx(2 / 3) and strict["gpt-4o"].avg_latency == 2.0
     assert strict["o1"].success_rate == 0 and strict["o1"].json_validity == 0
 
@@ -61,7 +61,7 @@ def test_error_column_is_respected(spark):
 
 def test_models_without_rows_score_zero(spark, log):
     models = spark.createDataFrame([("gpt-4o", 0), ("silent", 1)], "model STRING, model_ord INT")
-    rows = by_model(stats.with_eval_defaults(models, evaluate(log, compare_texts=False)))
+    rows = by_model(stats.with_eval_defaults(models, evaluate(log)))
     assert rows["silent"].success_rate == 0 and rows["gpt-4o"].success_rate == 1
 
 
@@ -111,7 +111,7 @@ def test_runs_are_evaluated_side_by_side(spark, log):
 
 
 def test_recommendations(spark, log):
-    ranked = ranking.full_ranking(evaluate(log, compare_texts=False))
+    ranked = ranking.full_ranking(evaluate(log))
     row = ranking.recommendations(ranked).first()
     assert (row.best_overall, row.top_models) == ("gpt-4o", ["gpt-4o", "o1"])
     assert (row.best_value, row.fastest, row.most_accurate) == ("o1", "o1", "gpt-4o")
@@ -127,7 +127,7 @@ def test_report(spark, log):
     assert {(r.model, r.pos) for r in samples.collect()} == {("gpt-4o", 0), ("o1", 0)}
     top = report.top_responses(responses, 2).collect()
     assert {(r.model, r.review_number, r.more) for r in top} == {("gpt-4o", 1, 1), ("gpt-4o", 2, 1), ("o1", 1, 0)}
-    evaluation = evaluate(log, compare_texts=False)
+    evaluation = evaluate(log)
     ranked = ranking.full_ranking(evaluation)
     run = stats.run_stats(log)
     doc = report.report_document(run, evaluation, ranked, samples, "a.csv", datetime(2025, 1, 2, 3, 4, 5)).collect()
@@ -140,7 +140,7 @@ def test_report(spark, log):
 
 
 def test_report_without_ranking_still_has_recommendations(spark, log):
-    evaluation = evaluate(log, compare_texts=False)
+    evaluation = evaluate(log)
     empty = ranking.full_ranking(evaluation).limit(0)
     row = report.overview(stats.run_stats(log), empty, "a.csv").collect()
     assert len(row) == 1 and row[0].best_overall is None

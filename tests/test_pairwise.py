@@ -3,6 +3,8 @@ from collections import defaultdict
 from difflib import SequenceMatcher
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from replylens.operators import pairwise
@@ -29,6 +31,8 @@ def words(n):
 @pytest.fixture
 def small_blocks(monkeypatch):
     monkeypatch.setattr(pairwise, "TEXT_BLOCK", 3)
+    monkeypatch.setattr(pairwise, "COPY_BITS", 16)
+    monkeypatch.setattr(pairwise, "SEGMENT_BITS", 18)
     monkeypatch.setattr(pairwise, "KEY_SET_BLOCK", 2)
     monkeypatch.setattr(pairwise, "KEY_COLUMNS", 2)
 
@@ -51,6 +55,43 @@ def test_order_and_copies_matter(spark, small_blocks):
     check_texts(spark, rows)
 
 
+def weighed_in(segments, texts, rows):
+    """What the tasks of a tile hand to its comparison, with the positions cut into so many segments."""
+    hashes = np.arange(len(texts))
+    last = max(pos for pos, _ in rows) + 1
+    parts = []
+    for segment in range(segments):
+        inside = [(p, t) for p, t in rows if p * segments // last == segment]
+        frame = pd.DataFrame(
+            [(h, p * 4 * segments // last, [q for q, t in inside if t == h and q * 4 * segments // last == p * 4 * segments // last]) for p, h in inside],
+            columns=["h", "span", "places"],
+        ).drop_duplicates(["h", "span"])
+        got, counts, weights = pairwise._weighed(frame)
+        parts.append((segment, got, counts, weights.ravel()))
+    frame = pd.DataFrame({"h": hashes, "text": texts, "block": 0, "tile_low": 0, "tile_high": 0})
+    return frame, pd.DataFrame(parts, columns=["segment", "hashes", "counts", "weights"])
+
+
+def test_comparisons_do_not_depend_on_the_length_of_the_log(monkeypatch):
+    texts = [words(chosen.randint(3, 12)) for _ in range(9)]
+    rows = [(i, chosen.randrange(len(texts))) for i in range(400)]
+    calls, plain = [], pairwise._matched
+    monkeypatch.setattr(pairwise, "_matched", lambda *args: calls.append(1) or plain(*args))
+    seen = set()
+    for segments in (1, 2, 4):
+        calls.clear()
+        total = pairwise._text_kernel(*weighed_in(segments, texts, rows))
+        seen.add((len(calls), round(total, 6)))
+    named = [("m", pos, texts[t]) for pos, t in rows]
+    assert seen == {(9 * 8, round(similarity(named)["m"] * 400 * 399 / 2, 6))}
+
+
+def test_repeated_positions_are_refused(spark):
+    rows = spark.createDataFrame([("m", 1, "a"), ("m", 1, "b")], "model STRING, pos BIGINT, response STRING")
+    with pytest.raises(Exception, match="positions repeat"):
+        pairwise.format_consistency(rows).collect()
+
+
 def test_one_text_everywhere(spark):
     got = pairwise.format_consistency(spark.range(500).selectExpr("'m' model", "id pos", "'same' response"))
     assert got.first().format_consistency == 1.0
