@@ -34,7 +34,8 @@ WINDOW = 10
 # bytes of item texts in one automaton
 BLOCK_BYTES = 4_000_000
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+# words of the text as it is, with A-Z
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 # per byte of UTF-8: letters lowered, digits and non-ASCII kept, else a space
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
 

@@ -36,7 +36,7 @@ SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 24_000_000
 THRESHOLD = 0.7
 
-BASE_BYTES, EXTRA_BYTES = 64 << 10, 2500
+BASE_BYTES, EXTRA_BYTES = 64 << 10, 1500
 # runs of so many bytes are compared between the labels, and how much more frequent they have to be
 GRAM, MIN_Z, MIN_RATIO = 6, 6.0, 20.0
 # at most so many training windows of each kind
