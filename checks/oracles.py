@@ -231,6 +231,38 @@ log AS (SELECT model, model_ord, pos, text, success,
   CAST(CASE WHEN success THEN 7 ELSE 0 END AS DOUBLE) AS completion_tokens, 0.0 AS latency FROM answered)"""
 
 
+# The report, one row per leaf: numbers in `number`, texts in `value`.
+SUMMARY_COUNTS = (
+    "total_reviews", "successful_reviews", "error_count", "avg_tokens", "avg_input_tokens", "avg_output_tokens",
+    "total_input_tokens", "total_output_tokens", "total_tokens",
+)
+SUMMARY_TEXTS = {
+    "model_name": "model_name",
+    "full_name": "full_name",
+    **{f"{c}_text": f"format('{{:.2f}}%', {c} * 100)" for c in ("success_rate", *SUMMARY_METRICS[4:])},
+    "avg_latency_text": "format('{:.2f} seconds', avg_latency)",
+    "avg_cost_text": cost_text("avg_cost", 6),
+    "cost_per_1000_text": cost_text("cost_per_1000", 2),
+}
+SAMPLE_TEXTS = {"review": "review", "response": "response", "cost": response_cost("cost"), "latency": "format('{:.2f} seconds', latency)"}
+REPORT = with_ctes(
+    *RANKING, CHOSEN, RUN_STATS, SUMMARY,
+    """samples AS (SELECT * FROM priced QUALIFY row_number() OVER (PARTITION BY model ORDER BY NOT success, pos) = 1)""",
+    select=" UNION ALL ".join([
+        *(f"SELECT 'models' AS section, full_name AS key, '{c}' AS field, CAST(NULL AS VARCHAR) AS value, round(CAST({c} AS DOUBLE), 6) AS number FROM summary"
+          for c in (*SUMMARY_METRICS, *SUMMARY_COUNTS)),
+        *(f"SELECT 'models', full_name, '{c}', {e}, NULL FROM summary" for c, e in SUMMARY_TEXTS.items()),
+        *(f"SELECT 'sample_responses', model, '{c}', {e}, NULL FROM samples" for c, e in SAMPLE_TEXTS.items()),
+        "SELECT 'sample_responses', model, 'tokens', NULL, CAST(prompt_tokens + completion_tokens AS DOUBLE) FROM samples",
+        *(f"SELECT 'recommendations', 'chosen', '{c}', {c}, NULL FROM chosen" for c in ("best_overall", "best_value", "fastest", "most_accurate")),
+        "SELECT 'rankings', metric, 'order', string_agg(model, ',' ORDER BY rank), NULL FROM ranking GROUP BY metric",
+        *(f"SELECT 'charts', '{chart}/{metric}', model, model, round({f'greatest({metric}, 0.00001)' if chart == 'cost' else metric}, 6) FROM evaluation"
+          for chart, metric in CHART_METRICS),
+        "SELECT 'head', 'report_20250102_030405', 'reviews.csv', '2025-01-02T03:04:05.000000', NULL",
+    ]),
+)
+
+
 ORACLES: dict[str, str] = {
     # prices and cost
     "price_resolution": with_ctes(
@@ -352,11 +384,8 @@ ORACLES: dict[str, str] = {
         select="""SELECT full_name, total_input_tokens, total_output_tokens, avg_input_tokens, avg_output_tokens
           FROM summary""",
     ),
-    "report_roundtrip": with_ctes(
-        *RANKING, CHOSEN,
-        select="""SELECT 'report_20250102_030405' AS report_name, '2025-01-02 at 03:04' AS shown_at,
-          'reviews.csv' AS source_file, best_overall, top_models FROM chosen""",
-    ),
+    "report_doc": REPORT,
+    "report_roundtrip": REPORT,
     "format_cost": with_ctes(
         *COSTED, "shrunk AS (SELECT pos, cost / pow(10.0, pos % 7) AS cost FROM priced)",
         select=f"""SELECT pos, {cost_text('cost', 6)} AS cost_text, {cost_text('cost', 2)} AS cost_short,
@@ -399,10 +428,16 @@ ORACLES: dict[str, str] = {
     "search_reviews": "SELECT source, doc_id AS pos FROM documents WHERE contains(lower(text), 'tion')",
     "match_counts": """SELECT source, count(*) AS reviews, count(*) FILTER (WHERE contains(lower(text), 'tion')) AS matches,
       CAST(ceil(count(*) / 10) AS BIGINT) AS pages FROM documents GROUP BY source""",
+    "limit_reviews_large": with_ctes(
+        REQ,
+        select="""SELECT source, pos, review FROM (SELECT CASE WHEN pos % 10 = 0 THEN 'rare' ELSE 'hot' END AS source,
+            pos * 68719476736 AS pos, model AS review FROM req)
+          QUALIFY row_number() OVER (PARTITION BY source ORDER BY pos) <= 5000""",
+    ),
     "paginate": """SELECT source, pos, review_number, (review_number - 1) // 10 + 1 AS page,
       (review_number - 1) // 10 * 10 + 1 AS page_first,
       least((review_number - 1) // 10 * 10 + 10, total_reviews) AS page_last, total_reviews
-      FROM (SELECT source, doc_id AS pos, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS review_number,
+      FROM (SELECT source, doc_id * 1099511627776 AS pos, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS review_number,
               count(*) OVER (PARTITION BY source) AS total_reviews FROM documents)""",
     "token_estimate": "SELECT doc_id AS pos, length(text) // 5 + 1 AS tokens FROM documents",
     "approx_tokens": f"SELECT doc_id AS pos, round({words('text')} * CAST(1.3 AS DOUBLE), 6) AS tokens FROM documents",
@@ -482,8 +517,16 @@ ORACLES: dict[str, str] = {
         cleaned("raw", PREFIX_RULE),
         select="SELECT md5(review) AS review_md5 FROM cleaned",
     ),
-    "read_ragged_csv": f"SELECT md5(text) AS review_md5 FROM documents WHERE {strip('text')} <> ''",
-    "csv_fallback_chain": f"SELECT md5({strip('text')}) AS review_md5 FROM documents WHERE {strip('text')} <> ''",
+    "read_ragged_csv": f"SELECT md5(text) AS review_md5 FROM documents WHERE {strip('text')} <> '' AND doc_id % 10 <> 3",
+    "csv_fallback_chain": f"""SELECT md5(CASE doc_id % 40 WHEN 2 THEN md5(text) || ',' WHEN 3 THEN md5(text)
+        ELSE {strip('text')} END) AS review_md5 FROM documents WHERE {strip('text')} <> '' OR doc_id % 40 IN (2, 3)""",
+    "sheet_reviews": with_ctes(
+        f"raw AS ({HEADED})",
+        "rest AS (SELECT * FROM raw QUALIFY NOT (row_number() OVER (PARTITION BY source ORDER BY pos) = 1 AND lower(review) = 'reviews'))",
+        f"present AS (SELECT * FROM rest WHERE review NOT IN {NA})",
+        cleaned("present", "lower(review) = 'reviews'"),
+        select="SELECT source, pos, md5(review) AS review_md5 FROM cleaned",
+    ),
     "stage_roundtrip": with_ctes(
         RAW, cleaned("raw", PREFIX_RULE),
         select="""SELECT source, pos, md5(review) AS review_md5, 'reviews.csv' AS original_file,
@@ -497,6 +540,27 @@ ORACLES: dict[str, str] = {
           CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '...' ELSE text END AS review_preview
           FROM priced""",
     ),
+    "score_sources": with_ctes(
+        RUN,
+        """log AS (SELECT model, model_ord, source, row_number() OVER (PARTITION BY model, source ORDER BY doc_id) AS source_pos,
+          row_number() OVER (PARTITION BY model ORDER BY source, doc_id) AS pos,
+          '{"grade": ' || (length(text) % 5) || '}' AS response FROM documents, run)""",
+        TEXTS,
+        select="""SELECT l.model, l.source, l.source_pos, l.pos AS review_number, l.response, f.source AS sample_source,
+            f.source_pos AS sample_pos, round(c.format_consistency, 6) AS format_consistency
+          FROM log l JOIN log f ON l.model = f.model AND f.pos = 1 JOIN consistency c ON c.model = l.model WHERE l.pos <= 3""",
+    ),
+    # literal values: what each provider is called with
+    "score_settings": with_ctes(
+        RUN,
+        select="""SELECT model, doc_id AS pos, CASE model WHEN 'gpt-4o' THEN '0.7 2048' ELSE '0.1 500' END AS response
+          FROM documents, run""",
+    ),
+    "exact_tokens": with_ctes(
+        RUN,
+        select=f"""SELECT model, doc_id AS pos, round(CASE WHEN model = 'gpt-4o' THEN CAST(len(string_split(text, 'e')) AS DOUBLE)
+          ELSE {words('text')} * CAST(1.3 AS DOUBLE) END, 6) AS tokens FROM documents, run""",
+    ),
     "score_retries": with_ctes(
         RUN,
         """asked AS (SELECT model, doc_id AS pos, length(CAST(doc_id AS VARCHAR) || ' ' || text) % 4 AS failures,

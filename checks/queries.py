@@ -16,7 +16,8 @@ from replylens.functions import text as tx
 from replylens.functions.jsonx import structure_score, with_json
 from replylens.functions.naming import provider_by_prefix, resolve_alias, route_provider
 from replylens.functions.pricing import price_of, with_cost
-from replylens.operators import browse, cleaning, pairwise, prompts, ranking, scoring, stats
+from replylens.functions.tokens import count_tokens, tokenizer_counter
+from replylens.operators import browse, cleaning, numbering, pairwise, prompts, ranking, scoring, stats
 from replylens.plans import report
 from replylens.plans.evaluate import evaluate
 from replylens.session import prepare, scratch_path
@@ -239,7 +240,8 @@ def priced_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def all_responses(spark, sf_dir):
-    table = report.all_responses(priced_responses(spark, sf_dir), texts=True)
+    sparse = priced_responses(spark, sf_dir).withColumn("pos", F.col("pos") * F.lit(2**36))
+    table = report.all_responses(sparse, texts=True)
     return table.withColumn("cost", F.round("cost", 10))
 
 
@@ -291,11 +293,56 @@ def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _exploded(document: DataFrame) -> DataFrame:
+    """A report as (section, key, field, value, number) rows, one per leaf."""
+
+    def leaves(section: str, key: Column, struct: str, fields) -> Column:
+        return F.array(*[
+            F.struct(
+                F.lit(section).alias("section"),
+                key.alias("key"),
+                F.lit(f.name).alias("field"),
+                F.when(F.lit(f.dataType.typeName() == "string"), F.col(f"{struct}.{f.name}").cast("string")).alias("value"),
+                F.when(F.lit(f.dataType.typeName() != "string"), F.round(F.col(f"{struct}.{f.name}").try_cast("double"), 6)).alias("number"),
+            )
+            for f in fields
+        ])
+
+    schema = document.schema
+    parts = [
+        document.select(F.explode(section).alias("key", "of")).select(
+            F.inline(leaves(section, F.col("key"), "of", schema[section].dataType.valueType.fields))
+        )
+        for section in ("models", "sample_responses")
+    ]
+    chosen = [f for f in schema["recommendations"].dataType.fields if f.dataType.typeName() == "string"]
+    parts.append(document.select(F.inline(leaves("recommendations", F.lit("chosen"), "recommendations", chosen))))
+    none = F.lit(None).cast("double")
+    parts.append(
+        document.select(F.explode("rankings").alias("key", "models")).select(
+            F.lit("rankings").alias("section"), "key", F.lit("order").alias("field"), F.array_join("models", ",").alias("value"), none.alias("number")
+        )
+    )
+    parts.append(
+        document.select(F.inline("charts")).select(
+            F.lit("charts").alias("section"), F.concat("chart", F.lit("/"), "metric").alias("key"), F.col("model").alias("field"),
+            F.col("label").alias("value"), F.round("value", 6).alias("number"),
+        )
+    )
+    parts.append(
+        document.select(F.lit("head").alias("section"), "report_name", "timestamp", "source_file").select(
+            "section", F.col("report_name").alias("key"), F.col("source_file").alias("field"), F.col("timestamp").alias("value"), none.alias("number")
+        )
+    )
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 @query
 def report_doc(spark, sf_dir):
-    return _report(spark, sf_dir).select("report_name", "timestamp", "source_file", F.to_json("models").alias("models"),
-        F.to_json("rankings").alias("rankings"), F.to_json("recommendations").alias("recommendations"),
-        F.to_json("sample_responses").alias("sample_responses"), F.to_json("charts").alias("charts"))
+    return _exploded(_report(spark, sf_dir))
 
 
 @query
@@ -303,13 +350,7 @@ def report_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "reports")
     sinks.write_report(_report(spark, sf_dir), path)
     stored = readers.read_report(spark, path, "report_20250102_030405")
-    return stored.select(
-        "report_name",
-        tx.display_timestamp(F.col("timestamp")).alias("shown_at"),
-        "source_file",
-        "recommendations.best_overall",
-        F.array_join("recommendations.top_models", ",").alias("top_models"),
-    )
+    return _exploded(stored)
 
 
 @query
@@ -388,6 +429,15 @@ def limit_reviews(spark, sf_dir):
     return browse.limit_reviews(reviews(spark, sf_dir)).select("source", "pos", digest("review"))
 
 
+@query
+def limit_reviews_large(spark, sf_dir):
+    spread = F.col("pos") * F.lit(2**36)
+    asked = bind(spark, sf_dir, REQUESTS).select(
+        F.when(F.col("pos") % 10 == 0, "rare").otherwise("hot").alias("source"), spread.alias("pos"), F.col("model").alias("review")
+    )
+    return browse.limit_reviews(asked, 5000)
+
+
 @query
 def search_reviews(spark, sf_dir):
     return browse.search_reviews(reviews(spark, sf_dir), "TION").select("source", "pos")
@@ -404,7 +454,9 @@ def match_counts(spark, sf_dir):
 
 @query
 def paginate(spark, sf_dir):
-    paged = browse.paginate(reviews(spark, sf_dir))
+    # positions need not be dense
+    sparse = reviews(spark, sf_dir).withColumn("pos", F.col("pos") * F.lit(2**40))
+    paged = browse.paginate(sparse)
     return paged.select("source", "pos", "review_number", "page", "page_first", "page_last", "total_reviews")
 
 
@@ -575,7 +627,13 @@ def read_lines(spark, sf_dir):
 def read_ragged_csv(spark, sf_dir):
     path = scratch_path(spark, "ragged")
     quoted = F.concat(F.lit('"'), F.regexp_replace("text", '"', '""'), F.lit('"'))
-    extra = F.when(F.col("doc_id") % 2 == 0, F.concat(F.col("lang"), F.lit(","), quoted)).otherwise(quoted)
+    # two or three cells, a hundred, or an empty one at the end
+    extra = (
+        F.when(F.col("doc_id") % 10 == 7, F.concat(F.repeat(F.lit("x,"), 98), quoted))
+        .when(F.col("doc_id") % 10 == 3, F.concat(quoted, F.lit(",")))
+        .when(F.col("doc_id") % 2 == 0, F.concat(F.col("lang"), F.lit(","), quoted))
+        .otherwise(quoted)
+    )
     rows = F.concat(F.col("source"), F.lit(","), extra)
     spark.read.parquet(f"{sf_dir}/documents.parquet").select(rows.alias("value")).write.text(path)
     return readers.read_ragged_csv(spark, path).select(digest("review"))
@@ -583,10 +641,22 @@ def read_ragged_csv(spark, sf_dir):
 
 @query
 def csv_fallback_chain(spark, sf_dir):
-    path = scratch_path(spark, "chain")
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    _write_csv(documents.select("doc_id", F.col("text").alias("feedback")), path, True)
-    return readers.csv_with_fallbacks(spark, path).select(digest("review"))
+    """Every document in a file for which one of the four ways of reading wins."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("kind", F.col("doc_id") % 40)
+    paths = {kind: scratch_path(spark, f"chain-{kind}") for kind in ("headed", "alone", "lines", "cells")}
+    _write_csv(documents.filter("kind not in (1, 2, 3)").select("doc_id", F.col("text").alias("feedback")), paths["headed"], True)
+    alone = documents.filter("kind = 1").select("doc_id", "text")
+    alone.write.options(header=False, escape='"', quoteAll=True, maxRecordsPerFile=1).csv(paths["alone"])
+    documents.filter("kind = 2").select(F.concat(F.md5("text"), F.lit(",")).alias("value")).write.text(paths["lines"])
+    labelled = F.concat(F.lit("Review 0\nReview "), F.col("doc_id").cast("string"), F.lit(","), F.md5("text"))
+    documents.filter("kind = 3").select(labelled.alias("value")).write.text(paths["cells"])
+    return readers.csv_with_fallbacks(spark, list(paths.values())).select(digest("review"))
+
+
+@query
+def sheet_reviews(spark, sf_dir):
+    sheet = bind(spark, sf_dir, HEADED).select(F.col("source").alias("_file"), F.col("pos").alias("_pos"), F.col("review").alias("body"))
+    return readers.read_sheet_reviews(sheet).select("source", "pos", digest("review"))
 
 
 @query
@@ -641,6 +711,43 @@ def score_stub(spark, sf_dir):
     )
 
 
+def _grade(model: str, prompt: str, settings: dict) -> tuple:
+    return json.dumps({"grade": len(prompt) % 5}), len(prompt), 3
+
+
+@query
+def score_sources(spark, sf_dir):
+    """Reviews numbered within each source, through a run and what reads its order."""
+    numbered = numbering.number_rows(reviews(spark, sf_dir), ["source"], name="line").withColumn("pos", F.col("line")).drop("line")
+    asked = numbering.run_positions(numbered)
+    answers = sinks.write_responses(scoring.score(asked, RUN_MODELS, "{review}", _grade, RETRIES), scratch_path(spark, "answers"))
+    top = report.top_responses(answers).select("model", "source", "source_pos", "review_number", "response")
+    sample = report.sample_response(answers).select("model", F.col("source").alias("sample_source"), F.col("source_pos").alias("sample_pos"))
+    consistency = rounded(pairwise.format_consistency(answers))
+    return top.join(sample, "model").join(consistency, "model")
+
+
+def _settings(model: str, prompt: str, settings: dict) -> tuple:
+    return f"{settings['temperature']} {settings['max_output_tokens']}", 1, 1
+
+
+@query
+def score_settings(spark, sf_dir):
+    scored = scoring.score(reviews(spark, sf_dir), RUN_MODELS, TEMPLATE, _settings, RETRIES, concurrency=16)
+    return scored.select("model", "pos", "response")
+
+
+def _split_at_e(text: str) -> list[str]:
+    return text.split("e")
+
+
+@query
+def exact_tokens(spark, sf_dir):
+    counters = {"openai": tokenizer_counter(_split_at_e)}
+    asked = prompts.fan_out(reviews(spark, sf_dir), RUN_MODELS)
+    return rounded(asked.select("model", "pos", count_tokens(F.col("review"), F.col("model"), counters).alias("tokens")))
+
+
 @query
 def score_retries(spark, sf_dir):
     # position in the prompt keeps copies of a text apart

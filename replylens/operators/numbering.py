@@ -7,34 +7,57 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows are numbered inside slices of this many positions (2**18).
-SLICE_BITS = 18
+from replylens.session import durable, join_bounded
+
+# Rows of a group are pruned in so many parts before they are numbered.
+PRUNING_PARTS = 64
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], pos: str = "pos", name: str = "review_number", total: str | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    pos: str | Sequence[str] = "pos",
+    name: str = "review_number",
+    total: str | None = None,
 ) -> DataFrame:
-    """Number rows 1..n per group in order of `pos`, optionally with n itself.
+    """Number rows 1..n per group in order of `pos` (one or more columns), optionally with n itself.
 
-    A plain `row_number()` would sort a group in one task. Here a group is cut
-    into slices of its position range; each slice is numbered on its own and
-    shifted by the sizes of the slices before it. The only shuffle of the rows
-    is on (group, slice); the slice sizes are one row per slice.
+    A plain `row_number()` would sort a group in one task. Here the rows are
+    sorted once by ranges of (group, position), whatever the positions look like,
+    and kept that way; a row's number is its place in its range plus the sizes of the group's
+    ranges before it. Building the result already runs that sort.
     """
     group = list(keys)
-    sliced = df.withColumn("_slice", F.shiftright(F.col(pos).cast("bigint"), SLICE_BITS))
-    sizes = sliced.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_size"))
+    order = [*group, *([pos] if isinstance(pos, str) else pos)]
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the id holds the partition in its upper bits and the row's place there in the lower 33
+    placed = durable(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_range", F.shiftright("_at", 33))
+    sizes = placed.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_begin"))
     whole = Window.partitionBy(*group)
-    before = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(
         *group,
-        "_slice",
-        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"),
+        "_range",
+        (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_begin") + 1).alias("_shift"),
         *([F.sum("_size").over(whole).alias(total)] if total else []),
     )
-    within = Window.partitionBy(*group, "_slice").orderBy(pos)
-    numbered = sliced.withColumn("_within", F.row_number().over(within)).join(shifts, [*group, "_slice"])
-    return numbered.withColumn(name, F.col("_within") + F.col("_shift")).drop("_slice", "_within", "_shift")
+    numbered = join_bounded(placed, shifts, [*group, "_range"])
+    return numbered.withColumn(name, F.col("_at") + F.col("_shift")).drop("_range", "_at", "_shift")
+
+
+def run_positions(reviews: DataFrame, order: Sequence[str] = ("source", "pos")) -> DataFrame:
+    """Reviews of several files as one run: `pos` becomes unique, in the order given; it was `source_pos` before."""
+    numbered = number_rows(reviews.withColumn("source_pos", F.col("pos")), (), order, name="_n")
+    return numbered.withColumn("pos", F.col("_n") - 1).drop("_n")
+
+
+def pruned(df: DataFrame, keys: Sequence[str], n: int, pos: str = "pos") -> DataFrame:
+    """Rows among which the first n of each group are: at most n per group, part and task are shuffled."""
+    part = F.pmod(F.xxhash64(pos), F.lit(PRUNING_PARTS)).cast("int")
+    order = Window.partitionBy(*keys, "_part").orderBy(pos)
+    ranked = df.withColumn("_part", part).withColumn("_nth", F.row_number().over(order))
+    return ranked.filter(F.col("_nth") <= n).drop("_part", "_nth")
 
 
 def first_rows(
@@ -42,12 +65,11 @@ def first_rows(
 ) -> DataFrame:
     """The first n rows per group in order of `pos`, numbered if `number` names a column.
 
-    Spark prunes each task to n rows per group before the shuffle, so a hot
-    group costs no more than n rows per task.
+    Tasks prune their rows before the shuffle, then what is left is numbered;
+    no task sorts a group, and the plan is the same for every n.
     """
     if not keys and number is None:
         return df.orderBy(pos).limit(n)
     nth = number or "_nth"
-    order = Window.partitionBy(*keys).orderBy(pos)
-    kept = df.withColumn(nth, F.row_number().over(order)).filter(F.col(nth) <= n)
+    kept = number_rows(pruned(df, keys, n, pos), keys, pos, nth).filter(F.col(nth) <= n)
     return kept if number else kept.drop(nth)

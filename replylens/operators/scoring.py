@@ -54,6 +54,12 @@ _ANSWER = (
     "success BOOLEAN, response STRING, reported_prompt_tokens DOUBLE, "
     "reported_completion_tokens DOUBLE, latency DOUBLE, total_time DOUBLE"
 )
+# names that a column carried along with the reviews cannot have
+_ANSWER_COLUMNS = {
+    "model", "model_ord", "called_model", "provider", "review_preview", "prompt", "success", "response", "prompt_tokens",
+    "completion_tokens", "total_tokens", "latency", "total_time", "cost", "price", "system_prompt", "temperature",
+    "max_output_tokens", "refusal", "reported_prompt_tokens", "reported_completion_tokens",
+}
 
 
 def call_with_retry(call: Call, retry: Retry, model: str, prompt: str, settings: dict) -> tuple:
@@ -112,11 +118,17 @@ def score(
     retried calls the provider again, so write the result before analysing it
     (`sinks.write_responses`). `counters` holds token counters per provider, for
     usage a provider did not report; the others are estimated from words.
+    Further columns of `reviews`, such as `source`, stay with their answers. What
+    compares or numbers answers needs a `pos` that is unique in the run: give reviews of
+    several files one with `numbering.run_positions` first.
     """
+    carried = [c for c in reviews.columns if c not in ("pos", "review")]
+    if taken := sorted(set(carried) & _ANSWER_COLUMNS):
+        raise ValueError(f"columns of the reviews have names that answers use: {', '.join(taken)}")
     requests = with_settings(render_prompts(reviews, models, template))
     if concurrency:
         requests = requests.repartition(concurrency, "model", "pos")
-    return _priced(_called(_with_call_id(requests), call, retries), counters)
+    return _priced(_called(_with_call_id(requests), call, retries), counters, carried)
 
 
 def score_prompt(
@@ -171,7 +183,9 @@ def _called(requests: DataFrame, call: Call, retries: dict[str, Retry] | None) -
     return requests.mapInPandas(run, schema)
 
 
-def _priced(answers: DataFrame, counters: Mapping[str, Counter] | None = None) -> DataFrame:
+def _priced(
+    answers: DataFrame, counters: Mapping[str, Counter] | None = None, carried: Sequence[str] = ()
+) -> DataFrame:
     def tokens(reported: str, text: str) -> Column:
         uncounted = F.col("success") & (F.col(reported) == 0)
         return F.when(uncounted, count_tokens(F.col(text), F.col("model"), counters)).otherwise(F.col(reported))
@@ -183,7 +197,7 @@ def _priced(answers: DataFrame, counters: Mapping[str, Counter] | None = None) -
         }
     )
     return with_cost(counted).select(
-        "model", "model_ord", "called_model", "provider", "pos",
+        *carried, "model", "model_ord", "called_model", "provider", "pos",
         preview(F.col("review")).alias("review_preview"), "review", "prompt", "success", "response",
         "prompt_tokens", "completion_tokens",
         (F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,6 +13,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # limits per group are pruned in each task however many rows they keep
+    "spark.sql.optimizer.windowGroupLimitThreshold": str(2**31 - 1),
     # a reply may repeat a JSON key; the last one counts
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
@@ -28,11 +31,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local run without one gets its own."""
+    """The cluster's checkpoint folder; a run in one process without one gets its own."""
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir")
     if context.getCheckpointDir() is None:
-        if configured is None and not context.master.startswith("local"):
+        if configured is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="replylens-"))
     return configured or context.getCheckpointDir()
@@ -54,7 +57,8 @@ def join_bounded(big: DataFrame, small: DataFrame, on: list[str], how: str = "in
 
     The side is computed once and counted. Within BROADCAST_ROWS it is
     broadcast and `big` is not shuffled; beyond that Spark joins by shuffle and
-    AQE splits whatever key turns out to be hot.
+    AQE splits whatever key turns out to be hot. The call itself runs the jobs that
+    compute and count the side.
     """
     kept = durable(small)
     return big.join(F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept, on, how)

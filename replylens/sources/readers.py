@@ -7,11 +7,14 @@ parallel; the options that keep a file in one task say so.
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from replylens.functions.text import is_header_like, strip_blank
 from replylens.operators.cleaning import (
@@ -25,8 +28,6 @@ from replylens.operators.cleaning import (
 from replylens.session import join_bounded
 from replylens.sources.columns import detect_text_column, pick_column, sample_lines, sample_values
 
-# Cells read from a row of a ragged file.
-RAGGED_WIDTH = 64
 PLACE = ("_file", "_pos")
 FORMATS = ("csv", "txt", "xls", "xlsx")
 
@@ -41,14 +42,15 @@ def _placed(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str | list[str], header: bool = True, multi_line: bool = True) -> DataFrame:
-    """A delimited file, all columns STRING, missing-value texts as NULL.
+    """Delimited files with the same header, all columns STRING, missing-value texts as NULL.
 
+    Files whose header differs from the first one's are refused.
     Without a header the columns are `0`, `1`, ... in file order. With
     `multi_line` quoted cells may contain line breaks and a file is one task;
     without it large files are split.
     """
     reader = spark.read.options(
-        header=header, multiLine=multi_line, escape='"', inferSchema=False, ignoreLeadingWhiteSpace=False
+        header=header, multiLine=multi_line, escape='"', inferSchema=False, ignoreLeadingWhiteSpace=False, enforceSchema=False
     )
     raw = reader.csv(path)
     columns = raw.columns
@@ -90,9 +92,14 @@ def read_csv_headerless(spark: SparkSession, path: str | list[str], multi_line:
     return clean_reviews(_as_reviews(df, data_columns(df)[-1]))
 
 
-def read_sheet_reviews(df: DataFrame) -> DataFrame:
-    """Reviews of a spreadsheet already loaded as text columns with `_file` and `_pos`."""
+def read_sheet_reviews(df: DataFrame, header: bool = True) -> DataFrame:
+    """Reviews of a spreadsheet already loaded as text columns with `_file` and `_pos`.
+
+    Without a header its only or last column is taken.
+    """
     names = data_columns(df)
+    if not header:
+        return clean_reviews(nullify_na(_as_reviews(df, names[-1]), ["review"]), EQUALS_RULE)
     column = detect_text_column(names)
     reviews = _as_reviews(df, column)
     if len(names) == 1 and not _is_hinted(column):
@@ -110,28 +117,53 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return clean_reviews(_as_reviews(_placed(spark.read.text(path)), "value"))
 
 
-def read_ragged_csv(spark: SparkSession, path: str | list[str], width: int = RAGGED_WIDTH) -> DataFrame:
-    """Rows of different lengths: the last cell of each, if the file's first row has several.
-
-    Files that yield nothing that way fall back to the first usable cell of each
-    row. `width` bounds the cells of a row; longer rows are refused, not cut.
+def _parsed_cells(multi_line: bool):
+    """Function for mapInArrow over (source, pos, value): the cells of each row of delimited text."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(2**31 - 1)
+        for batch in batches:
+            sources, places, rows = [], [], []
+            for source, pos, value in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                lines = io.StringIO(value.removeprefix("\ufeff"), newline="") if multi_line else [value]
+                try:
+                    for i, cells in enumerate(csv.reader(lines)):
+                        if cells:
+                            sources.append(source)
+                            places.append(i if multi_line else pos)
+                            rows.append(cells)
+                except csv.Error:  # such a file has no further rows for this reader
+                    continue
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(sources, pa.string()), pa.array(places, pa.int64()), pa.array(rows, pa.list_(pa.string()))],
+                names=["source", "pos", "cells"],
+            )
+
+    return parse
+
+
+def read_cells(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+    """(source, pos, cells): every row with all its cells, however many, also empty ones at its end.
+
+    With `multi_line` quoted cells may contain line breaks and a file is one row of
+    text in one task; without it files are split into lines.
     """
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width + 1)])
-    raw = spark.read.schema(schema).options(header=False, multiLine=True, escape='"', nullValue="\x00").csv(path)
-    placed = _placed(raw)
-    cells = F.array(*[F.col(f"c{i}") for i in range(width)])
-    too_long = F.col(f"c{width}").isNotNull()
-    guarded = F.when(too_long, F.raise_error(F.lit(f"a row has more than {width} cells"))).otherwise(cells)
-    rows = placed.select(F.col("_file").alias("source"), F.col("_pos").alias("pos"), F.filter(guarded, lambda c: c.isNotNull()).alias("cells"))
+    text = spark.read.text(path, wholetext=multi_line)
+    return _as_reviews(_placed(text), "value").mapInArrow(
+        _parsed_cells(multi_line), "source STRING, pos BIGINT, cells ARRAY<STRING>"
+    )
 
-    def usable(cell):
-        return (strip_blank(cell) != "") & ~is_header_like(strip_blank(cell), PREFIX_RULE)
 
+def _usable(cell: Column) -> Column:
+    return (strip_blank(cell) != "") & ~is_header_like(strip_blank(cell), PREFIX_RULE)
+
+
+def _ragged_reviews(rows: DataFrame) -> DataFrame:
     last = F.element_at("cells", -1)
-    first = F.get(F.filter("cells", usable), F.lit(0))
+    first = F.get(F.filter("cells", _usable), F.lit(0))
     wide = F.size("cells") > 1
-    rated = rows.filter(F.size("cells") > 0).select(
-        "source", "pos", wide.alias("wide"), F.when(usable(last), last).alias("last"), strip_blank(first).alias("first")
+    rated = rows.select(
+        "source", "pos", wide.alias("wide"), F.when(_usable(last), last).alias("last"), strip_blank(first).alias("first")
     )
     # Two minima per file decide which rule it takes.
     by_last = (
@@ -149,6 +181,14 @@ def read_ragged_csv(spark: SparkSession, path: str | list[str], width: int = RAG
     return marked.select("source", "pos", review.alias("review")).filter(F.col("review").isNotNull())
 
 
+def read_ragged_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+    """Rows of different lengths: the last cell of each, if the file's first row has several.
+
+    Files that yield nothing that way fall back to the first usable cell of each row.
+    """
+    return _ragged_reviews(read_cells(spark, path, multi_line))
+
+
 def read_text_reviews(spark: SparkSession, path: str | list[str], whole_files: bool = True) -> DataFrame:
     """Plain text: blocks between blank lines, or lines in files without a blank line.
 
@@ -185,20 +225,42 @@ def _whole_text_reviews(spark: SparkSession, path: str | list[str]) -> DataFrame
     return clean_reviews(reviews.select("source", F.col("p").cast("bigint").alias("pos"), "review"), header_rule=None)
 
 
-def csv_with_fallbacks(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """The first way of reading a delimited file that finds any review."""
-    attempts = (read_csv_reviews, read_csv_headerless, read_lines, read_ragged_csv)
-    found = None
-    for attempt in attempts:
-        try:
-            found = attempt(spark, path)
-            if not found.isEmpty():
-                return found
-        except Exception:  # a file one reader cannot parse is left to the next
-            continue
-    if found is None:
-        raise ValueError(f"no reader could open {path}")
-    return found
+def _detected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        headers = batch.column(1).to_pylist()
+        places = [names.index(detect_text_column(names)) for names in headers]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(places, pa.int32()), pa.array([len(n) for n in headers], pa.int32())],
+            names=["source", "place", "width"],
+        )
+
+
+def csv_with_fallbacks(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+    """Per file, the first way of reading delimited text that finds any review.
+
+    In order: by its own header, without a header, line by line, cell by cell. All
+    files are read each way; the first way that counts a review is kept for a file.
+    """
+    rows = read_cells(spark, path, multi_line)
+    first = rows.groupBy("source").agg(F.min_by("cells", "pos").alias("names"), F.min("pos").alias("first"))
+    chosen = first.select("source", "names").mapInArrow(_detected, "source STRING, place INT, width INT")
+    placed = join_bounded(rows, chosen.join(first.select("source", "first"), "source"), ["source"])
+
+    def of(place: Column, kept: Column) -> DataFrame:
+        return nullify_na(placed.filter(kept).select("source", "pos", F.get("cells", place).alias("review")), ["review"])
+
+    ways = (
+        strip_quotes_if_first_quoted(clean_reviews(of(F.col("place"), F.col("pos") > F.col("first")))),
+        clean_reviews(of(F.col("width") - 1, F.lit(True))),
+        read_lines(spark, path),
+        _ragged_reviews(rows),
+    )
+    tagged = None
+    for i, way in enumerate(ways):
+        one = way.select("source", "pos", "review", F.lit(i).alias("_way"))
+        tagged = one if tagged is None else tagged.unionByName(one)
+    best = tagged.groupBy("source").agg(F.min("_way").alias("_best"))
+    return join_bounded(tagged, best, ["source"]).filter(F.col("_way") == F.col("_best")).drop("_way", "_best")
 
 
 def extension(path: str) -> str:
@@ -209,13 +271,18 @@ def is_allowed(path: str) -> bool:
     return extension(path) in FORMATS
 
 
-def read_reviews(spark: SparkSession, path: str, column: str | None = None) -> DataFrame:
-    """Reviews of a file, by extension; a chosen column or a detected one."""
+def read_reviews(spark: SparkSession, path: str, column: str | None = None, whole_files: bool = True) -> DataFrame:
+    """Reviews of a file, by extension; a chosen column or a detected one.
+
+    `whole_files=False` splits large files, whose cells must not hold line breaks then.
+    """
     kind = extension(path)
     if kind == "txt":
-        return read_text_reviews(spark, path)
+        return read_text_reviews(spark, path, whole_files)
+    if kind == "csv" and column is None:
+        return csv_with_fallbacks(spark, path, whole_files)
     if kind == "csv":
-        return csv_with_fallbacks(spark, path) if column is None else reviews_from_column(read_csv(spark, path), column)
+        return reviews_from_column(read_csv(spark, path, multi_line=whole_files), column)
     if kind in ("xls", "xlsx"):
         raise ValueError("spreadsheets are loaded elsewhere; pass their table to read_sheet_reviews")
     raise ValueError(f"unsupported file extension: {kind}")
@@ -264,10 +331,8 @@ def read_staged(spark: SparkSession, path: str, run_id: str) -> DataFrame:
 
 
 def read_report(spark: SparkSession, path: str, report_name: str) -> DataFrame:
-    """A stored report by name; an unknown name is an error."""
-    stored = spark.read.json(path, multiLine=False).filter(F.col("report_name") == report_name)
+    """A stored report by name, as it was written; only its partition is read. An unknown name is an error."""
+    stored = spark.read.parquet(path).filter(F.col("report_name") == F.lit(report_name))
     if stored.isEmpty():
         raise FileNotFoundError(f"no report named {report_name}")
     return stored
-
-

@@ -40,5 +40,11 @@ def write_responses(responses: DataFrame, path: str) -> DataFrame:
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """Append report documents, one JSON line each."""
-    report.write.mode("append").json(path)
+    """Keep report documents with their schema, one partition per name; a name written again is replaced."""
+    writer = report.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("report_name").parquet(path)
+
+
+def export_report(report: DataFrame, path: str) -> None:
+    """Write report documents as JSON lines, for other programs to read."""
+    report.write.mode("overwrite").json(path)

@@ -102,8 +102,9 @@ def test_ragged_rows(spark, tmp_path):
     assert texts(readers.read_ragged_csv(spark, path)) == ["first", "sec,ond", "third"]
     narrow = write(tmp_path / "b.csv", "one\nreview,two\n")
     assert texts(readers.read_ragged_csv(spark, narrow)) == ["one", "two"]
-    with pytest.raises(Exception, match="more than 2 cells"):
-        readers.read_ragged_csv(spark, path, width=2).collect()
+    long = write(tmp_path / "c.csv", "x,1\n2,\n3,x,\n" + "y," * 99 + "hundredth\n")
+    assert texts(readers.read_ragged_csv(spark, long)) == ["1", "hundredth"]
+    assert texts(readers.read_ragged_csv(spark, long, multi_line=False)) == ["1", "hundredth"]
 
 
 def test_fallback_chain(spark, tmp_path):
@@ -112,6 +113,25 @@ def test_fallback_chain(spark, tmp_path):
     assert texts(readers.csv_with_fallbacks(spark, path)) == ["wonderful place"]
 
 
+def test_each_file_of_a_folder_falls_back_for_itself(spark, tmp_path):
+    write(tmp_path / "a.csv", "id,feedback\n1,fine\n")
+    write(tmp_path / "b.csv", "0,great food\n")
+    write(tmp_path / "c.csv", "feedback,id\nlovely,9\n")
+    assert texts(readers.csv_with_fallbacks(spark, str(tmp_path))) == ["fine", "great food", "lovely"]
+
+
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    write(tmp_path / "a.csv", "id,feedback\n1,fine\n")
+    write(tmp_path / "b.csv", "feedback,id\nlovely,9\n")
+    with pytest.raises(Exception, match="header"):
+        readers.read_csv_reviews(spark, str(tmp_path)).collect()
+
+
+def test_sheet_without_header(spark):
+    sheet = spark.createDataFrame([("f", 0, "1", "good"), ("f", 1, "2", " N/A ")], "_file STRING, _pos BIGINT, `0` STRING, `1` STRING")
+    assert "good" in texts(readers.read_sheet_reviews(sheet, header=False))
+
+
 def test_unknown_extension(spark):
     with pytest.raises(ValueError):
         readers.read_reviews(spark, "a.pdf")
@@ -151,7 +171,12 @@ def test_staging_replaces_one_run_only(spark, tmp_path):
 
 def test_missing_report(spark, tmp_path):
     path = str(tmp_path / "reports")
-    sinks.write_report(spark.range(1).select(F.lit("r1").alias("report_name")), path)
-    assert readers.read_report(spark, path, "r1").count() == 1
+    document = spark.range(1).select(F.lit("r1").alias("report_name"), F.create_map(F.lit("m"), F.struct(F.lit(1).alias("n"))).alias("models"))
+    for _ in range(2):  # a name written again replaces the report
+        sinks.write_report(document, path)
+    stored = readers.read_report(spark, path, "r1")
+    assert stored.count() == 1 and stored.schema["models"].dataType.simpleString() == "map<string,struct<n:int>>"
+    sinks.export_report(document, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).first().report_name == "r1"
     with pytest.raises(FileNotFoundError):
         readers.read_report(spark, path, "r2")

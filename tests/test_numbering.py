@@ -1,10 +1,12 @@
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from replylens.operators import browse, numbering
 
 
-def test_numbers_follow_positions_across_slices(spark, monkeypatch):
-    monkeypatch.setattr(numbering, "SLICE_BITS", 3)
+def test_numbers_follow_positions_of_any_density(spark):
     rows = [("hot", (i * 37) % 1000) for i in range(300)] + [("cold", -5), ("cold", 10**15)]
     df = spark.createDataFrame(rows, "source STRING, pos BIGINT").repartition(5)
     got = numbering.number_rows(df, ["source"], total="n").collect()
@@ -23,10 +25,26 @@ def test_limit_keeps_the_first_rows(spark):
     assert browse.limit_reviews(df, 5, ()).count() == 5
 
 
-def test_limit_prunes_before_the_shuffle(spark):
-    df = spark.range(1000).selectExpr("cast(id % 3 as string) source", "id pos")
-    plan = numbering.first_rows(df, ["source"], 5)._jdf.queryExecution().executedPlan().toString()
+@pytest.mark.parametrize("n", [5, 5000])
+def test_limit_prunes_before_a_shuffle_of_parts(spark, n):
+    df = spark.range(1000000).selectExpr("cast(id % 3 as string) source", "id pos")
+    plan = numbering.pruned(df, ["source"], n)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
+    assert re.findall(r"hashpartitioning\(source#\d+, _part#\d+", plan) and plan.count("hashpartitioning") == 1
+
+
+def test_large_limit_on_sparse_positions(spark):
+    df = spark.range(20000).selectExpr("if(id % 4 = 0, 'a', 'b') source", "id * 56294995342131 pos")
+    kept = numbering.first_rows(df, ["source"], 3000, number="n")
+    got = {r.source: (r.c, r.last, r.top) for r in kept.groupBy("source").agg(
+        F.count("*").alias("c"), F.max("pos").alias("last"), F.max("n").alias("top")).collect()}
+    assert got == {"a": (3000, 2999 * 4 * 56294995342131, 3000), "b": (3000, 3999 * 56294995342131, 3000)}
+
+
+def test_positions_of_a_run(spark):
+    df = spark.createDataFrame([("b", 0), ("a", 1), ("a", 0), ("b", 1)], "source STRING, pos INT")
+    got = numbering.run_positions(df).collect()
+    assert {(r.source, r.source_pos, r.pos) for r in got} == {("a", 0, 0), ("a", 1, 1), ("b", 0, 2), ("b", 1, 3)}
 
 
 def test_pages(spark):
