@@ -213,7 +213,9 @@ def links(prints: DataFrame) -> DataFrame:
         .select("key", "fp", chunk.alias("c"), F.explode(others).alias("o"))
         .select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "fp")
     )
-    groups = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    # groups are small in bytes and heavy in work, so their number of partitions is fixed for AQE not to merge them
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = dealt.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return groups.mapInArrow(_linked, "a bigint, b bigint")
 
 
