@@ -17,7 +17,9 @@ has no rows, every score is 0 (no toxic rows) or 1 (no ordinary ones). Long text
 
 from __future__ import annotations
 
+import math
 import random
+import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -36,9 +38,15 @@ SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 24_000_000
 THRESHOLD = 0.7
 
-BASE_BYTES, EXTRA_BYTES = 64 << 10, 1500
-# runs of so many bytes are compared between the labels, and how much more frequent they have to be
+BASE_BYTES = 64 << 10
+# what the extensions are chosen from: their sizes and the length of the runs they are made of
+EXTRA_BYTES, EXTRA_RUNS = (1000, 1500, 2500), (24, 50)
+CHOICE_ROWS = 400
+# runs of so many bytes, and words, are compared between the labels; how much more frequent they have to be
 GRAM, MIN_Z, MIN_RATIO = 6, 6.0, 20.0
+WORD = re.compile(rb"[a-z\x80-\xff]+")
+# windows are counted by the bytes that the toxic dictionary saves at least
+LEVELS = (-2, -1, 1, 2, 3, 4, 5, 6, 7, 8)
 # at most so many training windows of each kind
 TRAIN_WINDOWS = 60_000
 
@@ -60,36 +68,33 @@ def grams(text: bytes) -> np.ndarray:
     return out
 
 
-def _frequencies(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of bytes and in how many texts each occurs."""
-    return np.unique(np.concatenate([np.unique(grams(t)) for t in texts]), return_counts=True)
+def tokens(text: bytes) -> list[bytes]:
+    """Words with the space before and after them."""
+    return [b" " + w + b" " for w in WORD.findall(text)]
 
 
-def telling_grams(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
-    """The runs whose share of toxic texts exceeds that of ordinary texts clearly, sorted."""
-    runs, in_toxic = _frequencies(toxic)
-    others, counts = _frequencies(ordinary)
-    if not len(runs):
-        return runs
-    at = np.minimum(np.searchsorted(others, runs), max(len(others) - 1, 0))
-    in_ordinary = np.where(others[at] == runs, counts[at], 0) if len(others) else np.zeros(len(runs))
-    p, q = (in_toxic + 0.5) / (len(toxic) + 1), (in_ordinary + 0.5) / (len(ordinary) + 1)
-    both = (in_toxic + in_ordinary + 1) / (len(toxic) + len(ordinary) + 2)
-    z = (p - q) / np.sqrt(both * (1 - both) * (1 / len(toxic) + 1 / len(ordinary)))
-    return runs[(z >= MIN_Z) & (p >= MIN_RATIO * q)] if ((z >= MIN_Z) & (p >= MIN_RATIO * q)).any() else np.sort(runs[np.argsort(-z, kind="stable")[:50]])
+def telling(toxic: list[bytes], ordinary: list[bytes], parts: Callable[[bytes], Iterable]) -> set:
+    """The parts whose share of toxic texts exceeds that of ordinary texts clearly."""
+    in_toxic, in_ordinary = (Counter(p for t in texts for p in set(parts(t))) for texts in (toxic, ordinary))
+    out = set()
+    for part, n in in_toxic.items():
+        m = in_ordinary[part]
+        p, q = (n + 0.5) / (len(toxic) + 1), (m + 0.5) / (len(ordinary) + 1)
+        both = (n + m + 1) / (len(toxic) + len(ordinary) + 2)
+        if p >= MIN_RATIO * q and p - q >= MIN_Z * math.sqrt(both * (1 - both) * (1 / len(toxic) + 1 / len(ordinary))):
+            out.add(part)
+    return out
 
 
-def passages(text: bytes, telling: np.ndarray) -> list[bytes]:
-    """The stretches of a text that telling runs cover."""
+def passages(text: bytes, runs: np.ndarray, words: set[bytes]) -> list[bytes]:
+    """The stretches of a text that telling runs cover, and its telling words."""
+    out = [w for w in tokens(text) if w in words]
     found = grams(text)
-    if not len(found) or not len(telling):
-        return []
-    at = np.minimum(np.searchsorted(telling, found), len(telling) - 1)
-    hits = np.flatnonzero(telling[at] == found)
-    if not len(hits):
-        return []
-    cuts = np.flatnonzero(np.diff(hits) > 1) + 1
-    return [text[part[0] : part[-1] + GRAM] for part in np.split(hits, cuts)]
+    hits = np.flatnonzero(np.isin(found, runs)) if len(runs) else found[:0]
+    if len(hits):
+        cuts = np.flatnonzero(np.diff(hits) > 1) + 1
+        out += [text[part[0] : part[-1] + GRAM] for part in np.split(hits, cuts)]
+    return out
 
 
 def trained(samples: list[bytes], size: int, **options: int) -> bytes:
@@ -143,10 +148,11 @@ def features(texts: list[bytes], ordinary: bytes, toxic: bytes) -> np.ndarray:
     for text in texts:
         saved = np.sort(savings(folded(text), pair))[::-1].astype(float)
         n = max(len(saved), 1)
-        top = np.zeros(5)
-        top[: min(5, len(saved))] = saved[:5]
-        rows.append([top[0], top[:2].mean(), top[:3].mean(), top.mean(), np.log1p((saved >= 3).sum()), np.log1p((saved >= 5).sum()), (saved >= 5).sum() / n, saved.clip(0).sum() / n, np.log1p(n)])
-    return np.array(rows, float).reshape(len(texts), 9)
+        top = np.zeros(3)
+        top[: min(3, len(saved))] = saved[:3]
+        over = np.array([(saved >= v).sum() for v in LEVELS], float)
+        rows.append([*top, saved.sum() / n, saved.clip(0).sum() / n, np.log1p(n), *np.log1p(over), *(over / n)])
+    return np.array(rows, float).reshape(len(texts), 6 + 2 * len(LEVELS))
 
 
 def _logistic(rows: np.ndarray, labels: np.ndarray, penalty: float = 1.0) -> tuple[np.ndarray, float]:
@@ -164,28 +170,49 @@ def _logistic(rows: np.ndarray, labels: np.ndarray, penalty: float = 1.0) -> tup
     return w[:-1], float(w[-1])
 
 
+def area(scores: np.ndarray, labels: np.ndarray) -> float:
+    """The chance that a toxic document scores above an ordinary one."""
+    order = np.argsort(scores, kind="stable")
+    below = np.cumsum(labels[order] == 0)
+    return float(below[labels[order] == 1].mean() / max((labels == 0).sum(), 1))
+
+
 def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     """Dictionaries from two thirds of each label, the curve from the rest."""
     if not toxic or not ordinary:
         return Model(b"", b"", [], [], [], float(not ordinary and bool(toxic)))
-    toxic, ordinary = [folded(t) for t in toxic], [folded(t) for t in ordinary]
+    # copies count once
+    toxic, ordinary = [list(dict.fromkeys(folded(t) for t in texts)) for texts in (toxic, ordinary)]
     learn = lambda texts: [t for i, t in enumerate(texts) if i % 3] or texts
-    telling = telling_grams(learn(toxic), learn(ordinary))
-    apart = [p for t in learn(toxic) for p in passages(t, telling)]
+    runs = telling(learn(toxic), learn(ordinary), lambda t: np.unique(grams(t)).tolist())
+    words = telling(learn(toxic), learn(ordinary), tokens)
+    told = np.array(sorted(runs), np.uint64)
+    # one sample per document, its telling passages joined: the trainer passes over very short samples
+    apart = [p for t in learn(toxic) if (p := b"".join(passages(t, told, words)))]
     common = [w for t in learn(ordinary) for w in windows(t)]
     random.Random(0).shuffle(common)
     base = trained(common[:TRAIN_WINDOWS], BASE_BYTES)
-    extra = trained(common[TRAIN_WINDOWS : 2 * TRAIN_WINDOWS] or common, EXTRA_BYTES, k=50, d=8)
-    telling_bytes = trained((apart or [w for t in learn(toxic) for w in windows(t)])[:TRAIN_WINDOWS] * 2, EXTRA_BYTES, k=50, d=8)
-    model = Model(extra + base, base + telling_bytes, [], [], [])
-    held = [t for t in toxic[::3] + ordinary[::3]]
-    labels = np.r_[np.ones(len(toxic[::3])), np.zeros(len(ordinary[::3]))]
-    rows = features(held, model.ordinary, model.toxic)
-    centre, scale = rows.mean(axis=0), rows.std(axis=0) + 1e-9
-    weights, constant = _logistic((rows - centre) / scale, labels)
-    model.centre, model.scale, model.weights, model.constant = centre.tolist(), scale.tolist(), weights.tolist(), constant
+    further = common[TRAIN_WINDOWS : 2 * TRAIN_WINDOWS] or common
+    telling_samples = (apart or [w for t in learn(toxic) for w in windows(t)])[:TRAIN_WINDOWS] * 4
+
+    def candidate(size: int, run: int) -> Model:
+        extra, told = (trained(samples, size, k=run, d=6) for samples in (further, telling_samples))
+        return Model(extra + base, base + told, [], [], [])
+
+    def fitted(model: Model, some: list[bytes], others: list[bytes]) -> tuple[Model, np.ndarray, np.ndarray]:
+        labels = np.r_[np.ones(len(some)), np.zeros(len(others))]
+        rows = features(some + others, model.ordinary, model.toxic)
+        centre, scale = rows.mean(axis=0), rows.std(axis=0) + 1e-9
+        weights, constant = _logistic((rows - centre) / scale, labels)
+        done = Model(model.ordinary, model.toxic, centre.tolist(), scale.tolist(), weights.tolist(), constant)
+        return done, (rows - centre) / scale @ weights + constant, labels
+
+    # the sizes of the extensions are chosen on documents that no dictionary has seen
+    few, many = toxic[::3][:CHOICE_ROWS], ordinary[::3][:CHOICE_ROWS]
+    choices = [candidate(size, run) for size in EXTRA_BYTES for run in EXTRA_RUNS]
+    chosen = max(choices, key=lambda c: area(*fitted(c, few, many)[1:]))
+    model, z, labels = fitted(chosen, toxic[::3], ordinary[::3])
     # move the curve so that the threshold with the best F1 lies at THRESHOLD
-    z = (rows - centre) / scale @ weights + constant
     order = np.argsort(-z, kind="stable")
     right = np.cumsum(labels[order])
     best = int(np.argmax(2 * right / (np.arange(1, len(z) + 1) + labels.sum())))
