@@ -33,6 +33,7 @@ TAG = re.compile(
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s/]|$)", re.IGNORECASE)
 SPACES = re.compile(r"\s+")
 
 RAW = frozenset("script style noscript template textarea iframe xmp svg math canvas object select title noembed noframes".split())
@@ -68,15 +69,16 @@ class Line:
 
 def _marks(rest: str) -> tuple[bool, bool]:
     """Whether attributes mark an element as no part of the article, and as the article."""
-    dropped = main = False
+    dropped, main = bool(HIDDEN.search(rest)), False
     for match in ATTRIBUTE.finditer(rest):
         name, value = match[1].lower(), match[2] or match[3] or match[4] or ""
         if name == "style":
             dropped |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE))
         elif name in ("hidden", "aria-hidden"):
-            dropped |= value.lower() != "false"
+            dropped |= value.lower() not in ("false", "until-found")
         else:
-            words = set(WORD.findall(CAMEL.sub(" ", value).lower()))
+            parts = WORD.findall(CAMEL.sub(" ", value).lower())
+            words = {*WORD.findall(value.lower()), *parts, *(a + b for a, b in zip(parts, parts[1:], strict=False))}
             dropped |= bool(words & MARKS)
             main |= value.lower() in MAIN_MARKS
     return dropped, main
