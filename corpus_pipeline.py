@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replylens.llm import decontaminate, line_dedup, packing, quality, simhash
-from replylens.llm.common import stored, table
+from replylens.llm.common import stored, table, whole_row
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every rule of the default policy, judged row by row."""
-    whole = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    whole = docs.select("doc_id", "text", whole_row(docs).alias("doc"))
     return quality.ledger(whole, carry=["doc"]).where(quality.passes(quality.DEFAULT)).select("doc.*")
 
 
@@ -32,18 +32,17 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of linked fingerprints the document with the smallest doc_id; rows without a doc_id stay.
 
-    The texts of the others are never shuffled: the rows that stay are looked up by doc_id. Of
-    rows that share the smallest doc_id, one stays.
+    Of rows that share the smallest doc_id, one stays.
     """
     first = simhash.classes(docs.select("doc_id", "text")).select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct()
-    whole = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    whole = docs.select("doc_id", whole_row(docs).alias("doc"))
     kept = whole.join(stored(first, "kept-documents").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select("doc.*").unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    whole = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    whole = docs.select("doc_id", "text", whole_row(docs).alias("doc"))
     found = decontaminate.scan(whole, table(spark, sf_dir, "benchmark"), carry=["doc"])
     return found.where(F.size("found.hits") == 0).select("doc.*")
 

@@ -13,7 +13,8 @@ Turns are ordered by turn, then role and a hash of the text; equal rows come in
 null comes first. Ties in cost are broken by the order keep, merge, insert, then by the order of ROLES.
 Cases: null text is empty; null and unknown roles are assigned the cheapest role;
 names such as "human" or "gpt" count as the role they mean. Rows with a null conv_id are
-one conversation. A conversation of a system turn alone is followed by an empty user turn.
+one conversation. A conversation cannot end with a system turn: it is relabelled or followed by an empty
+user turn, whichever costs less.
 Each input row gives one output row, so a conversation of any length needs no single row or task.
 """
 

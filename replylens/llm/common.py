@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,17 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row in one struct, so that their names cannot clash with an operator's."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a text column; null counts as empty."""
     return [value or b"" for value in column.cast(pa.binary()).to_pylist()]
 
 
-def rows_of(batches: Iterable[pa.RecordBatch], names: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Batches with columns by name, cast to `schema`; for functions of mapInArrow."""
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in names], schema=schema)
-
-
 def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 

@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replylens.llm.common import SPACE_CHARS, ascii_lower, scratch_path, stored
+from replylens.llm.common import SPACE_CHARS, ascii_lower, scratch_path, stored, whole_row
 
 MIN_DOCS = 10
 BATCHES = 4
@@ -108,7 +108,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHE
         .groupBy("id", "digest")
         .agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
     )
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    whole = docs.select(whole_row(docs).alias("doc"))
     same = F.col("doc.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("doc.text") == F.col("digest"))
     lines = lines_of(F.col("doc.text"))
     joined = whole.join(found, same, "left").select(
