@@ -96,7 +96,9 @@ def measure(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
         lambda total, step: total + step,
     )
     long = [F.col(c).cast("bigint").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_text_lines")]
-    return places.select("doc_id", *carry, *long, F.coalesce(F.when(F.size("places") > 0, covered), F.lit(0)).cast("bigint").alias("n_repeat_words"))
+    repeated = F.coalesce(F.when(F.size("places") > 0, covered), F.lit(0)).cast("bigint").alias("n_repeat_words")
+    # a generator of one row: filters on the measurements stay above it, else they would repeat all the work below
+    return places.select("doc_id", *carry, F.inline(F.array(F.struct(*long, repeated))))
 
 
 def judge(measured: DataFrame) -> DataFrame:
