@@ -19,7 +19,7 @@ from replylens.functions.pricing import price_of, with_cost
 from replylens.functions.tokens import count_tokens, tokenizer_counter
 from replylens.operators import browse, cleaning, numbering, pairwise, prompts, ranking, scoring, stats
 from replylens.plans import report
-from replylens.plans.evaluate import evaluate
+from replylens.plans.evaluate import evaluate, evaluate_run
 from replylens.session import prepare, scratch_path
 from replylens.sources import columns, readers, sinks
 from replylens.streaming import live_stats
@@ -48,6 +48,10 @@ def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate(run_log(spark, sf_dir), expected_keys=DEFAULT_REPLY_KEYS)
 
 
+def evaluated_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return evaluate_run(run_log(spark, sf_dir), expected_keys=DEFAULT_REPLY_KEYS)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     doubles = [f.name for f in df.schema.fields if f.dataType.typeName() == "double"]
     return df.withColumns({c: F.round(c, digits) for c in doubles})
@@ -258,8 +262,8 @@ def top3_responses(spark, sf_dir):
 
 @query
 def model_summary(spark, sf_dir):
-    log = run_log(spark, sf_dir)
-    return rounded(report.model_summary(stats.run_stats(log), evaluation(spark, sf_dir), texts=True))
+    evaluated, run = evaluated_run(spark, sf_dir)
+    return rounded(report.model_summary(run, evaluated, texts=True))
 
 
 @query
@@ -269,27 +273,27 @@ def chart_data(spark, sf_dir):
 
 @query
 def overview(spark, sf_dir):
-    log = run_log(spark, sf_dir)
-    return report.overview(stats.run_stats(log), ranking.full_ranking(evaluation(spark, sf_dir)), "reviews.csv")
+    evaluated, run = evaluated_run(spark, sf_dir)
+    return report.overview(run, ranking.full_ranking(evaluated), "reviews.csv")
 
 
 @query
 def performance_table(spark, sf_dir):
-    log = run_log(spark, sf_dir)
-    return rounded(report.performance_table(report.model_summary(stats.run_stats(log), evaluation(spark, sf_dir))))
+    evaluated, run = evaluated_run(spark, sf_dir)
+    return rounded(report.performance_table(report.model_summary(run, evaluated)))
 
 
 @query
 def token_table(spark, sf_dir):
-    log = run_log(spark, sf_dir)
-    return report.token_table(report.model_summary(stats.run_stats(log), evaluation(spark, sf_dir)))
+    evaluated, run = evaluated_run(spark, sf_dir)
+    return report.token_table(report.model_summary(run, evaluated))
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = priced_responses(spark, sf_dir)
-    evaluated = evaluation(spark, sf_dir)
+    evaluated, run = evaluated_run(spark, sf_dir)
     return report.report_document(
-        stats.run_stats(log), evaluated, ranking.full_ranking(evaluated), report.sample_response(log), "reviews.csv", AT
+        run, evaluated, ranking.full_ranking(evaluated), report.sample_response(log), "reviews.csv", AT
     )
 
 

@@ -9,17 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replylens.fixed_values import BASE_MODELS, PREFERRED_MODELS, PRICES, PROVIDER_DEFAULTS, VERSIONED_MODELS
+from replylens.fixed_values import BASE_MODELS, PREFERRED_MODELS, PROVIDER_DEFAULTS, VERSIONED_MODELS
 
 MODEL_SCHEMA = (
     "model_ord INT, model STRING, provider STRING, display_name STRING, description STRING, "
     "max_tokens INT, default_max_output_tokens INT, default_temperature DOUBLE"
 )
-PRICE_SCHEMA = (
-    "ord INT, key STRING, input DOUBLE, output DOUBLE, "
-    "tier_threshold BIGINT, tier2_input DOUBLE, tier2_output DOUBLE"
-)
-
 
 def models(spark: SparkSession) -> DataFrame:
     """Base rows plus versioned rows, each a copy of its base with overrides."""
@@ -41,10 +36,6 @@ def models(spark: SparkSession) -> DataFrame:
     return base.unionByName(copied)
 
 
-def prices(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *row) for i, row in enumerate(PRICES)], PRICE_SCHEMA)
-
-
 def provider_defaults(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         PROVIDER_DEFAULTS,

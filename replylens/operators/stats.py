@@ -57,16 +57,28 @@ def _sum_where(condition: Column, value: str) -> Column:
     return F.coalesce(F.sum(F.when(condition, F.col(value).cast("double"))), F.lit(0.0))
 
 
+RUN_SUMS = (
+    "successful",
+    "errors",
+    "total_reviews",
+    "total_prompt_tokens",
+    "total_completion_tokens",
+    "total_latency",
+)
+
+
 def run_stat_sums() -> list[Column]:
+    """The sums named in RUN_SUMS."""
     ok = F.col("success")
-    return [
-        F.count_if(ok).alias("successful"),
-        F.count_if(~ok).alias("errors"),
-        F.count(F.lit(1)).alias("total_reviews"),
-        _sum_where(ok, "prompt_tokens").alias("total_prompt_tokens"),
-        _sum_where(ok, "completion_tokens").alias("total_completion_tokens"),
-        _sum_where(ok, "latency").alias("total_latency"),
-    ]
+    sums = (
+        F.count_if(ok),
+        F.count_if(~ok),
+        F.count(F.lit(1)),
+        _sum_where(ok, "prompt_tokens"),
+        _sum_where(ok, "completion_tokens"),
+        _sum_where(ok, "latency"),
+    )
+    return [total.alias(name) for total, name in zip(sums, RUN_SUMS, strict=True)]
 
 
 def finish_run_stats(sums: DataFrame, keys: Sequence[str]) -> DataFrame:

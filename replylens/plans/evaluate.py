@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 from replylens.functions.jsonx import with_json
 from replylens.functions.pricing import with_cost
 from replylens.operators.pairwise import format_consistency, structure_consistency
-from replylens.operators.stats import EVALUATION_METRICS, eval_sums, finish_eval, usable
+from replylens.operators.stats import (
+    EVALUATION_METRICS,
+    RUN_SUMS,
+    eval_sums,
+    finish_eval,
+    finish_run_stats,
+    run_stat_sums,
+    usable,
+)
 from replylens.session import durable
 
 _SUMS = (
@@ -32,11 +40,21 @@ def evaluate(
     expected_keys: Sequence[str] | None = None,
     policy: str = "record",
 ) -> DataFrame:
-    """All evaluation metrics per model.
+    """All evaluation metrics per model; see `evaluate_run`."""
+    return evaluate_run(log, keys, expected_keys, policy)[0]
+
+
+def evaluate_run(
+    log: DataFrame,
+    keys: Sequence[str] = ("model",),
+    expected_keys: Sequence[str] | None = None,
+    policy: str = "record",
+) -> tuple[DataFrame, DataFrame | None]:
+    """All evaluation metrics per model, and the run statistics if the log has `success`.
 
     Replies are parsed once: a first aggregate per model and key set carries
-    every sum, and both the metrics and the structure consistency are rolled up
-    from it. The result is stored, as rankings and reports read it again; building it
+    every sum, and the metrics, the structure consistency and the statistics are
+    rolled up from it. The result is stored, as rankings and reports read it again; building it
     already runs passes over the log.
     """
     group = list(keys)
@@ -44,8 +62,11 @@ def evaluate(
     flagged = priced.withColumn("usable", usable(priced, policy))
     parsed = with_json(flagged)
     key_set = F.when(F.col("usable"), F.col("json_keys"))
+    counted = run_stat_sums() if "success" in log.columns else []
     by_key_set = durable(
-        parsed.withColumn("_set", key_set).groupBy(*group, "_set").agg(*eval_sums(True, expected_keys))
+        parsed.withColumn("_set", key_set)
+        .groupBy(*group, "_set")
+        .agg(*eval_sums(True, expected_keys), *[c.alias(f"run_{n}") for c, n in zip(counted, RUN_SUMS, strict=False)])
     )
     rolled = by_key_set.groupBy(*group).agg(
         F.min("model_ord").alias("model_ord"), *[F.sum(c).alias(c) for c in _SUMS]
@@ -58,4 +79,8 @@ def evaluate(
     metrics = metrics.join(structure, group, "left")
     metrics = metrics.join(format_consistency(flagged.filter("usable"), group), group, "left")
     complete = metrics.fillna(0.0, ["json_structure_consistency", "format_consistency"])
-    return durable(complete.select(*group, "model_ord", *EVALUATION_METRICS))
+    evaluation = durable(complete.select(*group, "model_ord", *EVALUATION_METRICS))
+    if not counted:
+        return evaluation, None
+    sums = by_key_set.groupBy(*group).agg(*[F.sum(f"run_{n}").alias(n) for n in RUN_SUMS])
+    return evaluation, finish_run_stats(sums, group)
