@@ -126,7 +126,7 @@ def lines_of(page: str) -> list[Line]:
             flush()
             if ended:
                 if depth.get(name):
-                    close(max(i for i, e in enumerate(stack) if e[0] == name))
+                    close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             elif name not in VOID:
                 if stack and stack[-1][0] in SIBLING.get(name, ()) or stack and stack[-1][0] == "p":
                     close(len(stack) - 1)

@@ -232,15 +232,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     order = F.xxhash64("doc_id")
     chosen = judged.where("toxic = 1").orderBy(order).limit(rows).unionByName(judged.where("toxic = 0").orderBy(order).limit(rows))
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-    sizes = texts.select("doc_id", "toxic", F.octet_length("text").alias("size")).collect()
+    sizes = texts.select("doc_id", "toxic", F.octet_length("text").alias("size"), order.alias("nth")).collect()
     within: set = set()
     for label in (1, 0):
         left = most_bytes
-        for row in sorted((r for r in sizes if r["toxic"] == label), key=lambda r: (r["size"], r["doc_id"])):
-            left -= row["size"]
-            if left < 0:
-                break
-            within.add(row["doc_id"])
+        for row in sorted((r for r in sizes if r["toxic"] == label), key=lambda r: r["nth"]):
+            if row["size"] <= left:
+                left -= row["size"]
+                within.add(row["doc_id"])
     picked: dict[int, list[bytes]] = {0: [], 1: []}
     for row in sorted(texts.where(F.col("doc_id").isin(list(within)) if len(within) < len(sizes) else F.lit(True)).collect(), key=lambda r: r["doc_id"]):
         picked[row["toxic"]].append(row["text"].encode())

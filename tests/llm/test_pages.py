@@ -93,6 +93,11 @@ def test_pages_without_text(page):
     assert html_text.extract(page) in ("", "<")
 
 
+def test_deep_pages_take_linear_time():
+    depth = 30_000
+    assert html_text.extract("<div>" * depth + "text" + "</div>" * depth + "<p>" * depth) == "text"
+
+
 def test_odd_markup():
     assert html_text.extract("<article><p title='a>b'>x &eacute;&#233;&amp;lt;</p><p hidden>no</p><![CDATA[raw]]></article>") == "x éé&lt;\nraw"
     assert html_text.extract("<article>a<br>b<script>1 < 2</script> c<!-- d --></article>") == "a b c"
