@@ -273,8 +273,16 @@ ORACLES: dict[str, str] = {
     ),
     "cost_flat": with_ctes(*COSTED, select="SELECT pos, round(cost, 10) AS cost FROM priced WHERE thr IS NULL"),
     "cost_tiered": with_ctes(*COSTED, select="SELECT pos, round(cost, 10) AS cost FROM priced WHERE thr IS NOT NULL"),
+    # literal values, so that a wrong price list does not pass unseen: USD per million tokens, beyond 200,000 tokens the last two
     "cost_by_model": with_ctes(
-        *COSTED, select="SELECT model, round(sum(cost), 3) AS total_cost FROM priced GROUP BY model"
+        LOG,
+        """literal(model, input, output, input2, output2) AS (VALUES ('gpt-4o', 5.0, 20.0, 5.0, 20.0),
+          ('gpt-4o-2024-11-20', 30.0, 60.0, 30.0, 60.0), ('gpt-3.5-turbo', 0.5, 1.5, 0.5, 1.5), ('o1', 0.5, 1.5, 0.5, 1.5),
+          ('claude-3-5-haiku-20241022', 3.0, 15.0, 3.0, 15.0), ('gemini-2.5-pro', 7.0, 21.0, 2.0, 6.0),
+          ('gemini-2.0-flash-lite', 0.175, 0.525, 0.175, 0.525))""",
+        select="""SELECT model, round(sum(least(prompt_tokens, 200000) / 1e6 * input + greatest(prompt_tokens - 200000, 0) / 1e6 * input2
+            + least(completion_tokens, 200000) / 1e6 * output + greatest(completion_tokens - 200000, 0) / 1e6 * output2), 3) AS total_cost
+          FROM log JOIN literal USING (model) GROUP BY model""",
     ),
     # statistics
     "run_stats": with_ctes(LOG, RUN_STATS, select="SELECT * FROM stats"),

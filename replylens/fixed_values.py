@@ -173,3 +173,8 @@ PROVIDER_DEFAULTS = (
     ("anthropic", None, 0.1, 500),
     ("google", None, 0.1, 500),
 )
+
+# fixed values: what a report shows where nothing was recorded
+NO_REVIEW = "No review text available"
+NO_PROMPT = "Prompt not recorded"
+NO_RESPONSE = "No response available"

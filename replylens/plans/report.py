@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from replylens.fixed_values import CHART_METRICS
+from replylens.fixed_values import CHART_METRICS, NO_PROMPT, NO_RESPONSE, NO_REVIEW
 from replylens.functions.text import (
     format_cost,
     format_percent,
@@ -79,9 +79,9 @@ def all_responses(responses: DataFrame, keys: Sequence[str] = ("model",), texts:
     table = numbered.select(
         *keys,
         "review_number",
-        F.coalesce("review", F.lit("No review text available")).alias("review_text"),
-        F.coalesce("prompt", F.lit("Prompt not recorded")).alias("prompt_sent"),
-        F.coalesce("response", F.lit("No response available")).alias("response"),
+        F.coalesce("review", F.lit(NO_REVIEW)).alias("review_text"),
+        F.coalesce("prompt", F.lit(NO_PROMPT)).alias("prompt_sent"),
+        F.coalesce("response", F.lit(NO_RESPONSE)).alias("response"),
         F.coalesce("success", F.lit(False)).alias("success"),
         F.coalesce("total_tokens", F.lit(0)).alias("tokens"),
         F.coalesce("cost", F.lit(0.0)).alias("cost"),
@@ -175,7 +175,7 @@ def report_document(
     sampled = samples.select(
         "model",
         F.struct(
-            F.coalesce("review", F.lit("No review text available")).alias("review"),
+            F.coalesce("review", F.lit(NO_REVIEW)).alias("review"),
             "response",
             F.col("total_tokens").alias("tokens"),
             format_response_cost(F.col("cost")).alias("cost"),
