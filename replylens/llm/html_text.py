@@ -18,6 +18,7 @@ import html as references
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,13 +46,19 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # an element of these ends where the next of its kind begins
 SIBLING = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"}}
-# words in a class, id or role that mark what is not the article
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+# names in a class, id or role that mark what is not the article
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navigation navbar menu menubar breadcrumb"
     " breadcrumbs header masthead footer contentinfo sidebar aside complementary widget notice cookie cookies consent gdpr alert popup modal overlay"
     " comment comments respond reply replies disqus share sharing social related recommended newsletter subscribe signup login search pagination"
     " pager skip toolbar legal copyright paywall".split()
 )
+# words that may stand beside them in a name; beside others ('has-sidebar', 'related-work') they mark nothing
+BESIDE = frozenset(
+    "site page main top bottom left right upper lower primary secondary global area list box container wrapper wrap block section bar slot unit inner"
+    " outer body link links button buttons form item items group panel row column posts articles stories icons google sticky fixed".split()
+)
 MAIN_MARKS = frozenset({"articlebody", "main"})
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -63,33 +70,89 @@ class Line:
 
     text: str
     free: int
-    dropped: bool
-    main: bool
+    within: int
+    dropped: bool = False
+    main: bool = False
 
 
-def _marks(rest: str) -> tuple[bool, bool]:
-    """Whether attributes mark an element as no part of the article, and as the article."""
-    dropped, main = bool(HIDDEN.search(rest)), False
+@dataclass
+class Element:
+    """A block element: what is around it, and what its name and attributes say."""
+
+    name: str
+    above: int
+    gone: bool = False
+    marked: bool = False
+    article: bool = False
+    inside: bool = False
+
+
+@lru_cache(4096)
+def _is_mark(name: str) -> bool:
+    """Whether all words of a name are marks, at least one, or words that stand beside them."""
+    parts = WORD.findall(CAMEL.sub(" ", name).lower())
+    if name.lower() in MARKS or "".join(parts) in MARKS:
+        return True
+    known, marked = [part in MARKS or part in BESIDE for part in parts], any(part in MARKS for part in parts)
+    for i in range(len(parts) - 1):
+        if parts[i] + parts[i + 1] in MARKS:
+            known[i] = known[i + 1] = marked = True
+    return marked and all(known)
+
+
+def _marks(rest: str, name: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether attributes hide an element, mark it as no part of the article, and as the article."""
+    hidden, marked, main = bool(HIDDEN.search(rest)), False, False
     for match in ATTRIBUTE.finditer(rest):
-        name, value = match[1].lower(), match[2] or match[3] or match[4] or ""
-        if name == "style":
-            dropped |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE))
-        elif name in ("hidden", "aria-hidden"):
-            dropped |= value.lower() not in ("false", "until-found")
+        kind, value = match[1].lower(), match[2] or match[3] or match[4] or ""
+        if kind == "style":
+            hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE))
+        elif kind in ("hidden", "aria-hidden"):
+            hidden |= value.lower() not in ("false", "until-found")
         else:
-            parts = WORD.findall(CAMEL.sub(" ", value).lower())
-            words = {*WORD.findall(value.lower()), *parts, *(a + b for a, b in zip(parts, parts[1:], strict=False))}
-            dropped |= bool(words & MARKS)
+            # the ids of headings, and of sections of an article, are made of their titles
+            if kind != "id" or not (name in HEADINGS or inside and name == "section"):
+                marked |= any(_is_mark(token) for token in value.split())
             main |= value.lower() in MAIN_MARKS
-    return dropped, main
+    return hidden, marked, main
+
+
+def _judged(elements: list[Element], lines: list[Line]) -> None:
+    """Decides which elements are no part of the article and which are, then the same for their lines.
+
+    A mark does not count on an element with most of the page's free text, nor on one with an
+    article or main that is not marked itself, if all of these stand inside marked elements.
+    """
+    gone, around = [False] * len(elements), [False] * len(elements)
+    free, holds = [0] * len(elements), [False] * len(elements)
+    plain = False
+    for i, e in enumerate(elements):
+        gone[i] = e.gone or i > 0 and gone[e.above]
+        around[i] = e.marked or i > 0 and around[e.above]
+        holds[i] = e.article and not e.marked and not gone[i]
+        plain |= holds[i] and not around[i]
+    for line in lines:
+        free[line.within] += 0 if gone[line.within] else line.free
+    for i in range(len(elements) - 1, 0, -1):
+        free[elements[i].above] += free[i]
+        holds[elements[i].above] |= holds[i]
+    dropped, main = [False] * len(elements), [False] * len(elements)
+    for i, e in enumerate(elements):
+        above = (dropped[e.above], main[e.above]) if i else (False, False)
+        counts = e.marked and 2 * free[i] <= free[0] and (plain or not holds[i])
+        dropped[i] = above[0] or e.gone or counts or e.name == "header" and not above[1]
+        main[i] = not dropped[i] and (above[1] or e.article)
+    for line in lines:
+        line.dropped, line.main = dropped[line.within], main[line.within]
 
 
 def lines_of(page: str) -> list[Line]:
     """The blocks of a page in order, without those that have no text."""
     lines: list[Line] = []
     parts: list[tuple[str, bool]] = []
-    # open elements: name, whether something around makes them no part of the article, whether inside the article
-    stack: list[tuple[str, bool, bool]] = []
+    elements = [Element("", 0)]
+    # numbers of the open elements
+    stack = [0]
     depth: dict[str, int] = {}
     links = 0
 
@@ -97,12 +160,12 @@ def lines_of(page: str) -> list[Line]:
         text = SPACES.sub(" ", references.unescape("".join(t for t, _ in parts))).strip()
         if text:
             free = sum(len("".join(references.unescape(t).split())) for t, linked in parts if not linked)
-            lines.append(Line(text, free, bool(stack) and stack[-1][1], bool(stack) and stack[-1][2]))
+            lines.append(Line(text, free, stack[-1]))
         parts.clear()
 
     def close(count: int) -> None:
         while len(stack) > count:
-            depth[stack.pop()[0]] -= 1
+            depth[elements[stack.pop()].name] -= 1
 
     at = 0
     while match := TAG.search(page, at):
@@ -126,19 +189,22 @@ def lines_of(page: str) -> list[Line]:
             flush()
             if ended:
                 if depth.get(name):
-                    close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
+                    close(next(i for i in range(len(stack) - 1, -1, -1) if elements[stack[i]].name == name))
             elif name not in VOID:
-                if stack and stack[-1][0] in SIBLING.get(name, ()) or stack and stack[-1][0] == "p":
+                if elements[stack[-1]].name in SIBLING.get(name, ()) or elements[stack[-1]].name == "p":
                     close(len(stack) - 1)
-                above = stack[-1] if stack else ("", False, False)
-                marked, main = _marks(match["rest"]) if match["rest"] else (False, False)
-                dropped = above[1] or name in DROPPED or name == "head" or name == "header" and not above[2] or marked and name not in ("html", "body")
-                main = not dropped and (above[2] or main or name in ("article", "main"))
-                stack.append((name, dropped, main))
+                inside = elements[stack[-1]].inside
+                hidden, marked, main = _marks(match["rest"], name, inside) if match["rest"] else (False, False, False)
+                whole = name in ("html", "body")
+                article = main or name in ("article", "main")
+                gone = name in DROPPED or name == "head" or hidden and not whole
+                elements.append(Element(name, stack[-1], gone, marked and not whole and name != "main", article, inside or article))
+                stack.append(len(elements) - 1)
                 depth[name] = depth.get(name, 0) + 1
     if at < len(page):
         parts.append((page[at:], links > 0))
     flush()
+    _judged(elements, lines)
     return lines
 
 

@@ -103,3 +103,27 @@ def test_odd_markup():
     assert html_text.extract("<article>a<br>b<script>1 < 2</script> c<!-- d --></article>") == "a b c"
     assert html_text.extract("<article><p>one<p class=comment>two<p>three") == "one\nthree"
     assert html_text.extract("x" * 10) == "x" * 10
+
+
+STORY = "<h1>The title</h1><p>The first paragraph is long enough to be text, and says many things about many matters.</p><p>The end.</p>"
+TOLD = "The title\nThe first paragraph is long enough to be text, and says many things about many matters.\nThe end."
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-comments", "hasSidebar", "sidebar", "content widget"])
+def test_marks_around_the_article_do_not_remove_it(name):
+    aside = "<div class='sidebar'>More to read</div>"
+    for inner in (f"<article>{STORY}</article>", f"<main>{STORY}</main>", STORY):
+        assert html_text.extract(f"<body><div class='{name}'>{inner}</div>{aside}</body>") == TOLD
+
+
+def test_titles_as_ids_are_no_marks():
+    for section in ("<section id='search-algorithms'>", "<section id='search'>", "<section id='social-effects'>", "<div id='comment-on-life'>"):
+        assert html_text.extract(f"<article>{STORY}{section}<h2 id='related-work'>Related</h2><p>Yes.</p></article>") == f"{TOLD}\nRelated\nYes."
+    assert html_text.extract(f"<article>{STORY}<h2 id='comments'>On comments</h2></article>") == f"{TOLD}\nOn comments"
+
+
+def test_marked_articles_beside_the_article_go():
+    for name in ("related", "related-posts", "site-footer", "side-bar left", "commentList", "ad-slot-2", "cookie-notice"):
+        assert html_text.extract(f"<main>{STORY}</main><div class='{name}'><article>Another one</article></div>") == TOLD
+        assert html_text.extract(f"<main>{STORY}<div class='{name}'><p>Another one</p></div></main>") == TOLD
+    assert html_text.extract(f"<div>{STORY}</div><ol class=comments><li><article class=comment-body>I liked it</article></ol>") == TOLD
