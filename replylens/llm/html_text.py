@@ -3,8 +3,9 @@
 Markup is stripped into blocks, the lines of the page. A line weighs as many characters as it
 has outside links; lines of menus, headers, footers, sidebars, notices, adverts, forms and
 comments weigh nothing, and if the page marks its article, so do lines outside it. The weights
-are summed over windows of `WIDTH` lines. Text surges where a sum exceeds the threshold
-and dives where it falls to zero; what lies between is kept.
+are summed over windows of `WIDTH` lines. Text surges where a sum reaches the threshold
+and dives where it falls to zero. All between two dives is kept if it surges, and if it does not,
+what stands inside an element around a surge; where nothing surges, all that weighs is kept.
 
 Cases: null or empty html, and a page without text, give an empty text. Character references
 are decoded once. Unclosed and stray tags are tolerated; comments, scripts and styles that never
@@ -39,14 +40,16 @@ SPACES = re.compile(r"\s+")
 
 RAW = frozenset("script style noscript template textarea iframe xmp svg math canvas object select title noembed noframes".split())
 DROPPED = frozenset("nav aside footer form menu dialog button".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+# blocks of text and lists, which are not what holds the article together
+LEAVES = frozenset("p pre blockquote caption figcaption legend address dd dt dl li ol ul hgroup".split()) | HEADINGS
 # an element of these ends where the next of its kind begins
 SIBLING = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"}}
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 # names in a class, id or role that mark what is not the article
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navigation navbar menu menubar breadcrumb"
@@ -70,7 +73,9 @@ class Line:
 
     text: str
     free: int
+    # the number of its block, and of the element around its paragraph, heading or list
     within: int
+    around: int
     dropped: bool = False
     main: bool = False
 
@@ -146,8 +151,8 @@ def _judged(elements: list[Element], lines: list[Line]) -> None:
         line.dropped, line.main = dropped[line.within], main[line.within]
 
 
-def lines_of(page: str) -> list[Line]:
-    """The blocks of a page in order, without those that have no text."""
+def lines_of(page: str) -> tuple[list[Line], list[int]]:
+    """The blocks of a page in order, without those that have no text, and the element around each element."""
     lines: list[Line] = []
     parts: list[tuple[str, bool]] = []
     elements = [Element("", 0)]
@@ -160,7 +165,8 @@ def lines_of(page: str) -> list[Line]:
         text = SPACES.sub(" ", references.unescape("".join(t for t, _ in parts))).strip()
         if text:
             free = sum(len("".join(references.unescape(t).split())) for t, linked in parts if not linked)
-            lines.append(Line(text, free, stack[-1]))
+            around = next((i for i in reversed(stack) if elements[i].name not in LEAVES), 0)
+            lines.append(Line(text, free, stack[-1], around))
         parts.clear()
 
     def close(count: int) -> None:
@@ -205,11 +211,11 @@ def lines_of(page: str) -> list[Line]:
         parts.append((page[at:], links > 0))
     flush()
     _judged(elements, lines)
-    return lines
+    return lines, [e.above for e in elements]
 
 
-def kept_lines(lines: list[Line], width: int = WIDTH, surge: int = SURGE) -> list[str]:
-    """The texts between surge and dive points."""
+def kept_lines(lines: list[Line], above: list[int], width: int = WIDTH, surge: int = SURGE) -> list[str]:
+    """The texts between dive points that surge or stand where others do. `above`: the element around each element."""
     marked = any(line.main for line in lines)
     inside = [not line.dropped and (line.main or not marked) for line in lines]
     # within a marked article links are text as well
@@ -219,26 +225,40 @@ def kept_lines(lines: list[Line], width: int = WIDTH, surge: int = SURGE) -> lis
     for i in range(len(lines) - 1, -1, -1):
         total += weights[i] - (weights[i + width] if i + width < len(lines) else 0)
         sums[i] = total
-    enough = 1 if marked else min(surge, max(sums, default=0))
-    kept: list[str] = []
+    enough = 1 if marked or max(sums, default=0) < surge else surge
+    runs: list[tuple[int, int, bool]] = []
+    holds = [False] * len(above)
     at = 0
     while at < len(lines):
-        if not sums[at] or sums[at] < enough:
+        if not sums[at]:
             at += 1
             continue
         dive = at
         while dive < len(lines) and sums[dive]:
             dive += 1
-        last = max((i for i in range(at, min(dive + width - 1, len(lines))) if weights[i]), default=at - 1)
-        first = next((i for i in range(at, last + 1) if weights[i]), last + 1)
+        weighed = [i for i in range(at, min(dive + width - 1, len(lines))) if weights[i]]
+        surges = False
+        for i in range(at, dive):
+            if sums[i] >= enough:
+                surges = True
+                for line, weight in zip(lines[i : i + width], weights[i : i + width], strict=True):
+                    holds[line.around] |= weight > 0
+        runs.append((weighed[0], weighed[-1], surges))
+        at = max(weighed[-1] + 1, dive)
+    for i in range(1, len(above)):
+        holds[i] |= holds[above[i]]
+    kept: list[str] = []
+    for first, last, surges in runs:
         # lines of links alone stay only between lines of text
-        kept += [lines[i].text for i in range(first, last + 1) if inside[i]]
-        at = max(last + 1, dive)
+        if surges:
+            kept += [lines[i].text for i in range(first, last + 1) if inside[i]]
+        else:
+            kept += [lines[i].text for i in range(first, last + 1) if weights[i] and holds[lines[i].within]]
     return kept
 
 
 def extract(page: str | None) -> str:
-    return "\n".join(kept_lines(lines_of(page))) if page else ""
+    return "\n".join(kept_lines(*lines_of(page))) if page else ""
 
 
 def _extracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -127,3 +127,27 @@ def test_marked_articles_beside_the_article_go():
         assert html_text.extract(f"<main>{STORY}</main><div class='{name}'><article>Another one</article></div>") == TOLD
         assert html_text.extract(f"<main>{STORY}<div class='{name}'><p>Another one</p></div></main>") == TOLD
     assert html_text.extract(f"<div>{STORY}</div><ol class=comments><li><article class=comment-body>I liked it</article></ol>") == TOLD
+
+
+LONG_TEXT = "This paragraph is long enough to be text, and says many things about many matters, one by one, until it ends at last."
+AWAY = "<div class='ad'>Buy</div><div class='notice'>Note</div><div class='promo'>Win</div>"
+
+
+def test_title_byline_and_date_stay():
+    page = f"<body><nav>Menu</nav><div><h1>A title</h1><p>By somebody</p><p>1 May</p><p>Short</p><p>{LONG_TEXT}</p></div></body>"
+    assert html_text.extract(page) == f"A title\nBy somebody\n1 May\nShort\n{LONG_TEXT}"
+
+
+@pytest.mark.parametrize("end", ["<p>So it ended.</p>", "<div><p>So it ended.</p></div>", "<ul><li>So it ended.</ul>"])
+def test_short_paragraphs_beside_text_stay(end):
+    for start, close in (("<div id=story>", "</div>"), ("", "")):
+        page = f"<body>{start}<p>{LONG_TEXT}</p>{AWAY}{end}{close}</body>"
+        assert html_text.extract(page) == f"{LONG_TEXT}\nSo it ended."
+    page = f"<body><div><p>{LONG_TEXT}</p></div>{AWAY}<div class=other><p>Elsewhere.</p></div></body>"
+    assert html_text.extract(page) == LONG_TEXT
+
+
+def test_pages_of_short_lines_stay_whole():
+    lines = [letter * n for letter, n in zip("abcde", (20, 20, 20, 25, 25), strict=True)]
+    assert html_text.extract("".join(f"<p>{line}</p>" for line in lines)) == "\n".join(lines)
+    assert html_text.extract(f"<div>{lines[0]}</div>{AWAY}<div>{lines[3]}</div>") == f"{lines[0]}\n{lines[3]}"
