@@ -30,14 +30,15 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked fingerprints the document with the smallest doc_id; rows without a doc_id stay.
+    """Of each class of linked fingerprints the document with the smallest doc_id, and one of those without a doc_id.
 
-    Of rows that share the smallest doc_id, one stays.
+    Of rows that share the smallest doc_id, the one whose columns have the smallest hash stays.
     """
-    first = simhash.classes(docs.select("doc_id", "text")).select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct()
-    whole = docs.select("doc_id", whole_row(docs).alias("doc"))
-    kept = whole.join(stored(first, "kept-documents").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select("doc.*").unionByName(docs.where("doc_id is null"))
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select("doc_id", "text", row.alias("row"), whole_row(docs).alias("doc"))
+    first = stored(simhash.survivors(whole), "kept-documents").toDF("kept_id", "kept_row")
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("row") == F.col("kept_row"))
+    return whole.join(first.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "row"]).select("doc.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

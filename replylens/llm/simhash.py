@@ -69,7 +69,8 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(t) for t in as_bytes(batch.column(1))], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(prints)], names=["doc_id", "fp"])
+        rest = {name: batch.column(name) for name in batch.schema.names[2:]}
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(prints), *rest.values()], names=["doc_id", "fp", *rest])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -219,12 +220,30 @@ def links(prints: DataFrame) -> DataFrame:
     return groups.mapInArrow(_linked, "a bigint, b bigint")
 
 
+def _rooted(named: DataFrame) -> DataFrame:
+    """`named`, whose fingerprints `fp` are distinct, with the `root` of their class."""
+    roots = stored(components(links(named)), "fingerprint-roots")
+    return named.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """(doc_id, row): of each class the row of `docs` with the smallest doc_id, then the smallest number `row`.
+
+    Rows without a doc_id are not dropped for those with one: of them a class keeps the smallest `row`, too.
+    """
+    chosen = docs.select(F.col("doc_id").cast("bigint"), "text", "row")
+    prints = chosen.mapInArrow(_fingerprints, "doc_id bigint, fp bigint, row bigint")
+    with_id = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))
+    without = F.when(F.col("doc_id").isNull(), F.struct("doc_id", "row"))
+    named = stored(prints.groupBy("fp").agg(F.min(with_id).alias("named"), F.min(without).alias("nameless")), "fingerprint-rows")
+    lowest = _rooted(named).groupBy("root").agg(F.min("named").alias("named"), F.min("nameless").alias("nameless"))
+    return lowest.select(F.explode(F.array("named", "nameless")).alias("kept")).where("kept is not null").select("kept.*")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) per row of `docs`."""
     prints = stored(fingerprints(docs), "fingerprints")
-    named = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
-    roots = stored(components(links(named)), "fingerprint-roots")
-    rooted = named.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+    rooted = _rooted(stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     members = stored(rooted.join(lowest, "root").select("fp", "component_id"), "fingerprint-components")
     return prints.join(members.hint("merge"), "fp").select("doc_id", "fp", "component_id")

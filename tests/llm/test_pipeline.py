@@ -86,3 +86,12 @@ def test_stages_take_nulls_clashes_and_nothing(spark):
         corpus_pipeline.STAGES[-1][1](spark, table, SF).count()
     kept = corpus_pipeline.near_dedup(spark, docs, SF).select("doc_id").collect()
     assert sorted(str(r.doc_id) for r in kept) == ["1", "3", "5", "None"]
+
+
+def test_near_dedup_leaves_one_row_of_each_class(spark):
+    texts = [" ".join(f"{letter}{i}" for i in range(80)) for letter in "abcd"]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[1]), (3, texts[0]), (None, texts[2]), (None, texts[2]), (None, texts[0]), (None, None), (4, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").selectExpr("*", "'s' source")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs.repartition(5), SF).collect()]
+    want = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[0]), (None, None), (4, texts[3])]
+    assert sorted(got, key=str) == sorted(want, key=str)
