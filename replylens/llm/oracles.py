@@ -97,9 +97,77 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM largest
 """
 
+URL_FILTER = r"""
+WITH parsed AS (
+  SELECT page_id, coalesce(url, '') AS url,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*[^?#]*\?([^#]*)', 1) AS query
+  FROM pages
+), canonical AS (
+  SELECT page_id, host, path, CASE WHEN contains(url, '://') THEN
+      regexp_replace(regexp_replace(regexp_replace(regexp_replace(host, '^[^@]*@', ''), ':(80|443)?$', ''), '\.$', ''), '^www\.', '')
+      || regexp_replace(regexp_replace(path, '/{2,}', '/', 'g'), '/(index\.(html?|php))?$', '')
+      || CASE WHEN len(kept) = 0 THEN '' ELSE '?' || array_to_string(kept, '&') END END AS form
+  FROM (SELECT *, list_sort(list_filter(string_split(query, '&'), lambda p: p <> ''
+    AND NOT regexp_matches(p, '^(utm_[^=]*|ref|referrer|fbclid|gclid|msclkid|sessionid|sid)(=|$)'))) AS kept FROM parsed)
+), listed AS (
+  SELECT DISTINCT form FROM canonical
+  WHERE list_has_any(regexp_split_to_array(host, '[.-]'), ['ads', 'adult', 'bet', 'bets', 'casino', 'pills', 'poker', 'porn', 'spam'])
+), rules(rule_host, rule_path, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN form IN (SELECT form FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+FROM (
+  SELECT c.*, (SELECT max({'n': length(rule_host || rule_path), 'rule': rule_host || rule_path, 'verdict': verdict}) FROM rules
+               WHERE (c.host = rule_host OR ends_with(c.host, '.' || rule_host)) AND starts_with(c.path, rule_path)) AS best
+  FROM canonical c)
+"""
+
+# the polynomial of crc32, over the bits of each character
+CONVERSATION_TRIE = r"""
+WITH turns AS (
+  SELECT conv_id, length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS item,
+         CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS words,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), families AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS source, xor(4294967295, list_reduce(
+      list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384::BIGINT * (a & 1)) END)) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)
+), mixed AS (
+  SELECT f.conv_id, 0 AS own, t.pos, t.item, t.words FROM families f JOIN turns t ON t.conv_id = f.source AND t.pos <= f.h
+  UNION ALL
+  SELECT f.conv_id, 1, t.pos, t.item, t.words FROM families f JOIN turns t ON t.conv_id = f.conv_id AND t.pos > f.h
+), rebuilt AS (
+  SELECT conv_id, item, words, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth FROM mixed
+), prefixes AS (
+  SELECT conv_id, depth, words, sha256(string_agg(md5(item), '') OVER (PARTITION BY conv_id ORDER BY depth)) AS name FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '' FROM families
+), nodes AS (
+  SELECT name, any_value(depth) AS depth, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs FROM prefixes GROUP BY name
+), linked AS (
+  SELECT n.*, p.name AS parent FROM nodes n LEFT JOIN prefixes p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1
+), counted AS (
+  SELECT l.*, coalesce(c.n, 0) AS n_children FROM linked l LEFT JOIN (SELECT parent, count(*) AS n FROM linked WHERE parent IS NOT NULL GROUP BY parent) c ON c.parent = l.name
+), sums AS (
+  SELECT p.name, count(*) FILTER (x.n_children = 0) AS n_leaves, sum((x.n_convs - 1) * x.words) AS saved_tokens
+  FROM counted x JOIN prefixes p ON p.conv_id = x.conv_id AND p.depth <= x.depth GROUP BY p.name
+), ends AS (
+  SELECT name, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS list
+  FROM (SELECT conv_id, arg_max(name, depth) AS name FROM prefixes GROUP BY conv_id) GROUP BY name
+)
+SELECT c.conv_id, CAST(c.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(list, '')) AS ends_sha256
+FROM counted c JOIN sums USING (name) LEFT JOIN ends USING (name) LEFT JOIN nodes p ON p.name = c.parent
+"""
+
 ORACLES: dict[str, str] = {
     "op4_decontamination": DECONTAMINATION,
     "op5_warc": WARC,
     "op8_quality_rules": QUALITY,
     "op9_line_dedup": LINE_DEDUP,
+    "op11_url_filter": URL_FILTER,
+    "op12_conversation_trie": CONVERSATION_TRIE,
 }

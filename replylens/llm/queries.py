@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replylens.llm import chat, decontaminate, html_text, line_dedup, packing, pii, quality, simhash, toxicity, warc
+from replylens.llm import chat, conversation_trie, decontaminate, html_text, line_dedup, packing, periodic_runs, pii, quality, simhash, toxicity, url_filter, warc
 from replylens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,40 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+# rules of the URL query, and words in host names whose pages make up its list
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+UNWANTED = ["ads", "adult", "bet", "bets", "casino", "pills", "poker", "porn", "spam"]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table lists unwanted URLs, so the list is made of the pages on hosts with an unwanted word in a label."""
+    pages = table(spark, sf_dir, "pages")
+    labels = F.split(url_filter.host_of(F.col("url")), "[.-]")
+    unwanted = pages.where(F.arrays_overlap(labels, F.array(*[F.lit(w) for w in UNWANTED])))
+    listed = unwanted.select(url_filter.canonical(F.col("url")).alias("canonical")).distinct()
+    return url_filter.judge(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string"), listed)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.rebuilt(table(spark, sf_dir, "conversations"))
+    return conversation_trie.nodes(*turns)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")))
+    best = periodic_runs.longest(F.col("runs"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).cast("bigint").alias("exponent_milli"),
+        F.sha2(periodic_runs.listed(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -95,4 +129,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
     "op10_html_text": op10_html_text,
+    "op11_url_filter": op11_url_filter,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_periodic_runs": op13_periodic_runs,
 }

@@ -1,0 +1,88 @@
+"""The trie against one built turn by turn, with long, repeated and missing conversations."""
+
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import pytest
+
+from replylens.llm import conversation_trie as trie
+
+
+def expected(rows):
+    own = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(turns)] for c, turns in own.items()}
+    full = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        full[c] = own.get(c - c % 20, [])[:h] + turns[h:]
+    members = defaultdict(list)
+    for c, turns in full.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    children, leaves, saved = defaultdict(int), defaultdict(int), defaultdict(int)
+    for node in members:
+        if node:
+            children[node[:-1]] += 1
+    for node, convs in members.items():
+        tokens = (len(convs) - 1) * len(node[-1][1].encode().split()) if node else 0
+        for d in range(len(node) + 1):
+            saved[node[:d]] += tokens
+            leaves[node[:d]] += children[node] == 0
+    out = []
+    for node, convs in members.items():
+        ends = sorted(c for c in convs if len(full[c]) == len(node))
+        sha = hashlib.sha256(",".join(map(str, ends)).encode()).hexdigest()
+        parent = min(members[node[:-1]]) if node else None
+        out.append((min(convs), len(node), parent, len(convs), children[node], leaves[node], saved[node], sha))
+    return sorted(out, key=str)
+
+
+def built(spark, rows):
+    table = spark.createDataFrame(rows, "conv_id BIGINT, turn BIGINT, role STRING, text STRING").selectExpr("*", "1 pos", "2 n", "3 depth", "4 item")
+    return sorted(map(tuple, trie.nodes(*trie.rebuilt(table)).collect()), key=str)
+
+
+def conversations(chosen, ids, most, kinds):
+    rows = []
+    for c in ids:
+        shared = chosen.randint(0, 3)
+        for t in range(chosen.randint(1, most)):
+            text = "same words here" if shared and t < 2 * shared else f"word {chosen.randrange(kinds)}  of\tmany"
+            rows.append((c, t, "user" if t % 2 == 0 else "assistant", text))
+    return rows
+
+
+@pytest.mark.parametrize("most,kinds", [(3, 1), (9, 2), (20, 2)])
+def test_nodes_equal_brute_force(spark, most, kinds):
+    chosen = random.Random(most)
+    ids = [i for i in range(130) if i % 20 or i % 60 == 0]
+    rows = conversations(chosen, ids, most, kinds)
+    rows += [(500 + i, t, "user", f"turn {t}") for i in range(60) for t in range(4)]
+    chosen.shuffle(rows)
+    assert built(spark, rows) == expected(rows)
+
+
+def test_nulls_ties_repeats_and_long_ones(spark):
+    rows = [(c, t, None if t % 3 else "user", None if t % 5 == 0 else f"t {t // 40}") for c in (20, 21, 45) for t in range(150)]
+    rows += [(None, 1, "user", "lost"), (None, None, None, None), (-3, None, "b", "x"), (-3, None, "a", "x"), (-3, 1, "a", "x"), (-3, 1, "a", "x")]
+    rows += [(60, 0, "user", "long " * 50_000), (61, 0, "user", "long " * 50_000), (61, 1, "a:", ":"), (62, 1, "a", "::")]
+    assert built(spark, rows) == expected(rows)
+
+
+def test_empty_and_turnless(spark):
+    assert built(spark, []) == []
+    # conversation 1 borrows from one that is absent and has fewer turns than it would lose
+    lonely = next(c for c in range(21, 40) if zlib.crc32(str(c).encode()) % 4 == 3)
+    assert built(spark, [(lonely, 0, "user", "a b")]) == expected([(lonely, 0, "user", "a b")])
+
+
+def test_ids_are_hashed_as_a_stream(spark, monkeypatch):
+    ends = spark.createDataFrame([("n", i) for i in range(20_000)] + [("m", -5), ("m", 3)], "name STRING, conv_id BIGINT")
+    got = {r.name: r.ends_sha256 for r in trie.end_digests(ends).collect()}
+    assert got["n"] == hashlib.sha256(",".join(map(str, range(20_000))).encode()).hexdigest()
+    assert got["m"] == hashlib.sha256(b"-5,3").hexdigest()
