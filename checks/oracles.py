@@ -35,6 +35,9 @@ def strip(column: str) -> str:
     return f"regexp_replace({column}, '^{BLANK}+|{BLANK}+$', '', 'g')"
 
 
+ONE_LINE = "translate(text, chr(10) || chr(13), '  ')"
+
+
 def words(column: str) -> str:
     return f"len(list_filter(regexp_split_to_array({column}, '{BLANK}+'), lambda w: w <> ''))"
 
@@ -526,8 +529,23 @@ ORACLES: dict[str, str] = {
         select="SELECT md5(review) AS review_md5 FROM cleaned",
     ),
     "read_ragged_csv": f"SELECT md5(text) AS review_md5 FROM documents WHERE {strip('text')} <> '' AND doc_id % 10 <> 3",
-    "csv_fallback_chain": f"""SELECT md5(CASE doc_id % 40 WHEN 2 THEN md5(text) || ',' WHEN 3 THEN md5(text)
-        ELSE {strip('text')} END) AS review_md5 FROM documents WHERE {strip('text')} <> '' OR doc_id % 40 IN (2, 3)""",
+    "csv_fallback_chain": with_ctes(
+        f"""d AS (SELECT doc_id, doc_id % 40 AS kind, text, {strip('text')} AS bare, {ONE_LINE} AS line FROM documents)""",
+        "latin AS (SELECT doc_id || '  ' || regexp_replace(regexp_replace(line, '[^\\x00-\\xFF]', '?', 'g'), '[\\x80-\\xFF]', '', 'g') AS line FROM d WHERE kind = 5)",
+        f"""found AS (SELECT bare AS review FROM d WHERE kind NOT IN (2, 3, 4, 5, 6)
+          UNION ALL SELECT '"' || replace(line, '"', '""') || '",' FROM d WHERE kind = 2
+          UNION ALL SELECT {strip('line')} FROM d WHERE kind = 3 AND bare <> '' AND NOT starts_with(lower(bare), 'review')
+          UNION ALL SELECT line FROM d WHERE kind = 4 AND bare <> '' AND NOT starts_with(lower(bare), 'review')
+          UNION ALL SELECT {strip('line')} FROM latin
+          UNION ALL SELECT unnest(['id,feedback', doc_id || ',x', doc_id || ',x "' || replace(line, '"', '""') || '",z']) FROM d WHERE kind = 6)""",
+        select="SELECT md5(review) AS review_md5 FROM found WHERE review <> ''",
+    ),
+    "dispatch_reviews": with_ctes(
+        f"d AS (SELECT doc_id, {strip('text')} AS review, text FROM documents)",
+        select=f"""SELECT CASE doc_id % 2 WHEN 0 THEN 'txt' ELSE 'csv' END AS kind, md5(review) AS review_md5 FROM d
+          WHERE review <> '' AND (doc_id % 2 = 0 OR (text NOT IN {NA} AND NOT starts_with(lower(review), 'review')))""",
+    ),
+    "read_csv_repeated_names": with_ctes(*CLEANED, select="SELECT md5(review) AS review_md5 FROM cleaned"),
     "sheet_reviews": with_ctes(
         f"raw AS ({HEADED})",
         "rest AS (SELECT * FROM raw QUALIFY NOT (row_number() OVER (PARTITION BY source ORDER BY pos) = 1 AND lower(review) = 'reviews'))",

@@ -643,18 +643,65 @@ def read_ragged_csv(spark, sf_dir):
     return readers.read_ragged_csv(spark, path).select(digest("review"))
 
 
+def _one_line(text: Column) -> Column:
+    return F.translate(text, "\n\r", "  ")
+
+
+def _in_quotes(text: Column) -> Column:
+    return F.concat(F.lit('"'), F.regexp_replace(text, '"', '""'), F.lit('"'))
+
+
+def _write_files(spark: SparkSession, df: DataFrame, text: Column, name: str) -> str:
+    """One file per row."""
+    path = scratch_path(spark, name)
+    df.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
 @query
 def csv_fallback_chain(spark, sf_dir):
-    """Every document in a file for which one of the four ways of reading wins."""
+    """Every document in a file for which one of the ways of reading wins."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("kind", F.col("doc_id") % 40)
-    paths = {kind: scratch_path(spark, f"chain-{kind}") for kind in ("headed", "alone", "lines", "cells")}
-    _write_csv(documents.filter("kind not in (1, 2, 3)").select("doc_id", F.col("text").alias("feedback")), paths["headed"], True)
-    alone = documents.filter("kind = 1").select("doc_id", "text")
-    alone.write.options(header=False, escape='"', quoteAll=True, maxRecordsPerFile=1).csv(paths["alone"])
-    documents.filter("kind = 2").select(F.concat(F.md5("text"), F.lit(",")).alias("value")).write.text(paths["lines"])
-    labelled = F.concat(F.lit("Review 0\nReview "), F.col("doc_id").cast("string"), F.lit(","), F.md5("text"))
-    documents.filter("kind = 3").select(labelled.alias("value")).write.text(paths["cells"])
-    return readers.csv_with_fallbacks(spark, list(paths.values())).select(digest("review"))
+    number, text, line = F.col("doc_id").cast("string"), F.col("text"), _one_line(F.col("text"))
+    headed, alone = scratch_path(spark, "headed"), scratch_path(spark, "alone")
+    _write_csv(documents.filter("kind = 0 or kind > 6").select("doc_id", text.alias("feedback")), headed, True)
+    documents.filter("kind = 1").select("doc_id", "text").write.options(header=False, escape='"', quoteAll=True, maxRecordsPerFile=1).csv(alone)
+    latin = F.concat(number, F.lit(" \u00e9 "), F.regexp_replace(line, "[^\\x00-\\xFF]", "?"))
+    one_by_one = {
+        # the last cell is empty, so lines count
+        2: F.concat(_in_quotes(line), F.lit(",")),
+        # wider than the rows before, and all lines begin like labels: the first cell that does not, or the last one
+        3: F.concat(F.lit("Review a\nReview b\nReview c,"), _in_quotes(line)),
+        4: F.concat(F.lit("Review a,Review b\nReview c,Review d\nReview e,x,"), _in_quotes(line)),
+        # bytes that are not UTF-8
+        5: F.encode(latin, "ISO-8859-1").cast("string"),
+        # a row wider than header and first row
+        6: F.concat(F.lit("id,feedback\n"), number, F.lit(",x\n"), number, F.lit(",x "), _in_quotes(line), F.lit(",z")),
+    }
+    paths = [_write_files(spark, documents.filter(F.col("kind") == k), value, f"chain-{k}") for k, value in one_by_one.items()]
+    return readers.csv_with_fallbacks(spark, [headed, alone, *paths]).select(digest("review"))
+
+
+@query
+def dispatch_reviews(spark, sf_dir):
+    """Half of the documents as a text file, half as a delimited one, read by their extension."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts, cells = f"{scratch_path(spark, 'mixed')}.txt", f"{scratch_path(spark, 'mixed')}.csv"
+    documents.filter("doc_id % 2 = 0").select("text").write.option("lineSep", "\n\n").option("maxRecordsPerFile", 200).text(texts)
+    _write_csv(documents.filter("doc_id % 2 = 1").select("doc_id", F.col("text").alias("text"), F.col("text").alias("text_again")), cells, True)
+    every = [readers.read_reviews(spark, p).withColumn("kind", F.lit(readers.extension(p))) for p in (texts, cells)]
+    return every[0].unionByName(every[1]).select("kind", digest("review"))
+
+
+@query
+def read_csv_repeated_names(spark, sf_dir):
+    """Files whose header has one name three times; the third column is read."""
+    path = scratch_path(spark, "repeated")
+    row = F.concat_ws(",", "pos", "source", _in_quotes(F.coalesce("review", F.lit(""))))
+    first = F.monotonically_increasing_id().bitwiseAND(2**33 - 1) == 0
+    headed = F.concat(F.when(first, "feedback,feedback,feedback\n").otherwise(""), row)
+    bind(spark, sf_dir, RAW_CELLS).select(headed.alias("value")).write.text(path)
+    return readers.reviews_from_column(readers.read_csv(spark, path), "feedback.2").select(digest("review"))
 
 
 @query

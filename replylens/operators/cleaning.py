@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from replylens.fixed_values import NA_TOKENS
@@ -33,11 +33,20 @@ def clean_reviews(
 def nullify_na(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Turn the usual missing-value texts into NULL."""
     names = df.columns if columns is None else columns
-    return df.withColumns({c: F.when(~F.col(c).isin(*NA_TOKENS), F.col(c)) for c in names})
+    return df.withColumns({c: not_missing(F.col(f"`{c}`")) for c in names})
 
 
-def _is_quoted(column: str):
-    return F.col(column).startswith('"') & F.col(column).endswith('"')
+def is_quoted(text: Column) -> Column:
+    return text.startswith('"') & text.endswith('"')
+
+
+def without_quotes(text: Column) -> Column:
+    return F.regexp_replace(text, r'^"++|(?<!")"++$', "")
+
+
+def not_missing(text: Column) -> Column:
+    """The text, NULL where it is one of the usual missing-value texts."""
+    return F.when(~text.isin(*NA_TOKENS), text)
 
 
 def strip_quotes_if_first_quoted(df: DataFrame, keys: Sequence[str] = ("source",), pos: str = "pos") -> DataFrame:
@@ -48,12 +57,12 @@ def strip_quotes_if_first_quoted(df: DataFrame, keys: Sequence[str] = ("source",
     """
     flagged = (
         df.groupBy(*keys)
-        .agg(F.min(pos).alias("_first"), F.min(F.when(_is_quoted("review"), F.col(pos))).alias("_first_quoted"))
+        .agg(F.min(pos).alias("_first"), F.min(F.when(is_quoted(F.col("review")), F.col(pos))).alias("_first_quoted"))
         .filter(F.col("_first") == F.col("_first_quoted"))
         .select(*keys, F.lit(True).alias("_quoted"))
     )
-    stripped = F.regexp_replace("review", r'^"++|(?<!")"++$', "")
     marked = join_bounded(df, flagged, list(keys), "left")
+    stripped = without_quotes(F.col("review"))
     return marked.withColumn("review", F.when(F.col("_quoted"), stripped).otherwise(F.col("review"))).drop("_quoted")
 
 

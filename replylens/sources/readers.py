@@ -7,8 +7,6 @@ parallel; the options that keep a file in one task say so.
 
 from __future__ import annotations
 
-import csv
-import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,12 +19,16 @@ from replylens.operators.cleaning import (
     EQUALS_RULE,
     PREFIX_RULE,
     clean_reviews,
+    is_quoted,
+    not_missing,
     nullify_na,
     promote_header,
     strip_quotes_if_first_quoted,
+    without_quotes,
 )
-from replylens.session import join_bounded
+from replylens.session import durable, join_bounded
 from replylens.sources.columns import detect_text_column, pick_column, sample_lines, sample_values
+from replylens.sources.delimited import Delimited
 
 PLACE = ("_file", "_pos")
 FORMATS = ("csv", "txt", "xls", "xlsx")
@@ -41,25 +43,51 @@ def _placed(df: DataFrame) -> DataFrame:
     return df.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_pos"))
 
 
+def column_names(cells: list[str]) -> list[str]:
+    """Names for the cells of a header: empty ones are numbered, repeated ones get a number of their own."""
+    names = [cell if cell else f"Unnamed: {i}" for i, cell in enumerate(cells)]
+    given, times, out = set(names), dict.fromkeys(names, 0), []
+    for name in names:
+        unique = name
+        if name in out:
+            while unique in given:
+                times[name] += 1
+                unique = f"{name}.{times[name]}"
+            given.add(unique)
+        out.append(unique)
+    return out
+
+
 def read_csv(spark: SparkSession, path: str | list[str], header: bool = True, multi_line: bool = True) -> DataFrame:
     """Delimited files with the same header, all columns STRING, missing-value texts as NULL.
 
-    Files whose header differs from the first one's are refused.
-    Without a header the columns are `0`, `1`, ... in file order. With
-    `multi_line` quoted cells may contain line breaks and a file is one task;
-    without it large files are split.
+    Repeated names are numbered (`a`, `a.1`), empty ones too. Files are refused whose header differs from another's,
+    which are no UTF-8 or whose quotes do not close; a row with more cells than the header and
+    the row after it stops the read. If that row is wider than the header, the cells before the named ones
+    have no column. Without a header the columns are `0`, `1`, ... as many as the widest first row has.
+    Large files are split; with `multi_line` quoted cells may contain line breaks.
     """
-    reader = spark.read.options(
-        header=header, multiLine=multi_line, escape='"', inferSchema=False, ignoreLeadingWhiteSpace=False, enforceSchema=False
-    )
-    raw = reader.csv(path)
-    columns = raw.columns
-    if not header:
-        placed = _placed(raw)
-        for i, column in enumerate(columns):
-            placed = placed.withColumnRenamed(column, str(i))
-        return nullify_na(placed, [str(i) for i in range(len(columns))])
-    return nullify_na(_placed(raw), columns)
+    table = Delimited(spark, path, multi_line)
+    files = table.files()
+    refused = files.where("broken or unclosed").select("source", "broken").first()
+    if refused:
+        raise ValueError(f"{refused.source} " + ("is not UTF-8" if refused.broken else "has quotes that do not close"))
+    if header:
+        found = files.where("names is not null").groupBy("names").agg(F.max("second_width").alias("width")).limit(2).collect()
+        if len(found) > 1:
+            raise ValueError("the files have different headers")
+        names = column_names(found[0].names) if found else []
+        width = max(len(names), found[0].width or 0) if found else 0
+        rows = join_bounded(table.rows(), files.select("source", "first"), ["source"]).where(F.col("pos") > F.col("first"))
+    else:
+        width = files.agg(F.max(F.size("names"))).first()[0] or 0
+        names = [str(i) for i in range(width)]
+        rows = table.rows()
+    too_wide = F.raise_error(F.concat(F.lit("a row is wider than its table: "), "source", F.lit(" "), F.col("pos").cast("string")))
+    cells = F.when(F.size("cells") > width, too_wide.cast("array<string>")).otherwise(F.col("cells"))
+    lead = width - len(names)
+    columns = [not_missing(F.get(cells, F.lit(lead + i))).alias(name) for i, name in enumerate(names)]
+    return rows.select(*columns, F.col("source").alias("_file"), F.col("pos").alias("_pos"))
 
 
 def data_columns(df: DataFrame) -> list[str]:
@@ -112,81 +140,45 @@ def _is_hinted(column: str) -> bool:
     return detect_text_column([column, ""]) == column
 
 
+def _text(df: DataFrame) -> DataFrame:
+    """Text of any files; bytes that are not UTF-8 are left out."""
+    mended = F.regexp_replace(F.make_valid_utf8("value"), "\ufffd", "")
+    return df.withColumn("value", F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(mended))
+
+
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Non-empty lines that are no `review ...` labels."""
-    return clean_reviews(_as_reviews(_placed(spark.read.text(path)), "value"))
-
-
-def _parsed_cells(multi_line: bool):
-    """Function for mapInArrow over (source, pos, value): the cells of each row of delimited text."""
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        csv.field_size_limit(2**31 - 1)
-        for batch in batches:
-            sources, places, rows = [], [], []
-            for source, pos, value in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                lines = io.StringIO(value.removeprefix("\ufeff"), newline="") if multi_line else [value]
-                try:
-                    for i, cells in enumerate(csv.reader(lines)):
-                        if cells:
-                            sources.append(source)
-                            places.append(i if multi_line else pos)
-                            rows.append(cells)
-                except csv.Error:  # such a file has no further rows for this reader
-                    continue
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sources, pa.string()), pa.array(places, pa.int64()), pa.array(rows, pa.list_(pa.string()))],
-                names=["source", "pos", "cells"],
-            )
-
-    return parse
+    return clean_reviews(_as_reviews(_text(_placed(spark.read.text(path))), "value"))
 
 
 def read_cells(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
     """(source, pos, cells): every row with all its cells, however many, also empty ones at its end.
 
-    With `multi_line` quoted cells may contain line breaks and a file is one row of
-    text in one task; without it files are split into lines.
+    Bytes that are not UTF-8 are left out. Large files are split; with `multi_line` quoted cells may contain line breaks.
     """
-    text = spark.read.text(path, wholetext=multi_line)
-    return _as_reviews(_placed(text), "value").mapInArrow(
-        _parsed_cells(multi_line), "source STRING, pos BIGINT, cells ARRAY<STRING>"
-    )
+    return Delimited(spark, path, multi_line).rows()
 
 
 def _usable(cell: Column) -> Column:
     return (strip_blank(cell) != "") & ~is_header_like(strip_blank(cell), PREFIX_RULE)
 
 
-def _ragged_reviews(rows: DataFrame) -> DataFrame:
-    last = F.element_at("cells", -1)
-    first = F.get(F.filter("cells", _usable), F.lit(0))
-    wide = F.size("cells") > 1
-    rated = rows.select(
-        "source", "pos", wide.alias("wide"), F.when(_usable(last), last).alias("last"), strip_blank(first).alias("first")
-    )
-    # Two minima per file decide which rule it takes.
-    by_last = (
-        rated.groupBy("source")
-        .agg(
-            F.min("pos").alias("p"),
-            F.min(F.when(F.col("wide"), F.col("pos"))).alias("p_wide"),
-            F.count("last").alias("n_last"),
-        )
-        .select("source", ((F.col("p") == F.col("p_wide")) & (F.col("n_last") > 0)).alias("by_last"))
-        .filter("by_last")
-    )
-    marked = join_bounded(rated, by_last, ["source"], "left")
-    review = F.when(F.col("by_last"), F.col("last")).otherwise(F.col("first"))
-    return marked.select("source", "pos", review.alias("review")).filter(F.col("review").isNotNull())
+def _first_usable(cells: str = "cells") -> Column:
+    return strip_blank(F.get(F.filter(cells, _usable), F.lit(0)))
 
 
 def read_ragged_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
-    """Rows of different lengths: the last cell of each, if the file's first row has several.
+    """Rows of different lengths: the last cell of each, if the file's first line has several.
 
     Files that yield nothing that way fall back to the first usable cell of each row.
     """
-    return _ragged_reviews(read_cells(spark, path, multi_line))
+    table = Delimited(spark, path, multi_line)
+    rows = join_bounded(table.rows(), table.files().select("source", "top_width"), ["source"])
+    last = F.element_at("cells", -1)
+    found = rows.where("top_width > 1").groupBy("source").agg(F.count_if(_usable(last)).alias("n")).where("n > 0")
+    marked = join_bounded(rows, found.select("source", F.lit(True).alias("by_last")), ["source"], "left")
+    review = F.when(F.col("by_last"), F.when(_usable(last), last)).otherwise(_first_usable())
+    return marked.select("source", "pos", review.alias("review")).filter(F.col("review").isNotNull())
 
 
 def read_text_reviews(spark: SparkSession, path: str | list[str], whole_files: bool = True) -> DataFrame:
@@ -198,8 +190,8 @@ def read_text_reviews(spark: SparkSession, path: str | list[str], whole_files: b
     """
     if whole_files:
         return _whole_text_reviews(spark, path)
-    lines = _as_reviews(_placed(spark.read.text(path)), "value")
-    blocks = _as_reviews(_placed(spark.read.text(path, lineSep="\n\n")), "value")
+    lines = _as_reviews(_text(_placed(spark.read.text(path))), "value")
+    blocks = _as_reviews(_text(_placed(spark.read.text(path, lineSep="\n\n"))), "value")
     empty = F.col("review") == ""
     # An empty line counts unless it is the very first one of its file.
     divided = (
@@ -218,49 +210,84 @@ def read_text_reviews(spark: SparkSession, path: str | list[str], whole_files: b
 
 
 def _whole_text_reviews(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    files = spark.read.text(path, wholetext=True)
+    files = _text(_placed(spark.read.text(path, wholetext=True)))
     body = F.regexp_replace("value", "\r\n?", "\n")
     parts = F.when(body.contains("\n\n"), F.split(body, "\n\n")).otherwise(F.split(body, "\n"))
-    reviews = files.select(F.col("_metadata.file_path").alias("source"), F.posexplode(parts).alias("p", "review"))
+    reviews = files.select(F.col("_file").alias("source"), F.posexplode(parts).alias("p", "review"))
     return clean_reviews(reviews.select("source", F.col("p").cast("bigint").alias("pos"), "review"), header_rule=None)
 
 
 def _detected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        headers = batch.column(1).to_pylist()
+        headers = [column_names(cells) for cells in batch.column(1).to_pylist()]
         places = [names.index(detect_text_column(names)) for names in headers]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(places, pa.int32()), pa.array([len(n) for n in headers], pa.int32())],
-            names=["source", "place", "width"],
-        )
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.int32())], names=["source", "place"])
+
+
+HEADED, HEADLESS, BY_LINE, BY_LAST, BY_CELL = range(5)
 
 
 def csv_with_fallbacks(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
     """Per file, the first way of reading delimited text that finds any review.
 
-    In order: by its own header, without a header, line by line, cell by cell. All
-    files are read each way; the first way that counts a review is kept for a file.
+    In order: by its own header, without a header, line by line, cell by cell. The first two refuse files that are not
+    UTF-8, have quotes that do not close, or a row wider than the header and the row after it (without a header: than the
+    first row); the others leave out such bytes. Files are walked for their quotes, parsed once to see which way
+    each takes, and parsed again for what it says.
     """
-    rows = read_cells(spark, path, multi_line)
-    first = rows.groupBy("source").agg(F.min_by("cells", "pos").alias("names"), F.min("pos").alias("first"))
-    chosen = first.select("source", "names").mapInArrow(_detected, "source STRING, place INT, width INT")
-    placed = join_bounded(rows, chosen.join(first.select("source", "first"), "source"), ["source"])
-
-    def of(place: Column, kept: Column) -> DataFrame:
-        return nullify_na(placed.filter(kept).select("source", "pos", F.get("cells", place).alias("review")), ["review"])
-
-    ways = (
-        strip_quotes_if_first_quoted(clean_reviews(of(F.col("place"), F.col("pos") > F.col("first")))),
-        clean_reviews(of(F.col("width") - 1, F.lit(True))),
-        read_lines(spark, path),
-        _ragged_reviews(rows),
+    table = Delimited(spark, path, multi_line)
+    files = table.files()
+    detected = files.where("names is not null").select("source", "names").mapInArrow(_detected, "source STRING, place INT")
+    width = F.size("names")
+    heads = files.join(detected, "source", "left").select(
+        "source",
+        "first",
+        width.alias("width"),
+        F.greatest(width, F.coalesce("second_width", width)).alias("widest"),
+        "top_width",
+        (F.col("broken") | F.col("unclosed")).alias("refused"),
+        # cells before the named ones have no name
+        (F.col("place") + F.greatest(F.coalesce("second_width", width) - width, F.lit(0))).alias("place"),
+    )
+    rows = join_bounded(table.rows(), heads, ["source"])
+
+    def usable(cell: Column) -> Column:
+        text = strip_blank(not_missing(cell))
+        return F.when((text != "") & ~is_header_like(text, PREFIX_RULE), text)
+
+    named = F.when(F.col("pos") > F.col("first"), usable(F.get("cells", F.col("place"))))
+    final, last = usable(F.get("cells", F.col("width") - 1)), F.element_at("cells", -1)
+    seen = rows.groupBy("source").agg(
+        *[F.first(c).alias(c) for c in ("first", "width", "widest", "top_width", "refused", "place")],
+        F.max(F.size("cells")).alias("most"),
+        F.count(named).alias("n_named"),
+        F.count(final).alias("n_final"),
+        F.count_if(_usable(last)).alias("n_last"),
+        F.min(F.when(named.isNotNull(), F.col("pos"))).alias("p_named"),
+        F.min(F.when(is_quoted(named), F.col("pos"))).alias("p_quoted"),
+    )
+    whole = ~F.col("refused")
+    way = (
+        F.when(whole & (F.col("most") <= F.col("widest")) & (F.col("n_named") > 0), F.lit(HEADED))
+        .when(whole & (F.col("most") <= F.col("width")) & (F.col("n_final") > 0), F.lit(HEADLESS))
+        .when((F.col("top_width") > 1) & (F.col("n_last") > 0), F.lit(BY_LAST))
+        .otherwise(F.lit(BY_CELL))
+    )
+    ways = durable(seen.select("source", "first", "width", "place", way.alias("way"), F.coalesce(F.col("p_named") == F.col("p_quoted"), F.lit(False)).alias("quoted")))
+    undecided = ways.where(F.col("way") > BY_LINE).select("source")
+    by_line = None
+    if not undecided.isEmpty():
+        by_line = join_bounded(read_lines(spark, path), undecided, ["source"], "left_semi").select("source", "pos", "review")
+        ways = durable(ways.join(by_line.select("source").distinct(), "source", "left_anti"))
+    kept = join_bounded(table.rows(), ways, ["source"])
+    review = (
+        F.when(F.col("way") == HEADED, F.when(F.col("quoted"), without_quotes(named)).otherwise(named))
+        .when(F.col("way") == HEADLESS, final)
+        .when(F.col("way") == BY_LAST, F.when(_usable(last), last))
+        .otherwise(_first_usable())
     )
-    tagged = None
-    for i, way in enumerate(ways):
-        one = way.select("source", "pos", "review", F.lit(i).alias("_way"))
-        tagged = one if tagged is None else tagged.unionByName(one)
-    best = tagged.groupBy("source").agg(F.min("_way").alias("_best"))
-    return join_bounded(tagged, best, ["source"]).filter(F.col("_way") == F.col("_best")).drop("_way", "_best")
+    by_row = kept.select("source", "pos", review.alias("review")).where("review is not null")
+    return by_row if by_line is None else by_row.unionByName(by_line)
 
 
 def extension(path: str) -> str:
