@@ -131,9 +131,9 @@ QUALITY = """quality AS (
   FROM scored GROUP BY model)"""
 # Every ordered pair of replies. Its similarity is twice the characters in matching blocks over all characters; the longest
 # common run (the first in x, then in y) is a block, and what lies before and after it is matched in the same way.
-TEXTS = """ordered AS (SELECT a.model, a.response AS x, b.response AS y, count(*) AS n
-  FROM log a JOIN log b ON a.model = b.model AND a.pos < b.pos GROUP BY ALL),
-matches(x, y, a, b, size) AS (
+ORDERED = """ordered AS (SELECT a.model, a.response AS x, b.response AS y, count(*) AS n
+  FROM log a JOIN log b ON a.model = b.model AND a.pos < b.pos GROUP BY ALL)"""
+RATIOS = """matches(x, y, a, b, size) AS (
   SELECT x, y, x, y, 0 FROM (SELECT DISTINCT x, y FROM ordered WHERE x <> y)
   UNION ALL
   SELECT x, y, unnest([substr(a, 1, i - 1), substr(a, i + k)]), unnest([substr(b, 1, j - 1), substr(b, j + k)]), unnest([k, 0])
@@ -141,7 +141,9 @@ matches(x, y, a, b, size) AS (
     FROM (SELECT *, list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(a) - i + 2),
         lambda k: CASE WHEN contains(b, substr(a, i, k)) THEN {'k': k, 'before': -i} END)))) AS best
       FROM matches WHERE a <> '' AND b <> '') WHERE best IS NOT NULL)),
-ratios AS (SELECT x, y, 2.0 * sum(size) / (length(x) + length(y)) AS ratio FROM matches GROUP BY x, y),
+ratios AS (SELECT x, y, 2.0 * sum(size) / (length(x) + length(y)) AS ratio FROM matches GROUP BY x, y)"""
+TEXTS = f"""{ORDERED},
+{RATIOS},
 consistency AS (SELECT model, sum(n * CASE WHEN o.x = o.y THEN 1.0 ELSE ratio END) / sum(n) AS format_consistency
   FROM ordered o LEFT JOIN ratios s ON o.x = s.x AND o.y = s.y GROUP BY model)"""
 EVALUATION = """evaluation AS (
@@ -329,6 +331,27 @@ ORACLES: dict[str, str] = {
     "format_consistency_log": with_ctes(
         LOG, TEXTS, select="SELECT model, round(format_consistency, 6) AS format_consistency FROM consistency"
     ),
+    "levenshtein_consistency": with_ctes(
+        LOG, ORDERED,
+        select="""SELECT model, round(sum(n * CASE WHEN x = y THEN 1 ELSE 1 - levenshtein(x, y) / greatest(length(x), length(y)) END) / sum(n), 6)
+          AS format_consistency FROM ordered GROUP BY model""",
+    ),
+    "sampled_consistency": with_ctes(
+        LOG,
+        "placed AS (SELECT model, response, row_number() OVER (PARTITION BY model ORDER BY pos) AS rank, count(*) OVER (PARTITION BY model) AS n FROM log)",
+        "sizes AS (SELECT model, sum(c) AS n, sum(c * (c - 1) / 2) AS same FROM (SELECT model, response, count(*) AS c FROM log GROUP BY ALL) GROUP BY model)",
+        """draws AS (SELECT model, ('0x' || substr(md5('pairs/one/' || k), 1, 14))::BIGINT % n + 1 AS one,
+          ('0x' || substr(md5('pairs/other/' || k), 1, 14))::BIGINT % n + 1 AS other FROM sizes, range(1000) r(k))""",
+        """ordered AS (SELECT d.model, a.response AS x, b.response AS y, count(*) AS n FROM draws d
+          JOIN placed a ON a.model = d.model AND a.rank = least(one, other) JOIN placed b ON b.model = d.model AND b.rank = greatest(one, other)
+          WHERE one <> other AND a.response <> b.response GROUP BY ALL)""",
+        RATIOS,
+        """sums AS (SELECT model, sum(n) AS m, sum(n * ratio) AS s, sum(n * ratio * ratio) AS q FROM ordered o
+          JOIN ratios r ON o.x = r.x AND o.y = r.y GROUP BY model)""",
+        select="""SELECT model, round((same + (n * (n - 1) / 2 - same) * s / m) / (n * (n - 1) / 2), 6) AS format_consistency,
+          round(1.959964 * sqrt((q - s * s / m) / (m - 1) / m) * (n * (n - 1) / 2 - same) / (n * (n - 1) / 2), 6) AS half_width, CAST(m AS BIGINT) AS pairs
+          FROM sizes JOIN sums USING (model)""",
+    ),
     "pair_counts": with_ctes(
         LOG,
         select="""SELECT a.model, any_value(n.replies) AS replies, count(*) AS pairs

@@ -17,7 +17,7 @@ from replylens.functions.jsonx import structure_score, with_json
 from replylens.functions.naming import provider_by_prefix, resolve_alias, route_provider
 from replylens.functions.pricing import price_of, with_cost
 from replylens.functions.tokens import count_tokens, tokenizer_counter
-from replylens.operators import browse, cleaning, numbering, pairwise, prompts, ranking, scoring, stats
+from replylens.operators import browse, cleaning, numbering, pairwise, prompts, ranking, sampling, scoring, stats
 from replylens.plans import report
 from replylens.plans.evaluate import evaluate, evaluate_run
 from replylens.session import prepare, scratch_path
@@ -198,6 +198,16 @@ def format_consistency_log(spark, sf_dir):
     return rounded(pairwise.format_consistency(bind(spark, sf_dir, RUN_LOG)))
 
 
+@query
+def levenshtein_consistency(spark, sf_dir):
+    return rounded(pairwise.format_consistency(bind(spark, sf_dir, RUN_LOG), mode="levenshtein"))
+
+
+@query
+def sampled_consistency(spark, sf_dir):
+    return rounded(sampling.sampled_consistency(bind(spark, sf_dir, RUN_LOG)))
+
+
 @query
 def pair_counts(spark, sf_dir):
     return pairwise.pair_counts(bind(spark, sf_dir, RUN_LOG))

@@ -8,11 +8,12 @@ copies of the same item are weighed instead of compared again.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +27,13 @@ BLOCK_BYTES = 4 << 20
 KEY_SET_BLOCK = 1024
 # Distinct keys held in one matrix at a time, however many a tile has.
 KEY_COLUMNS = 4096
-# Copies of a text are merged within this many positions (2**17), which bounds
-# the position list a row can carry.
-COPY_BITS = 17
-# Positions are weighed in segments of this many (2**22), one task each.
-SEGMENT_BITS = 22
+# Replies of a group are weighed in ranges with at most so many texts and about so many rows.
+RANGE_TEXTS = 1024
+RANGE_ROWS = 1 << 22
+# Replies that are ordered among each other at a time.
+STEP = 256
+# Groups that share the comparisons of a tile.
+PART_GROUPS = 1024
 
 
 def _blocks(items, block_rows: int):
@@ -85,16 +88,7 @@ def _tile_sums(
     return sums.groupBy(*group).agg(F.sum("pair_sum").alias("pair_sum"))
 
 
-def _earlier_pairs(first: np.ndarray, second: np.ndarray) -> int:
-    """How many (i, j) have the position i of `first` before the position j of `second`."""
-    if first[-1] < second[0]:
-        return len(first) * len(second)
-    if second[-1] < first[0]:
-        return 0
-    return int(np.searchsorted(first, second).sum())
-
-
-def _matched(matcher: SequenceMatcher, first: int, second: int) -> int:
+def matched_characters(matcher: SequenceMatcher, first: int, second: int) -> int:
     """Characters in matching blocks: what `ratio()` counts, without building the blocks."""
     matched = 0
     open_ranges = [(0, first, 0, second)]
@@ -114,120 +108,267 @@ def _pair_count(n):
     return n * (n - F.lit(1)) / F.lit(2)
 
 
-def _weighed(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one tile and segment: the texts' hashes, their numbers of replies, and how many
-    replies with the text of the row come before one with the text of the column."""
-    hashes = np.unique(rows["h"].to_numpy(np.int64))
-    counts = np.zeros(len(hashes), np.int64)
-    weights = np.zeros((len(hashes), len(hashes)), np.int64)
-    for _, span in rows.sort_values("span").groupby("span", sort=True):
-        at = np.searchsorted(hashes, span["h"].to_numpy(np.int64))
-        places = [np.sort(np.asarray(p)) for p in span["places"]]
-        together = np.sort(np.concatenate(places))
-        if (together[1:] == together[:-1]).any():
-            raise ValueError("positions repeat within a group; number the replies first (numbering.run_positions)")
-        here = np.zeros(len(hashes), np.int64)
-        here[at] = [len(p) for p in places]
-        weights += np.outer(counts, here)
-        for j, second in zip(at, places, strict=True):
-            for i, first in zip(at, places, strict=True):
-                if i != j:
-                    weights[i, j] += _earlier_pairs(first, second)
-        counts += here
-    return hashes, counts, weights
-
-
-def _combined(hashes: np.ndarray, weighed: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of replies and weights of whole groups, from those of their segments in order."""
-    counts = np.zeros(len(hashes), np.int64)
-    weights = np.zeros((len(hashes), len(hashes)), np.int64)
-    for row in weighed.sort_values("segment").itertuples(index=False):
-        at = np.searchsorted(hashes, np.asarray(row.hashes, np.int64))
-        here = np.zeros(len(hashes), np.int64)
-        here[at] = row.counts
-        weights += np.outer(counts, here)
-        weights[np.ix_(at, at)] += np.asarray(row.weights, np.int64).reshape(len(at), len(at))
-        counts += here
-    return counts, weights
-
-
-def _text_kernel(texts: pd.DataFrame, weighed: pd.DataFrame) -> float:
-    """Weighted sum of text similarity over the pairs of one tile.
-
-    Similarity depends on which text comes first, so each order is compared
-    once and weighed by how many pairs occur in it. A text is similar to itself by exactly 1.
-    """
-    texts = texts.sort_values("h", ignore_index=True)
-    counts, weights = _combined(texts["h"].to_numpy(np.int64), weighed)
-    blocks, words = texts["block"].tolist(), texts["text"].tolist()
-    diagonal = texts["tile_low"].iat[0] == texts["tile_high"].iat[0]
-    total = 0.0
-    for j, later in enumerate(words):
-        if diagonal:
-            total += int(counts[j]) * (int(counts[j]) - 1) / 2
-        matcher = SequenceMatcher(None, "", later)  # keeps its index of the later text
-        for i, earlier in enumerate(words):
-            if i == j or not weights[i, j] or (not diagonal and blocks[i] == blocks[j]):
+class _Range:
+    """Replies of one group in order: numbers of texts, and how many replies with one text come before those with another."""
+
+    def __init__(self, texts: int, rows: int):
+        self.texts, self.rows = texts, rows
+        self.codes: dict[int, int] = {}
+        self.counts = np.zeros(texts, np.int64)
+        self.weights = np.zeros((texts, texts), np.int64)
+        self.size, self.bytes, self.first = 0, 0, None
+
+    def fits(self, hashes: np.ndarray) -> bool:
+        return self.size == 0 or (self.size < self.rows and len(self.codes.keys() | set(hashes.tolist())) <= self.texts)
+
+    def add(self, hashes: np.ndarray, first: int, size: int) -> None:
+        """Further replies, no more than the range may have texts."""
+        kinds, at = np.unique(hashes, return_inverse=True)
+        ids = np.array([self.codes.setdefault(h, len(self.codes)) for h in kinds.tolist()])
+        own = np.zeros((len(hashes), len(kinds)))
+        own[np.arange(len(hashes)), at] = 1
+        before = np.cumsum(own, axis=0) - own
+        here = own.sum(axis=0).astype(np.int64)
+        known = len(self.codes)
+        self.weights[:known, ids] += np.outer(self.counts[:known], here)
+        self.weights[np.ix_(ids, ids)] += np.rint(before.T @ own).astype(np.int64)
+        self.counts[ids] += here
+        self.first = first if self.first is None else self.first
+        self.size += len(hashes)
+        self.bytes += size
+
+    def row(self, group: int) -> pa.RecordBatch:
+        known = len(self.codes)
+        i, j = np.nonzero(self.weights[:known, :known])
+        packed = (list(self.codes), self.counts[:known], i, j, self.weights[i, j])
+        arrays = [pa.array([v], pa.int64()) for v in (group, self.first, self.bytes)]
+        arrays += [pa.array([v], pa.list_(k)) for v, k in zip(packed, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, names=["gid", "first", "bytes", "hashes", "counts", "i", "j", "w"])
+
+
+RANGES = "gid bigint, first bigint, bytes bigint, hashes array<bigint>, counts array<bigint>, i array<int>, j array<int>, w array<bigint>"
+
+
+def _ranged(texts: int, rows: int, step: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sorted rows (gid, pos, h, bytes) as ranges of a group with few texts each; every row is in one range."""
+
+    def ranges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, group, last = _Range(texts, rows), None, None
+        for batch in batches:
+            gid, pos, h, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            if not len(gid):
                 continue
-            matcher.set_seq1(earlier)
-            matched = _matched(matcher, len(earlier), len(later))
-            total += int(weights[i, j]) * (2.0 * matched / (len(earlier) + len(later)))
-    return total
-
-
-def format_consistency(replies: DataFrame, keys: Sequence[str] = ("model",), text: str = "response") -> DataFrame:
+            if ((gid[1:] == gid[:-1]) & (pos[1:] == pos[:-1])).any() or last == (gid[0], pos[0]):
+                raise ValueError("positions repeat within a group; number the replies first (numbering.run_positions)")
+            last = (gid[-1], pos[-1])
+            edges = np.flatnonzero(np.r_[True, gid[1:] != gid[:-1], True])
+            for low, high in zip(edges, edges[1:], strict=False):
+                if group is not None and gid[low] != group:
+                    yield held.row(group)
+                    held = _Range(texts, rows)
+                group = int(gid[low])
+                for at in range(low, high, step):
+                    part = slice(at, min(at + step, high))
+                    if not held.fits(h[part]):
+                        yield held.row(group)
+                        held = _Range(texts, rows)
+                    held.add(h[part], int(pos[at]), int(size[part].sum()))
+        if held.size:
+            yield held.row(group)
+
+    return ranges
+
+
+def _dealt(blocks: int, parts: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The weights of ranges, dealt over the tiles of their pairs of texts."""
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                hashes, i, j, w = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("hashes", "i", "j", "w"))
+                gid = batch.column("gid")[row].as_py()
+                block = hashes % blocks
+                tile = np.minimum(block[i], block[j]) * blocks + np.maximum(block[i], block[j])
+                order = np.argsort(tile, kind="stable")
+                i, j, w, tile = i[order], j[order], w[order], tile[order]
+                starts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]) if len(tile) else np.array([], np.int64)
+                offsets = pa.array(np.r_[starts, len(tile)].astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (hashes[i], hashes[j], w)]
+                low, high = tile[starts] // blocks, tile[starts] % blocks
+                heads = [pa.array(v.astype(np.int32)) for v in (low, high, np.full(len(starts), gid % parts))]
+                yield pa.RecordBatch.from_arrays([*heads, pa.array(np.full(len(starts), gid)), *lists], names=["tile_low", "tile_high", "part", "gid", "hi", "hj", "w"])
+
+    return deal
+
+
+class _Tile:
+    """The texts of two blocks with the places of their groups' replies."""
+
+    def __init__(self, texts: pd.DataFrame, within: pd.DataFrame):
+        texts = texts.sort_values("h", ignore_index=True)
+        self.hashes, self.words, self.blocks = texts["h"].to_numpy(np.int64), texts["text"].tolist(), texts["block"].to_numpy()
+        self.diagonal = texts["tile_low"].iat[0] == texts["tile_high"].iat[0]
+        lengths = [len(g) for g in texts["gids"]]
+        self.of = np.repeat(np.arange(len(texts)), lengths)
+        self.gids, self.firsts, self.counts = (np.concatenate([np.asarray(v, np.int64) for v in texts[c]]) for c in ("gids", "firsts", "counts"))
+        order = np.lexsort((self.firsts, self.gids))
+        self.of, self.gids, self.firsts, self.counts = self.of[order], self.gids[order], self.firsts[order], self.counts[order]
+        self.within = dict(iter(within.groupby("gid"))) if len(within) else {}
+        self.starts = np.flatnonzero(np.r_[True, self.gids[1:] != self.gids[:-1]])
+
+    def groups(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per group its number, its texts, their numbers of replies, and the weights of their ordered pairs."""
+        for low, high in zip(self.starts, np.r_[self.starts[1:], len(self.gids)], strict=True):
+            gid = int(self.gids[low])
+            present, at = np.unique(self.of[low:high], return_inverse=True)
+            firsts, n = self.firsts[low:high], self.counts[low:high]
+            ranges = np.cumsum(np.r_[False, firsts[1:] != firsts[:-1]])
+            weights = np.zeros((len(present), len(present)), np.int64)
+            before = np.zeros(len(present), np.int64)
+            # whole ranges come one after the other
+            for start in range(0, ranges[-1] + 1, 1024):
+                inside = (ranges >= start) & (ranges < start + 1024)
+                table = np.zeros((int(ranges[inside].max()) - start + 1, len(present)), np.int64)
+                table[ranges[inside] - start, at[inside]] = n[inside]
+                weights += (np.cumsum(table, axis=0) - table + before).T @ table
+                before += table.sum(axis=0)
+            for row in self.within[gid].itertuples(index=False) if gid in self.within else ():
+                i, j = (np.searchsorted(present, np.searchsorted(self.hashes, np.asarray(v, np.int64))) for v in (row.hi, row.hj))
+                np.add.at(weights, (i, j), np.asarray(row.w, np.int64))
+            np.fill_diagonal(weights, 0)
+            if not self.diagonal:
+                weights[self.blocks[present][:, None] == self.blocks[present][None, :]] = 0
+            yield gid, present, before, weights
+
+    def sums(self, similarity: Callable[[list[str], np.ndarray], np.ndarray]) -> pd.DataFrame:
+        """Per group the weighted sum of the similarity of its pairs; each pair of texts is compared once for all groups."""
+        wanted = np.zeros((len(self.words),) * 2, bool)
+        for _, present, _, weights in self.groups():
+            wanted[np.ix_(present, present)] |= weights > 0
+        alike = similarity(self.words, wanted)
+        out = []
+        for gid, present, counts, weights in self.groups():
+            total = float((alike[np.ix_(present, present)] * weights).sum())
+            if self.diagonal:  # a text is similar to itself by exactly 1
+                total += float((counts.astype(float) * (counts - 1) / 2).sum())
+            out.append((gid, total))
+        return pd.DataFrame(out, columns=["gid", "pair_sum"])
+
+
+def ratios(words: list[str], wanted: np.ndarray) -> np.ndarray:
+    """Matching characters of ordered pairs of texts; it depends on which text comes first."""
+    alike = np.zeros(wanted.shape)
+    for j in np.flatnonzero(wanted.any(axis=0)).tolist():
+        later = words[j]
+        matcher = SequenceMatcher(None, "", later)  # keeps its index of the later text
+        for i in np.flatnonzero(wanted[:, j]).tolist():
+            matcher.set_seq1(words[i])
+            alike[i, j] = 2.0 * matched_characters(matcher, len(words[i]), len(later)) / (len(words[i]) + len(later))
+    return alike
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Insertions, deletions and replacements between two texts, a column of the table at a time as bits."""
+    if len(a) < len(b):
+        a, b = b, a
+    low = 0
+    while low < len(b) and a[low] == b[low]:
+        low += 1
+    end = 0
+    while end < len(b) - low and a[len(a) - 1 - end] == b[len(b) - 1 - end]:
+        end += 1
+    a, b = a[low : len(a) - end], b[low : len(b) - end]
+    if not b:
+        return len(a)
+    places: dict[str, int] = {}
+    for i, letter in enumerate(b):
+        places[letter] = places.get(letter, 0) | 1 << i
+    full, top = (1 << len(b)) - 1, 1 << (len(b) - 1)
+    plus, minus, distance = full, 0, len(b)
+    for letter in a:
+        equal = places.get(letter, 0)
+        zero = ((((equal & plus) + plus) ^ plus) | equal | minus) & full
+        up, down = (minus | ~(zero | plus)) & full, zero & plus
+        distance += bool(up & top) - bool(down & top)
+        up, down = (up << 1 | 1) & full, (down << 1) & full
+        plus, minus = (down | ~(zero | up)) & full, zero & up
+    return distance
+
+
+def edit_similarities(words: list[str], wanted: np.ndarray) -> np.ndarray:
+    """1 - edit distance / length of the longer text, which is the same in both orders."""
+    alike = np.zeros(wanted.shape)
+    pairs = np.triu(wanted | wanted.T, 1)
+    for i, j in np.argwhere(pairs).tolist():
+        longer = max(len(words[i]), len(words[j]))
+        alike[i, j] = alike[j, i] = 1 - edit_distance(words[i], words[j]) / longer
+    return alike
+
+
+SIMILARITIES = {"exact": ratios, "levenshtein": edit_similarities}
+
+
+def format_consistency(replies: DataFrame, keys: Sequence[str] = ("model",), text: str = "response", mode: str = "exact") -> DataFrame:
     """Mean similarity of all pairs of replies per group, 0 below two replies.
 
-    `replies` needs a position `pos`, unique within the group; a repeat is refused. Texts
-    are placed in blocks by their hash alone. How many replies with one text come before those with
-    another is counted per tile and segment of positions, without the texts; a tile then meets each
-    of its texts once and compares every ordered pair of distinct texts once, however long
-    the log is. Building the result already runs a pass for the numbers of texts.
+    `mode` is "exact" (matching characters, as `difflib` counts them) or "levenshtein" (1 - edit distance / length of the longer
+    text). `replies` needs a position `pos`, unique within the group; a repeat is refused.
+
+    The replies' places, without their texts, are sorted once by ranges. A task turns its replies into ranges with few texts and
+    weighs the pairs of texts in each: how many replies with one come before those with the other. Distinct texts of all
+    groups then meet in tiles; a pair of texts is compared once for up to PART_GROUPS groups, however long the log is,
+    and its similarity is weighed for each group: within ranges by those weights, which go to one tile each, between ranges by the
+    numbers of replies alone.
     """
     group = list(keys)
-    placed = replies.filter(F.col(text).isNotNull()).select(
-        *group,
-        F.col(text).alias("text"),
-        F.xxhash64(text).alias("h"),
-        F.col("pos").cast("bigint").alias("pos"),
-        F.shiftright(F.col("pos").cast("bigint"), COPY_BITS).alias("span"),
-    )
-    # Only sizes are kept from the first pass: the texts themselves are read
-    # again rather than written out, and their number may be an estimate.
-    distinct = F.approx_count_distinct("h")
-    by_bytes = distinct * F.avg(F.octet_length("text")) / F.lit(BLOCK_BYTES)
-    blocks = F.greatest(F.ceil(distinct / F.lit(TEXT_BLOCK)), F.ceil(by_bytes), F.lit(1)).cast("int")
-    sizes = durable(placed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), blocks.alias("_blocks")))
-    tile = [*group, "tile_low", "tile_high"]
-    tasks = _tile_tasks(sizes)
-
-    pieces = placed.groupBy(*group, "h", "span").agg(F.collect_list("pos").alias("places"))
-    pieces = pieces.withColumn("segment", F.shiftright("span", SEGMENT_BITS - COPY_BITS))
-    keyed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sizes.select(*group).schema.fields)
-    keyed += ", tile_low INT, tile_high INT"
-
-    def weigh(rows: pd.DataFrame) -> pd.DataFrame:
-        hashes, counts, weights = _weighed(rows)
-        head = rows.iloc[:1][[*tile, "segment"]].reset_index(drop=True)
-        return head.assign(hashes=[hashes], counts=[counts], weights=[weights.ravel()])
-
-    weighed = (
-        _tiled(pieces, sizes, group, F.col("h"))
-        .groupBy(*tile, "segment")
-        .applyInPandas(weigh, f"{keyed}, segment BIGINT, hashes ARRAY<BIGINT>, counts ARRAY<BIGINT>, weights ARRAY<BIGINT>")
-    )
-    texts = _tiled(placed.select(*group, "h", "text").distinct(), sizes, group, F.col("h"))
-
-    def compared(texts: pd.DataFrame, weighed: pd.DataFrame) -> pd.DataFrame:
-        head = texts.iloc[:1][group].reset_index(drop=True)
-        return head.assign(pair_sum=_text_kernel(texts, weighed))
+    gid = F.xxhash64(*[F.col(f"`{k}`") for k in group]).alias("gid")
+    present = replies.filter(F.col(text).isNotNull())
+    narrow = present.select(gid, F.col("pos").cast("bigint").alias("pos"), F.xxhash64(text).alias("h"), F.octet_length(text).cast("bigint").alias("bytes"))
+    spark = replies.sparkSession
+    # a number of partitions that is given is kept: these rows are few bytes and much work
+    ranged = narrow.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "gid", "pos").sortWithinPartitions("gid", "pos")
+    ranges = durable(ranged.mapInArrow(_ranged(RANGE_TEXTS, RANGE_ROWS, STEP), RANGES))
+
+    seen = ranges.select("gid", "first", F.explode(F.arrays_zip("hashes", "counts")).alias("x")).select("gid", "first", F.col("x.hashes").alias("h"), F.col("x.counts").alias("n"))
+    sizes = durable(seen.groupBy("gid").agg(F.sum("n").alias("_n")))
+    occurring = durable(
+        seen.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("gid", "first", "n"))).alias("at"))
+        .select("h", F.col("at.gid").alias("gids"), F.col("at.first").alias("firsts"), F.col("at.n").alias("counts"))
+    )
+    distinct = occurring.count()
+    total = ranges.agg(F.sum("bytes").alias("bytes")).first()["bytes"] or 0
+    work = sizes.agg(F.count(F.lit(1)).alias("groups"), F.sum("_n").alias("n")).first()
+    average = total / max(1, work["n"] or 0)
+    blocks = max(1, -(-distinct // TEXT_BLOCK), int(distinct * average / BLOCK_BYTES))
+    parts = max(1, -(-work["groups"] // PART_GROUPS))
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    tasks = max(1, min(most, blocks * (blocks + 1) // 2 * parts))
 
-    schema = keyed.removesuffix(", tile_low INT, tile_high INT") + ", pair_sum DOUBLE"
-    # Tiles are small in bytes and heavy in work, so AQE must not merge them.
-    sides = [side.repartition(tasks, *tile).groupBy(*tile) for side in (texts, weighed)]
-    sums = sides[0].cogroup(sides[1]).applyInPandas(compared, schema).groupBy(*group).agg(F.sum("pair_sum").alias("pair_sum"))
+    tile = ["tile_low", "tile_high", "part"]
+    within = ranges.select("gid", "hashes", "i", "j", "w").mapInArrow(
+        _dealt(blocks, parts), "tile_low int, tile_high int, part int, gid bigint, hi array<bigint>, hj array<bigint>, w array<bigint>"
+    )
+    texts = present.select(F.xxhash64(text).alias("h"), F.col(text).alias("text")).distinct().join(occurring.hint("merge"), "h")
+    block, other = F.pmod("h", F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    placed = texts.withColumn("block", block).withColumn("other", other).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    if parts > 1:
+        mine = F.filter(F.arrays_zip("gids", "firsts", "counts"), lambda x: F.pmod(x["gids"], F.lit(parts)) == F.col("part"))
+        placed = placed.withColumn("mine", mine).where(F.size("mine") > 0)
+        placed = placed.select("h", "text", "block", "other", "part", *[F.col(f"mine.{c}").alias(c) for c in ("gids", "firsts", "counts")])
+    placed = placed.withColumns({"tile_low": F.least("block", "other"), "tile_high": F.greatest("block", "other")}).drop("other")
+    similarity = SIMILARITIES[mode]
+
+    def compared(texts: pd.DataFrame, within: pd.DataFrame) -> pd.DataFrame:
+        return _Tile(texts, within).sums(similarity) if len(texts) else pd.DataFrame({"gid": [], "pair_sum": []})
+
+    # tiles are small in bytes and heavy in work, so AQE must not merge them
+    sides = [side.repartition(tasks, *tile).groupBy(*tile) for side in (placed, within)]
+    sums = sides[0].cogroup(sides[1]).applyInPandas(compared, "gid bigint, pair_sum double").groupBy("gid").agg(F.sum("pair_sum").alias("pair_sum"))
     mean = F.coalesce(F.try_divide("pair_sum", _pair_count(F.col("_n"))), F.lit(0.0))
-    return sizes.join(sums, group).select(*group, mean.alias("format_consistency"))
+    # one row per group from here on
+    means = sizes.join(sums, "gid", "left").select("gid", mean.alias("format_consistency"))
+    named = present.select(*group, gid).distinct()
+    return named.join(means, "gid").select(*group, "format_consistency")
 
 
 def _shared_keys(first: pd.Series, second: pd.Series) -> np.ndarray:

@@ -3,11 +3,11 @@ from collections import defaultdict
 from difflib import SequenceMatcher
 from itertools import combinations
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
-from replylens.operators import pairwise
+from replylens.operators import pairwise, sampling
 
 chosen = random.Random(3)
 
@@ -31,8 +31,10 @@ def words(n):
 @pytest.fixture
 def small_blocks(monkeypatch):
     monkeypatch.setattr(pairwise, "TEXT_BLOCK", 3)
-    monkeypatch.setattr(pairwise, "COPY_BITS", 16)
-    monkeypatch.setattr(pairwise, "SEGMENT_BITS", 18)
+    monkeypatch.setattr(pairwise, "RANGE_TEXTS", 4)
+    monkeypatch.setattr(pairwise, "RANGE_ROWS", 7)
+    monkeypatch.setattr(pairwise, "STEP", 3)
+    monkeypatch.setattr(pairwise, "PART_GROUPS", 2)
     monkeypatch.setattr(pairwise, "KEY_SET_BLOCK", 2)
     monkeypatch.setattr(pairwise, "KEY_COLUMNS", 2)
 
@@ -55,35 +57,80 @@ def test_order_and_copies_matter(spark, small_blocks):
     check_texts(spark, rows)
 
 
-def weighed_in(segments, texts, rows):
-    """What the tasks of a tile hand to its comparison, with the positions cut into so many segments."""
-    hashes = np.arange(len(texts))
-    last = max(pos for pos, _ in rows) + 1
-    parts = []
-    for segment in range(segments):
-        inside = [(p, t) for p, t in rows if p * segments // last == segment]
-        frame = pd.DataFrame(
-            [(h, p * 4 * segments // last, [q for q, t in inside if t == h and q * 4 * segments // last == p * 4 * segments // last]) for p, h in inside],
-            columns=["h", "span", "places"],
-        ).drop_duplicates(["h", "span"])
-        got, counts, weights = pairwise._weighed(frame)
-        parts.append((segment, got, counts, weights.ravel()))
-    frame = pd.DataFrame({"h": hashes, "text": texts, "block": 0, "tile_low": 0, "tile_high": 0})
-    return frame, pd.DataFrame(parts, columns=["segment", "hashes", "counts", "weights"])
-
-
-def test_comparisons_do_not_depend_on_the_length_of_the_log(monkeypatch):
+@pytest.mark.parametrize("groups", [1, 5])
+def test_many_groups_share_texts(spark, small_blocks, groups):
+    texts = [words(chosen.randint(3, 12)) for _ in range(7)]
+    check_texts(spark, [(f"m{chosen.randrange(groups)}", i, chosen.choice(texts)) for i in range(160)])
+
+
+def tile_of(models, length, texts):
+    """One tile with the texts of a log, and the log."""
+    rows = [(g, pos, chosen.randrange(len(texts))) for g in range(models) for pos in range(length)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)] + [pa.array([1] * len(rows))], names=["gid", "pos", "h", "bytes"])
+    ranges = list(pairwise._ranged(6, 50, 4)([batch]))
+    within = pd.concat([b.to_pandas() for r in ranges for b in pairwise._dealt(1, 1)([r])])
+    frame = []
+    for h, text in enumerate(texts):
+        places = [(r["gid"][0].as_py(), r["first"][0].as_py(), dict(zip(r["hashes"][0].as_py(), r["counts"][0].as_py(), strict=True))[h])
+                  for r in ranges if h in r["hashes"][0].as_py()]
+        frame.append((h, text, 0, 0, 0, *map(list, zip(*places, strict=True))))
+    columns = ["h", "text", "block", "tile_low", "tile_high", "gids", "firsts", "counts"]
+    return pairwise._Tile(pd.DataFrame(frame, columns=columns), within), [(g, pos, texts[t]) for g, pos, t in rows]
+
+
+def test_comparisons_do_not_depend_on_models_or_length_of_the_log(monkeypatch):
     texts = [words(chosen.randint(3, 12)) for _ in range(9)]
-    rows = [(i, chosen.randrange(len(texts))) for i in range(400)]
-    calls, plain = [], pairwise._matched
-    monkeypatch.setattr(pairwise, "_matched", lambda *args: calls.append(1) or plain(*args))
-    seen = set()
-    for segments in (1, 2, 4):
+    calls, plain = [], pairwise.matched_characters
+    monkeypatch.setattr(pairwise, "matched_characters", lambda *args: calls.append(1) or plain(*args))
+    for models, length in ((1, 400), (7, 400), (3, 90)):
         calls.clear()
-        total = pairwise._text_kernel(*weighed_in(segments, texts, rows))
-        seen.add((len(calls), round(total, 6)))
-    named = [("m", pos, texts[t]) for pos, t in rows]
-    assert seen == {(9 * 8, round(similarity(named)["m"] * 400 * 399 / 2, 6))}
+        tile, rows = tile_of(models, length, texts)
+        got = tile.sums(pairwise.ratios).set_index("gid")["pair_sum"] / (length * (length - 1) / 2)
+        assert len(calls) == 9 * 8
+        assert got.to_dict() == pytest.approx(similarity(rows), abs=1e-12)
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        diagonal, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
+    return row[-1]
+
+
+def test_edit_distance():
+    for _ in range(400):
+        a, b = ("".join(chosen.choices("abé\U0001f600", k=chosen.randint(0, 90))) for _ in range(2))
+        a = chosen.choice([a, b[:5] + a + b[-7:]])
+        assert pairwise.edit_distance(a, b) == plain_distance(a, b)
+
+
+def test_edit_similarity_of_pairs(spark, small_blocks):
+    rows = [(f"m{i % 2}", i, chosen.choice(["", words(2), words(9), "same"])) for i in range(40)] + [("one", 1, "alone")]
+    groups = defaultdict(list)
+    for model, _, text in rows:
+        groups[model].append(text)
+    want = {m: mean([1 - plain_distance(a, b) / max(len(a), len(b), 1) for a, b in combinations(t, 2)]) for m, t in groups.items()}
+    got = pairwise.format_consistency(spark.createDataFrame(rows, "model STRING, pos BIGINT, response STRING"), mode="levenshtein")
+    assert {r.model: r.format_consistency for r in got.collect()} == pytest.approx(want, abs=1e-12)
+
+
+def test_sampled_mean_is_inside_its_interval(spark):
+    texts = [words(chosen.randint(3, 12)) for _ in range(40)] + ["same"] * 10
+    rows = [(f"m{i % 3}", i * 7, chosen.choice(texts)) for i in range(450)] + [("one", 1, "a"), ("two", 1, "a"), ("two", 2, "a")]
+    frame = spark.createDataFrame(rows, "model STRING, pos BIGINT, response STRING")
+    got = {r.model: r for r in sampling.sampled_consistency(frame, draws=3000).collect()}
+    for model, want in similarity(rows).items():
+        # twice the half width: one draw of three groups may lie outside the interval itself
+        assert abs(got[model].format_consistency - want) <= 2 * got[model].half_width + 1e-12, model
+        assert got[model].half_width < 0.01
+    assert (got["one"].format_consistency, got["one"].pairs, got["two"].format_consistency) == (0.0, 0, 1.0)
+    assert 2500 < got["m0"].pairs <= 3000
+
+
+def test_no_replies(spark):
+    assert pairwise.format_consistency(spark.createDataFrame([], "model STRING, pos BIGINT, response STRING")).count() == 0
 
 
 def test_repeated_positions_are_refused(spark):
