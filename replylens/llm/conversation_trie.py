@@ -107,7 +107,8 @@ def _cut(strands: DataFrame, digests: DataFrame, j: int) -> tuple[DataFrame, Dat
     cut = F.when(F.col("rest").isNull() | (F.col("rest") >= half), _named(F.col("root"), F.col("d")))
     met = stored(met.withColumn("cut", cut).drop("d"), f"strands-{j}")
     reaching = met.where("cut is not null")
-    above = reaching.groupBy("cut").agg(*[F.min(x).alias(x) for x in ("i", "root", "c")], F.sum("n").alias("n"))
+    # a cut has one root; as a key it leaves numbers to aggregate
+    above = reaching.groupBy("cut", "i", "root").agg(F.min("c").alias("c"), F.sum("n").alias("n"))
     link = F.struct(F.lit(j).alias("level"), F.col("root").alias("at"))
     above = above.select(
         (F.col("i") * 2).alias("i"), "root", "c", "n", F.lit(None).cast("bigint").alias("rest"), F.col("cut").alias("tail"), F.array(link).alias("links")
