@@ -4,46 +4,76 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from replylens.session import durable, join_bounded
 
+# A group of at most so many rows is sorted in one task.
+GROUP_ROWS = 1_000_000
 # Rows of a group are pruned in so many parts before they are numbered.
 PRUNING_PARTS = 64
 
 
+def _offsets(placed: DataFrame, group: list[str], weight: Column, total: str | None) -> DataFrame:
+    """Per range of a group what to add to a row's place: the rows of the ranges before it, less the place of its first."""
+    sizes = placed.groupBy(*group, "_range").agg(F.sum(weight).alias("_size"), F.min("_at").alias("_begin"))
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select(
+        *group,
+        "_range",
+        (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_begin") + 1).alias("_shift"),
+        *([F.sum("_size").over(whole).alias(total)] if total else []),
+    )
+
+
+def _ranged(df: DataFrame, group: list[str], order: list[str], name: str, total: str | None) -> DataFrame:
+    """Rows sorted once by ranges of (group, position), whatever the positions look like, and kept; a row's
+    number is its place in its range plus the sizes of the group's ranges before it."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the id holds the partition in its upper bits and the row's place there in the lower 33
+    placed = durable(ranged.withColumn("_at", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_at", 33))
+    numbered = join_bounded(placed, _offsets(placed, group, F.lit(1), total), [*group, "_range"])
+    return numbered.withColumn(name, F.col("_at") + F.col("_shift")).drop("_range", "_at", "_shift")
+
+
 def number_rows(
     df: DataFrame,
     keys: Sequence[str],
     pos: str | Sequence[str] = "pos",
     name: str = "review_number",
     total: str | None = None,
+    most: int | None = None,
 ) -> DataFrame:
     """Number rows 1..n per group in order of `pos` (one or more columns), optionally with n itself.
 
-    A plain `row_number()` would sort a group in one task. Here the rows are
-    sorted once by ranges of (group, position), whatever the positions look like,
-    and kept that way; a row's number is its place in its range plus the sizes of the group's
-    ranges before it. Building the result already runs that sort.
+    Groups are counted first, unless it is known how many rows they have at `most`. Up to GROUP_ROWS rows a group is sorted in one task by `row_number()`. Beyond that a task
+    would have to sort too much: then the places alone, without the other columns, are sorted by ranges and numbered,
+    and the rows get their numbers by a join on group and place. Only if places repeat
+    in a group whole rows are sorted by ranges and kept.
     """
     group = list(keys)
-    order = [*group, *([pos] if isinstance(pos, str) else pos)]
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    # the id holds the partition in its upper bits and the row's place there in the lower 33
-    placed = durable(ranged.withColumn("_at", F.monotonically_increasing_id()))
-    placed = placed.withColumn("_range", F.shiftright("_at", 33))
-    sizes = placed.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_begin"))
-    whole = Window.partitionBy(*group)
-    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(
-        *group,
-        "_range",
-        (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_begin") + 1).alias("_shift"),
-        *([F.sum("_size").over(whole).alias(total)] if total else []),
-    )
-    numbered = join_bounded(placed, shifts, [*group, "_range"])
-    return numbered.withColumn(name, F.col("_at") + F.col("_shift")).drop("_range", "_at", "_shift")
+    place = [pos] if isinstance(pos, str) else list(pos)
+    if most is None:
+        most = df.count()
+        if most > GROUP_ROWS and group:
+            most = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    if most <= GROUP_ROWS:
+        whole = Window.partitionBy(*group)
+        numbered = df.withColumn(name, F.row_number().over(whole.orderBy(*place)).cast("bigint"))
+        return numbered.withColumn(total, F.count(F.lit(1)).over(whole)) if total else numbered
+    order = [*group, *place]
+    narrow = df.select(*order)
+    numbered = _ranged(narrow, group, order, name, total)
+    if not narrow.groupBy(*order).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
+        return _ranged(df, group, order, name, total)
+    renamed = numbered.select(*[F.col(c).alias(f"_{i}_of_place") for i, c in enumerate(order)], name, *([total] if total else []))
+    same = F.lit(True)
+    for i, c in enumerate(order):
+        mine, theirs = df[c], renamed[f"_{i}_of_place"]
+        same = same & (mine.eqNullSafe(theirs))
+    return df.join(renamed.hint("merge"), same).drop(*[f"_{i}_of_place" for i in range(len(order))])
 
 
 def run_positions(reviews: DataFrame, order: Sequence[str] = ("source", "pos")) -> DataFrame:
@@ -71,5 +101,5 @@ def first_rows(
     if not keys and number is None:
         return df.orderBy(pos).limit(n)
     nth = number or "_nth"
-    kept = number_rows(pruned(df, keys, n, pos), keys, pos, nth).filter(F.col(nth) <= n)
+    kept = number_rows(pruned(df, keys, n, pos), keys, pos, nth, most=n * PRUNING_PARTS).filter(F.col(nth) <= n)
     return kept if number else kept.drop(nth)

@@ -6,7 +6,13 @@ from pyspark.sql import functions as F
 from replylens.operators import browse, numbering
 
 
-def test_numbers_follow_positions_of_any_density(spark):
+@pytest.fixture(params=["small", "large"])
+def groups(request, monkeypatch):
+    """Groups as those that one task sorts, and as those that no task should."""
+    monkeypatch.setattr(numbering, "GROUP_ROWS", 10**6 if request.param == "small" else 10)
+
+
+def test_numbers_follow_positions_of_any_density(spark, groups):
     rows = [("hot", (i * 37) % 1000) for i in range(300)] + [("cold", -5), ("cold", 10**15)]
     df = spark.createDataFrame(rows, "source STRING, pos BIGINT").repartition(5)
     got = numbering.number_rows(df, ["source"], total="n").collect()
@@ -33,7 +39,7 @@ def test_limit_prunes_before_a_shuffle_of_parts(spark, n):
     assert re.findall(r"hashpartitioning\(source#\d+, _part#\d+", plan) and plan.count("hashpartitioning") == 1
 
 
-def test_large_limit_on_sparse_positions(spark):
+def test_large_limit_on_sparse_positions(spark, groups):
     df = spark.range(20000).selectExpr("if(id % 4 = 0, 'a', 'b') source", "id * 56294995342131 pos")
     kept = numbering.first_rows(df, ["source"], 3000, number="n")
     got = {r.source: (r.c, r.last, r.top) for r in kept.groupBy("source").agg(
@@ -41,13 +47,29 @@ def test_large_limit_on_sparse_positions(spark):
     assert got == {"a": (3000, 2999 * 4 * 56294995342131, 3000), "b": (3000, 3999 * 56294995342131, 3000)}
 
 
-def test_positions_of_a_run(spark):
+def test_positions_of_a_run(spark, groups):
     df = spark.createDataFrame([("b", 0), ("a", 1), ("a", 0), ("b", 1)], "source STRING, pos INT")
     got = numbering.run_positions(df).collect()
     assert {(r.source, r.source_pos, r.pos) for r in got} == {("a", 0, 0), ("a", 1, 1), ("b", 0, 2), ("b", 1, 3)}
 
 
-def test_pages(spark):
+@pytest.mark.parametrize("repeated", [False, True])
+def test_large_groups_keep_texts_out_of_the_sort(spark, monkeypatch, repeated):
+    monkeypatch.setattr(numbering, "GROUP_ROWS", 10)
+    stored, plain = [], numbering.durable
+    monkeypatch.setattr(numbering, "durable", lambda df: stored.append(df.columns) or plain(df))
+    df = spark.range(300).selectExpr("if(id % 3 = 0, 'b', 'a') source", f"if(id = 7, null, id div {2 if repeated else 1}) pos", "repeat('t', id) review")
+    rows = numbering.number_rows(df, ["source"], total="n").collect()
+    assert len(rows) == 300 and {r.n for r in rows} == {100, 200}
+    for source in ("b", "a"):
+        mine = sorted((r for r in rows if r.source == source), key=lambda r: r.review_number)
+        assert [r.review_number for r in mine] == list(range(1, len(mine) + 1))
+        placed = [-1 if r.pos is None else r.pos for r in mine]
+        assert placed == sorted(placed)
+    assert any("review" in columns for columns in stored) == repeated
+
+
+def test_pages(spark, groups):
     df = spark.range(23).selectExpr("'a' source", "id pos", "'t' review")
     pages = browse.paginate(df)
     last = browse.page(pages, 3).orderBy("pos").collect()
