@@ -5,12 +5,15 @@ has outside links; lines of menus, headers, footers, sidebars, notices, adverts,
 comments weigh nothing, and if the page marks its article, so do lines outside it. The weights
 are summed over windows of `WIDTH` lines. Text surges where a sum reaches the threshold
 and dives where it falls to zero. All between two dives is kept if it surges, and if it does not,
-what stands inside an element around a surge; where nothing surges, all that weighs is kept.
+what stands inside an element around a surge; where nothing surges, all that weighs is kept. A marked article is a
+reason to expect text, so in it any text outside links surges; windows of nothing but links dive there as
+elsewhere. Where nothing weighs, every line that is not dropped is kept.
 
 Cases: null or empty html, and a page without text, give an empty text. Character references
-are decoded once. Unclosed and stray tags are tolerated; comments, scripts and styles that never
-end run to the end of the page. Very long pages are read whole in linear time. Repeated rows are
-extracted each for itself; columns other than page_id, url and html are not read.
+are decoded once. Unclosed and stray tags are tolerated: a link or a dropped inline element without an end tag ends with the
+next block, a link at the latest with the block it stands in; comments, scripts, styles and titles that never
+end run to the end of the page, other elements without text of the page do not. Very long pages are read whole in linear
+time. Repeated rows are extracted each for itself; columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -30,15 +33,18 @@ WIDTH = 3
 SURGE = 86
 
 TAG = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)"
+    r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[\"'=])*+)(?:>|\Z)",
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.IGNORECASE)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s/]|$)", re.IGNORECASE)
 SPACES = re.compile(r"\s+")
 
 RAW = frozenset("script style noscript template textarea iframe xmp svg math canvas object select title noembed noframes".split())
+# of these, those that swallow the rest of a page if they have no end
+ENDLESS = frozenset("script style textarea iframe xmp title noembed noframes".split())
 DROPPED = frozenset("nav aside footer form menu dialog button".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 BLOCK = frozenset(
@@ -57,6 +63,11 @@ MARKS = frozenset(
     " comment comments respond reply replies disqus share sharing social related recommended newsletter subscribe signup login search pagination"
     " pager skip toolbar legal copyright paywall".split()
 )
+# those of them that mark an inline element; others name parts of programs and of sentences, too
+INLINE_MARKS = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies share sharing social newsletter subscribe"
+    " skip paywall".split()
+)
 # words that may stand beside them in a name; beside others ('has-sidebar', 'related-work') they mark nothing
 BESIDE = frozenset(
     "site page main top bottom left right upper lower primary secondary global area list box container wrapper wrap block section bar slot unit inner"
@@ -93,19 +104,19 @@ class Element:
 
 
 @lru_cache(4096)
-def _is_mark(name: str) -> bool:
+def _is_mark(name: str, marks: frozenset[str] = MARKS) -> bool:
     """Whether all words of a name are marks, at least one, or words that stand beside them."""
     parts = WORD.findall(CAMEL.sub(" ", name).lower())
-    if name.lower() in MARKS or "".join(parts) in MARKS:
+    if name.lower() in marks or "".join(parts) in marks:
         return True
-    known, marked = [part in MARKS or part in BESIDE for part in parts], any(part in MARKS for part in parts)
+    known, marked = [part in marks or part in BESIDE for part in parts], any(part in marks for part in parts)
     for i in range(len(parts) - 1):
-        if parts[i] + parts[i + 1] in MARKS:
+        if parts[i] + parts[i + 1] in marks:
             known[i] = known[i + 1] = marked = True
     return marked and all(known)
 
 
-def _marks(rest: str, name: str, inside: bool) -> tuple[bool, bool, bool]:
+def _marks(rest: str, name: str, inside: bool, marks: frozenset[str] = MARKS) -> tuple[bool, bool, bool]:
     """Whether attributes hide an element, mark it as no part of the article, and as the article."""
     hidden, marked, main = bool(HIDDEN.search(rest)), False, False
     for match in ATTRIBUTE.finditer(rest):
@@ -117,11 +128,26 @@ def _marks(rest: str, name: str, inside: bool) -> tuple[bool, bool, bool]:
         else:
             # the ids of headings, and of sections of an article, are made of their titles
             if kind != "id" or not (name in HEADINGS or inside and name == "section"):
-                marked |= any(_is_mark(token) for token in value.split())
+                marked |= any(_is_mark(token, marks) for token in value.split())
             main |= value.lower() in MAIN_MARKS
     return hidden, marked, main
 
 
+def _inline_ends(page: str) -> dict[int, int]:
+    """Where the inline elements of a page end, by the end of their start tags; only those with an end tag."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for match in TAG.finditer(page):
+        name = (match["name"] or "").lower()
+        if not name or name in BLOCK or name in VOID:
+            continue
+        if not match["end"]:
+            opened.setdefault(name, []).append(match.end())
+        elif opened.get(name):
+            ends[opened[name].pop()] = match.start()
+    return ends
+
+
 def _judged(elements: list[Element], lines: list[Line]) -> None:
     """Decides which elements are no part of the article and which are, then the same for their lines.
 
@@ -159,12 +185,22 @@ def lines_of(page: str) -> tuple[list[Line], list[int]]:
     # numbers of the open elements
     stack = [0]
     depth: dict[str, int] = {}
-    links = 0
+    # links and dropped inline elements reach to a place, or to the next block if they have no end
+    linked_to, linked, link_level = 0, False, 0
+    silent_to, silent = 0, False
+    ends: dict[int, int] | None = None
+    # names of elements with no further end, and the place of the next end of raw data
+    endless: set[str] = set()
+    data_end = 0
+
+    def add(text: str, place: int) -> None:
+        if not silent and place >= silent_to:
+            parts.append((text, linked or place < linked_to))
 
     def flush() -> None:
         text = SPACES.sub(" ", references.unescape("".join(t for t, _ in parts))).strip()
         if text:
-            free = sum(len("".join(references.unescape(t).split())) for t, linked in parts if not linked)
+            free = sum(len("".join(references.unescape(t).split())) for t, is_link in parts if not is_link)
             around = next((i for i in reversed(stack) if elements[i].name not in LEAVES), 0)
             lines.append(Line(text, free, stack[-1], around))
         parts.clear()
@@ -176,23 +212,33 @@ def lines_of(page: str) -> tuple[list[Line], list[int]]:
     at = 0
     while match := TAG.search(page, at):
         if match.start() > at:
-            parts.append((page[at : match.start()], links > 0))
+            add(page[at : match.start()], at)
         at = match.end()
         if match["name"] is None:
-            if match[0].startswith("<![CDATA["):
-                parts.append((match[0][9:-3], links > 0))
+            if match[0] == "<![CDATA[":
+                if 0 <= data_end < at:
+                    data_end = page.find("]]>", at)
+                # without an end it is a comment of the odd kind that ends with its tag
+                end = data_end if data_end >= 0 else page.find(">", at)
+                if data_end >= 0:
+                    add(page[at:end], at)
+                at = len(page) if end < 0 else end + (3 if data_end >= 0 else 1)
             continue
-        name, ended = match["name"].lower(), bool(match["end"])
+        name, ended, rest = match["name"].lower(), bool(match["end"]), match["rest"]
         if name in RAW:
-            if not ended and not match["rest"].rstrip().endswith("/"):
+            if not ended and not rest.rstrip().endswith("/") and name not in endless:
                 closing = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
-                at = closing.end() if closing else len(page)
-        elif name == "a":
-            links = 0 if ended else 1
+                if closing:
+                    at = closing.end()
+                elif name in ENDLESS:
+                    at = len(page)
+                else:
+                    endless.add(name)
         elif name in ("br", "wbr", "img", "input"):
-            parts.append((" " if name != "wbr" else "", links > 0))
+            add(" " if name != "wbr" else "", match.start())
         elif name in BLOCK:
             flush()
+            linked = silent = False
             if ended:
                 if depth.get(name):
                     close(next(i for i in range(len(stack) - 1, -1, -1) if elements[stack[i]].name == name))
@@ -200,15 +246,33 @@ def lines_of(page: str) -> tuple[list[Line], list[int]]:
                 if elements[stack[-1]].name in SIBLING.get(name, ()) or elements[stack[-1]].name == "p":
                     close(len(stack) - 1)
                 inside = elements[stack[-1]].inside
-                hidden, marked, main = _marks(match["rest"], name, inside) if match["rest"] else (False, False, False)
+                hidden, marked, main = _marks(rest, name, inside) if rest else (False, False, False)
                 whole = name in ("html", "body")
                 article = main or name in ("article", "main")
                 gone = name in DROPPED or name == "head" or hidden and not whole
                 elements.append(Element(name, stack[-1], gone, marked and not whole and name != "main", article, inside or article))
                 stack.append(len(elements) - 1)
                 depth[name] = depth.get(name, 0) + 1
+            if len(stack) < link_level:
+                linked_to = 0
+        else:
+            if name == "a":
+                linked, linked_to, link_level = False, 0, len(stack)
+                if not ended:
+                    anchor = ANCHOR.search(page, at)
+                    if anchor and anchor[1]:
+                        linked_to = anchor.start()
+                    else:
+                        linked = True
+            if rest and not ended and at > silent_to and any(_marks(rest, name, True, INLINE_MARKS)[:2]):
+                if ends is None:
+                    ends = _inline_ends(page)
+                if at in ends:
+                    silent_to = ends[at]
+                else:
+                    silent = True
     if at < len(page):
-        parts.append((page[at:], links > 0))
+        add(page[at:], at)
     flush()
     _judged(elements, lines)
     return lines, [e.above for e in elements]
@@ -218,8 +282,9 @@ def kept_lines(lines: list[Line], above: list[int], width: int = WIDTH, surge: i
     """The texts between dive points that surge or stand where others do. `above`: the element around each element."""
     marked = any(line.main for line in lines)
     inside = [not line.dropped and (line.main or not marked) for line in lines]
-    # within a marked article links are text as well
-    weights = [(len(line.text) if marked else line.free) if ok else 0 for line, ok in zip(lines, inside, strict=True)]
+    weights = [line.free if ok else 0 for line, ok in zip(lines, inside, strict=True)]
+    if not any(weights):
+        return [line.text for line, ok in zip(lines, inside, strict=True) if ok]
     sums = [0] * len(lines)
     total = 0
     for i in range(len(lines) - 1, -1, -1):

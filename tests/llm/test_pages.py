@@ -2,7 +2,9 @@
 
 import hashlib
 import html
+import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -151,3 +153,85 @@ def test_pages_of_short_lines_stay_whole():
     lines = [letter * n for letter, n in zip("abcde", (20, 20, 20, 25, 25), strict=True)]
     assert html_text.extract("".join(f"<p>{line}</p>" for line in lines)) == "\n".join(lines)
     assert html_text.extract(f"<div>{lines[0]}</div>{AWAY}<div>{lines[3]}</div>") == f"{lines[0]}\n{lines[3]}"
+
+
+def test_links_without_an_end():
+    for page in (f"<div><a href=x>Home<div><p>{LONG_TEXT}", f"<div><a href=x>Home</div><p>{LONG_TEXT}</p><a href=y>More"):
+        assert html_text.extract(page) in (LONG_TEXT, f"Home\n{LONG_TEXT}")
+    assert html_text.extract(f"<article><a name=top><h1>Title</h1><p>{LONG_TEXT}<p>End.</article>") == f"Title\n{LONG_TEXT}\nEnd."
+    assert html_text.extract(f"<ul><li><a href=x>One<li><a href=y>Two<li><a href=z>Three</ul><p>{LONG_TEXT}</p>") == LONG_TEXT
+    assert html_text.extract("<p><a href=x>All of it is a link</a></p>") == "All of it is a link"
+
+
+def test_inline_adverts_and_hidden_parts_go():
+    for dropped in (
+        "<span class='advert'>BUY <b>NOW</b></span>", "<span hidden>x</span>", "<span style='display:none'>x</span>", "<b class=ad-slot>x <span>y</span> z</b>",
+        "<i class=sponsored><div>x</div> y</i>", "<a class=share href=z>Share</a>", "<span aria-hidden=true>x",
+    ):
+        for start, close in (("<article>", "</article>"), ("<div>", "</div>")):
+            assert html_text.extract(f"{start}<p>{LONG_TEXT}{dropped}</p><p>End.</p>{close}") == f"{LONG_TEXT}\nEnd.", dropped
+    kept = "<span class=comment>kept</span> <em class='header'>too</em> <span aria-hidden=false>and this</span>"
+    assert html_text.extract(f"<article><pre>{kept}</pre></article>") == "kept too and this"
+    assert html_text.extract(f"<article><span class=ad>x<p>{LONG_TEXT}</article>") == LONG_TEXT
+
+
+def test_windows_of_links_dive_inside_articles():
+    links = "".join(f"<li><a href=x>Another story {i}</a>" for i in range(4))
+    page = f"<article><h1>Title</h1><p>{LONG_TEXT}</p><ul>{links}</ul><p>So it ended.</p></article>"
+    assert html_text.extract(page) == f"Title\n{LONG_TEXT}\nSo it ended."
+    assert html_text.extract(f"<article><p>{LONG_TEXT}</p><p><a href=x>A link</a></p><p>End.</p></article>") == f"{LONG_TEXT}\nA link\nEnd."
+
+
+@pytest.mark.parametrize("piece", ["<![CDATA[", "<svg>", "<a href=x>", "<span hidden>", "<p title=\"", "<!--", "<select>", "<b class=ad>x</i>", "&amp", "<a>x</a>", "<?x", "</a"])
+def test_all_constructs_take_linear_time(piece):
+    began = time.monotonic()
+    html_text.extract(f"<p>{LONG_TEXT}</p>" + piece * 64_000)
+    assert time.monotonic() - began < 3
+
+
+def test_elements_without_an_end_do_not_swallow_the_page():
+    for name in ("svg", "select", "object", "canvas", "math", "noscript", "template"):
+        assert html_text.extract(f"<{name}><p>{LONG_TEXT}</p>") == LONG_TEXT
+    assert html_text.extract(f"<p>{LONG_TEXT}</p><![CDATA[x>y") == f"{LONG_TEXT}\ny"
+
+
+def slow_text(blocks):
+    """Kept texts straight from the definition, from (text, free, parent) in one element each; nothing is marked."""
+    weights = [free for _, free, _ in blocks]
+    if not any(weights):
+        return [text for text, _, _ in blocks]
+    n, width = len(blocks), html_text.WIDTH
+    sums = [sum(weights[i : i + width]) for i in range(n)]
+    surge = html_text.SURGE if max(sums) >= html_text.SURGE else 1
+    runs, run = [], []
+    for i in range(n):
+        if sums[i]:
+            run.append(i)
+        elif run:
+            runs.append(run)
+            run = []
+    runs += [run] if run else []
+    holders = {blocks[j][2] for i in range(n) if sums[i] >= surge for j in range(i, min(i + width, n)) if weights[j]}
+    kept = []
+    for run in runs:
+        weighed = [j for j in range(run[0], min(run[-1] + width, n)) if weights[j]]
+        if any(sums[i] >= surge for i in run):
+            kept += range(weighed[0], weighed[-1] + 1)
+        else:
+            kept += [j for j in weighed if blocks[j][2] in holders]
+    return [blocks[j][0] for j in sorted(set(kept))]
+
+
+def test_unmarked_pages_against_a_slow_extractor():
+    chosen = random.Random(9)
+    for _ in range(300):
+        blocks, page = [], ""
+        for parent in range(chosen.randint(1, 4)):
+            page += "<div>"
+            for _ in range(chosen.randint(0, 9)):
+                text = f"w{len(blocks)}" + " word" * chosen.choice([0, 1, 3, 9, 30])
+                linked = chosen.random() < 0.5
+                blocks.append((text, 0 if linked else len("".join(text.split())), parent))
+                page += f"<p><a href=x>{text}</a></p>" if linked else f"<p>{text}</p>" if chosen.random() < 0.9 else f"<p>{text}"
+            page += "</div>"
+        assert html_text.extract(page).split("\n") == (slow_text(blocks) or [""]), page
