@@ -35,8 +35,8 @@ END_ID = 1
 GROUP = 4000
 # words whose ids a task keeps at hand, in either of two generations
 CACHE_WORDS = 600_000
-# bins per group that the local search looks at, the emptiest first
-SEARCH_BINS = 64
+# bytes of text that are tokenized at a time
+TEXT_BYTES = 8 << 20
 # tokens a bin may lack and still be closed
 SLACK = 4
 
@@ -141,6 +141,19 @@ def word_tokenizer(path: str) -> WordTokenizer:
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
+def _bounded(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most 256 rows and TEXT_BYTES of text, or a single row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+    low, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > low and (i - low == 256 or held + size > TEXT_BYTES):
+            yield batch.slice(low, i - low)
+            low, held = i, 0
+        held += size
+    if low < len(sizes):
+        yield batch.slice(low)
+
+
 def _pieces(path: str, carry: int, with_ids: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Function for mapInArrow: one row per piece; the first `carry` columns are kept."""
 
@@ -148,8 +161,7 @@ def _pieces(path: str, carry: int, with_ids: bool) -> Callable[[Iterable[pa.Reco
         tokenizer = word_tokenizer(path)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
+            for part in _bounded(batch, carry):
                 texts = [t or b"" for t in part.column(carry).cast(pa.binary()).to_pylist()]
                 of, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, data in enumerate(tokenizer.encode(texts)):
@@ -198,50 +210,99 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def _gain(give: list[int], take: list[int], lengths: list[int], room: int) -> tuple[list[int], list[int]] | None:
-    """The exchange that fills `room` best: one or two of `give` for none, one or two of `take`."""
-    best, chosen = 0, None
-    ones = sorted((lengths[i], (i,)) for i in give)
-    twos = [(lengths[a] + lengths[b], (a, b)) for k, a in enumerate(give) for b in give[k + 1 :]]
-    back_twos = [(lengths[a] + lengths[b], (a, b)) for k, a in enumerate(take) for b in take[k + 1 :]]
-    # moves, one for one, two for one, one for two
-    for offers, returns in ((ones, [(0, ())]), (ones, [(lengths[i], (i,)) for i in take]), (twos, [(lengths[i], (i,)) for i in take]), (ones, back_twos)):
-        offers = sorted(offers)
-        sizes = [s for s, _ in offers]
-        for back, items in returns:
-            at = bisect_left(sizes, back + room + 1) - 1
-            if at >= 0 and sizes[at] - back > best:
-                best, chosen = sizes[at] - back, (list(offers[at][1]), list(items))
-        if best == room:
-            break
-    return chosen
-
-
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int = CAPACITY, search_bins: int = SEARCH_BINS) -> list[list[int]]:
-    """Empty the emptiest bins into the others; every exchange raises the sum of squared fills."""
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    fewest = -(-sum(fill) // capacity)
-    alive = len(bins)
-    open_bins = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])[:search_bins]
-    while alive > fewest and len(open_bins) > 1:
-        source = min(open_bins, key=lambda b: fill[b])
+class Bins:
+    """Bins of items, of which those that are underfull offer their items for exchange.
+
+    Items of one length are alike, so a bin offers lengths: single ones and pairs, which are at most
+    a capacity long and therefore few. All offers stand in two sorted lists.
+    """
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.capacity, self.lengths = capacity, lengths
+        self.items: list[dict[int, list[int]]] = [{} for _ in bins]
+        for held, members in zip(self.items, bins, strict=True):
+            for i in members:
+                held.setdefault(lengths[i], []).append(i)
+        self.fill = [sum(lengths[i] for i in members) for members in bins]
+        self.alive = sum(1 for f in self.fill if f)
+        self.singles: list[tuple] = []
+        self.pairs: list[tuple] = []
+        self.open = {b for b, f in enumerate(self.fill) if 0 < f < capacity}
+        for b in self.open:
+            self.singles += self._single(b)
+            self.pairs += self._pair(b)
+        self.singles.sort()
+        self.pairs.sort()
+
+    def _single(self, b: int) -> list[tuple]:
+        return [(size, b, (size,)) for size in self.items[b]]
+
+    def _pair(self, b: int) -> list[tuple]:
+        sizes = sorted(self.items[b])
+        twice = [(2 * s, b, (s, s)) for s in sizes if len(self.items[b][s]) > 1]
+        return twice + [(s + t, b, (s, t)) for k, s in enumerate(sizes) for t in sizes[k + 1 :]]
+
+    def _offer(self, b: int, present: bool) -> None:
+        for listed, own in ((self.singles, self._single(b)), (self.pairs, self._pair(b))):
+            for entry in own:
+                if present:
+                    insort(listed, entry)
+                else:
+                    del listed[bisect_left(listed, entry)]
+
+    def exchange(self, target: int) -> tuple[int, tuple, tuple] | None:
+        """(bin, lengths it gives, lengths it takes) of the exchange that fills `target` best and raises the sum of squared fills.
+
+        One or two are moved, or given for one; or one is given for two.
+        """
+        room, fill = self.capacity - self.fill[target], self.fill
+        best, chosen = 0, None
+        one, two = self._single(target), self._pair(target)
+        for offers, returned in ((self.singles, [(0, target, ()), *one, *two]), (self.pairs, [(0, target, ()), *one])):
+            for back, _, takes in returned:
+                at = bisect_left(offers, (back + room + 1,)) - 1
+                while at >= 0 and (gain := offers[at][0] - back) > best:
+                    _, source, gives = offers[at]
+                    if source != target and fill[target] - fill[source] + gain > 0:
+                        best, chosen = gain, (source, gives, takes)
+                        break
+                    at -= 1
+                if best == room:
+                    return chosen
+        return chosen
+
+    def apply(self, target: int, source: int, gives: tuple, takes: tuple) -> None:
+        for b in (target, source):
+            self._offer(b, False)
+        for giver, receiver, sizes in ((source, target, gives), (target, source, takes)):
+            for size in sizes:
+                held = self.items[giver][size]
+                self.items[receiver].setdefault(size, []).append(held.pop())
+                if not held:
+                    del self.items[giver][size]
+                self.fill[giver] -= size
+                self.fill[receiver] += size
+        for b in (target, source):
+            self.open.discard(b)
+            if 0 < self.fill[b] < self.capacity:
+                self.open.add(b)
+                self._offer(b, True)
+        self.alive -= not self.fill[source]
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
+    """Exchanges between any two underfull bins, each raising the sum of squared fills, until none is left or
+    there are as few bins as their content allows. Bins that are emptied go."""
+    packed = Bins(bins, lengths, capacity)
+    fewest = -(-sum(packed.fill) // capacity)
+    improved = True
+    while improved and packed.alive > fewest:
         improved = False
-        for target in sorted((b for b in open_bins if b != source and fill[b] >= fill[source]), key=lambda b: -fill[b]):
-            while fill[source] and fill[target] < capacity and (found := _gain(bins[source], bins[target], lengths, capacity - fill[target])):
-                give, take = found
-                moved = sum(lengths[i] for i in give) - sum(lengths[i] for i in take)
-                bins[source] = [i for i in bins[source] if i not in give] + take
-                bins[target] = [i for i in bins[target] if i not in take] + give
-                fill[source] -= moved
-                fill[target] += moved
+        for target in sorted(packed.open, key=lambda b: (-packed.fill[b], b)):
+            while target in packed.open and packed.alive > fewest and (found := packed.exchange(target)):
+                packed.apply(target, *found)
                 improved = True
-            if not fill[source]:
-                alive -= 1
-                break
-        if not fill[source] or not improved:  # emptied, or nothing more to gain from it
-            open_bins.remove(source)
-        open_bins = [b for b in open_bins if fill[b] < capacity]
-    return [b for b in bins if b]
+    return [[i for members in held.values() for i in members] for held in packed.items if held]
 
 
 def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -49,13 +50,68 @@ def test_local_search_empties_bins():
     assert max(sum(lengths[i] for i in b) for b in better) <= 60 and len(better) <= len(bins)
 
 
+def exchange(target, source, lengths, room):
+    """The exchange between two bins, the first with so much room."""
+    capacity = sum(lengths[i] for i in target) + room
+    found = packing.Bins([target, source], lengths, capacity).exchange(0)
+    return found and found[1:]
+
+
 def test_exchanges():
-    lengths = [5, 3, 4, 2, 2]
-    assert packing._gain([0], [], lengths, 5) == ([0], [])
-    assert packing._gain([0], [2], lengths, 1) == ([0], [2])
-    assert packing._gain([1, 2], [0], lengths, 2) == ([1, 2], [0])
-    assert packing._gain([0], [3, 4], lengths, 1) == ([0], [3, 4])
-    assert packing._gain([3], [0], lengths, 1) is None
+    assert exchange([0], [1], [9, 4], 5) == ((4,), ())
+    assert exchange([0, 1], [2, 3], [8, 3, 4, 2], 1) == ((4,), (3,))
+    assert exchange([0, 1], [2, 3], [8, 5, 3, 4], 2) == ((3, 4), (5,))
+    assert exchange([0, 1, 2], [3, 4], [8, 2, 2, 5, 1], 1) in (((5,), (2, 2)), ((1,), ()))
+    assert exchange([0], [1], [9, 4], 3) is None
+
+
+def solved(seed, parts, bins=60, capacity=4096):
+    """Items that fill so many bins exactly, in parts of about the same size."""
+    chosen, out = random.Random(seed), []
+    for _ in range(bins):
+        rest = capacity
+        for k in range(parts, 1, -1):
+            size = chosen.randint(int(rest / k * 0.8), int(rest / k * 1.2))
+            out.append(size)
+            rest -= size
+        out.append(rest)
+    chosen.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_search_closes_most_of_the_gap(seed):
+    lengths = solved(seed, 3 + seed % 2)
+    first = packing.best_fit(lengths)
+    assert len(first) >= 1.03 * 60
+    better = packing.local_search(first, lengths)
+    assert sorted(i for b in better for i in b) == list(range(len(lengths)))
+    assert max(sum(lengths[i] for i in b) for b in better) <= 4096
+    assert len(better) - 60 <= (len(first) - 60) / 2
+
+
+def test_exchanges_raise_the_squares():
+    lengths = solved(3, 3, 30)
+    bins = packing.Bins(packing.best_fit(lengths), lengths, 4096)
+    before, done = sum(f * f for f in bins.fill), 0
+    for target in sorted(bins.open):
+        while target in bins.open and (found := bins.exchange(target)):
+            bins.apply(target, *found)
+            after = sum(f * f for f in bins.fill)
+            assert after > before and max(bins.fill) <= 4096
+            before, done = after, done + 1
+    assert done > 10
+    # the offers are those of the open bins
+    assert bins.singles == sorted(x for b in bins.open for x in bins._single(b))
+    assert bins.pairs == sorted(x for b in bins.open for x in bins._pair(b))
+
+
+def test_texts_are_cut_by_bytes(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "TEXT_BYTES", 100)
+    texts = [None, "a " * 30, "b " * 300, "", "c " * 30, "d"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    parts = list(packing._bounded(batch, 0))
+    assert [v for p in parts for v in p.column(0).to_pylist()] == texts and [p.num_rows for p in parts] == [2, 1, 3]
 
 
 def test_random_bins_keep_their_items():
