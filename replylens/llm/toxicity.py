@@ -232,7 +232,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     order = F.xxhash64("doc_id")
     chosen = judged.where("toxic = 1").orderBy(order).limit(rows).unionByName(judged.where("toxic = 0").orderBy(order).limit(rows))
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-    sizes = texts.select("doc_id", "toxic", F.octet_length("text").alias("size"), order.alias("nth")).collect()
+    # at most `rows` ids per label, however many rows share one; the texts of an id count together
+    sizes = texts.groupBy("doc_id", "toxic").agg(F.sum(F.octet_length("text")).alias("size"), F.first(order).alias("nth")).collect()
     within: set = set()
     for label in (1, 0):
         left = most_bytes
@@ -241,7 +242,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
                 left -= row["size"]
                 within.add(row["doc_id"])
     picked: dict[int, list[bytes]] = {0: [], 1: []}
-    for row in sorted(texts.where(F.col("doc_id").isin(list(within)) if len(within) < len(sizes) else F.lit(True)).collect(), key=lambda r: r["doc_id"]):
+    for row in sorted(texts.where(F.col("doc_id").isin(list(within)) if len(within) < len(sizes) else F.lit(True)).collect(), key=lambda r: (r["doc_id"], r["text"])):
         picked[row["toxic"]].append(row["text"].encode())
     return picked[1], picked[0]
 

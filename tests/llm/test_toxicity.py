@@ -60,3 +60,46 @@ def test_windows_cover_a_text():
         parts = toxicity.windows(text)
         assert parts[-1][-1:] == text[-1:] and all(0 < len(p) <= toxicity.WINDOW for p in parts)
         assert len(toxicity.savings(text, (toxicity.compressor(b"abc" * 50), toxicity.compressor(b"xyz" * 50)))) == len(parts)
+
+
+def test_the_sample_keeps_its_bounds_where_ids_repeat(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1][:40]
+    docs = spark.createDataFrame([(i, "x" * 30) for i in ids for _ in range(29 if i == ids[0] else 1)], "doc_id BIGINT, text STRING")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id BIGINT, toxic INT")
+    for most in (10, 30, 200, 900, 10**6):
+        toxic, ordinary = toxicity.labelled_sample(docs, labels, rows=12, most_bytes=most)
+        assert sum(map(len, toxic)) <= most and sum(map(len, ordinary)) <= most
+        assert len(set(toxic)) <= 1 and len(toxic) <= 12 + 28
+
+
+def plain_scores(model, texts):
+    """Scores recomputed window by window with compressors of their own."""
+    import math
+
+    import zstandard
+
+    out = []
+    for text in texts:
+        text, saved = text.lower(), []
+        for low in range(0, max(len(text) - 32 + 20, 1) if text else 0, 20):
+            lengths = []
+            for content in (model.ordinary, model.toxic):
+                dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                packer = zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False)
+                lengths.append(len(packer.compress(text[low : low + 32])))
+            saved.append(lengths[0] - lengths[1])
+        n = max(len(saved), 1)
+        over = [sum(s >= v for s in saved) for v in (-2, -1, 1, 2, 3, 4, 5, 6, 7, 8)]
+        row = (sorted(saved, reverse=True) + [0] * 3)[:3]
+        row += [sum(saved) / n, sum(max(s, 0) for s in saved) / n, math.log(1 + n), *[math.log(1 + o) for o in over], *[o / n for o in over]]
+        z = model.constant + sum((x - c) / s * w for x, c, s, w in zip(row, model.centre, model.scale, model.weights, strict=True))
+        out.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+    return out
+
+
+def test_scores_against_a_plain_recomputation(spark, model):
+    texts = ["", None, "You IDIOT", "the weather is fine", "x" * 31, "é" * 333, " ".join(f"word{i} idiot" for i in range(300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    got = [r.score for r in toxicity.score_documents(docs, model).orderBy("doc_id").collect()]
+    assert got == pytest.approx(plain_scores(model, [(t or "").encode() for t in texts]), abs=1e-9)
+    assert toxicity.score_documents(docs.limit(0), model).count() == 0
