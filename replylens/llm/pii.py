@@ -106,19 +106,19 @@ WORDS = re.compile(
     rf"(?P<at>[\x20\t]?[\[({{<][\x20\t]?(?:at|@)[\x20\t]?[\])}}>][\x20\t]?)"
     rf"|(?P<dot>[\x20\t]?[\[({{<][\x20\t]?(?:dot|\.)[\x20\t]?[\])}}>][\x20\t]?)"
     # a spelled "at" needs a disguised dot after it: "found at example.com" is no address
-    rf"|(?P<spelled>(?<=[A-Za-z0-9])[\x20_-]at[\x20_-](?=[A-Za-z0-9-]+{_DOT}[A-Za-z0-9])"
+    rf"|(?P<spelled>(?<=[A-Za-z0-9])[\x20_-]at[\x20_-](?=(?:[A-Za-z0-9-]+\.)*[A-Za-z0-9-]+{_DOT}[A-Za-z0-9])"
     rf"|(?<=[A-Za-z0-9])[\x20_-]@[\x20_-](?=[A-Za-z0-9-]+(?:\.|{_DOT})[A-Za-z0-9])"
     rf"|(?<=[A-Za-z0-9])[\x20_-]dot[\x20_-](?=[A-Za-z0-9]))"
     rf"|(?P<run>(?<![A-Za-z0-9])(?:plus[\x20-])?{_TOKEN}(?:[\x20,-]{{1,2}}{_TOKEN})+(?![A-Za-z0-9]))"
-    rf"|(?P<letter>(?<=[0-9])[OoIl](?=[0-9]))",
+    rf"|(?P<letter>(?:(?<=[0-9])|(?<=[0-9][\x20-]))[OoIl]+(?=[0-9]))",
     re.IGNORECASE,
 )
 RUN_TOKEN = re.compile(rf"plus[\x20-]|{_SPELLED}", re.IGNORECASE)
 # cheap signs that the word transducer may have something to do
-SIGNS = ("dot", " @ ", "_@_", "-@-", *(f"{b}{gap}{sign}" for b in "[({<" for gap in ("", " ", "\t") for sign in ("at", "@", ".")))
+SIGNS = ("dot", *(f"{a}@{b}" for a in " _-" for b in " _-"), *(f"{b}{gap}{sign}" for b in "[({<" for gap in ("", " ", "\t") for sign in ("at", "@", ".")))
 _SPACED = bytes.maketrans(b",-_", b"   ")
 SPELLED_BYTES = {word.encode() for word in DIGITS}
-LETTER = re.compile(r"[0-9][OoIl][0-9]")
+LETTER = re.compile(r"[0-9][\x20-]?[OoIl]+[0-9]")
 
 
 def may_be_disguised(text: str) -> bool:
@@ -189,7 +189,7 @@ def word_edits(text: str) -> list[Edit]:
         elif kind == "spelled":
             edits.append((start, end, "@" if re.search("at|@", match[0], re.IGNORECASE) else "."))
         elif kind == "letter":
-            edits.append((start, end, "0" if match[0] in "Oo" else "1"))
+            edits.append((start, end, "".join("0" if c in "Oo" else "1" for c in match[0])))
         elif kind == "run" and RUN_TOKEN.search(match[0]):
             # numbers keep their separators; a spelled digit stands alone
             last = None
@@ -203,6 +203,10 @@ def word_edits(text: str) -> list[Edit]:
     return edits
 
 
+# kinds whose disguised findings may contain plain ones; numbers may just stand beside spelled ones
+WHOLE = frozenset({"email", "ip"})
+
+
 def disguised(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Findings that only show after rewriting, as (start, place of the kind, end) of `text`."""
     by_characters = character_edits(text)
@@ -226,7 +230,10 @@ def disguised(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, i
         starts = [a for a, _ in taken]
         for start, _, end in (f for f in found if f[1] == kind):
             at = bisect_right(starts, end - 1) - 1
-            if at < 0 or taken[at][1] <= start:
+            apart = at < 0 or taken[at][1] <= start
+            # an address of which only a part is plain is reported whole, beside that part
+            longer = KINDS[kind] in WHOLE and not apart and not (taken[at][0] <= start and end <= taken[at][1])
+            if apart or longer:
                 out.append((start, kind, end))
     return sorted(out)
 

@@ -51,6 +51,10 @@ def test_plain_findings():
         ("jo​hn@ex\xadample.com", "email:jo​hn@ex\xadample.com"),
         ("user{at}host(dot)org", "email:user{at}host(dot)org"),
         ("john @ example.com", "email:john @ example.com"),
+        ("john @_example.com", "email:john @_example.com"),
+        ("john at mail.example dot com", "email:john at mail.example dot com"),
+        ("+1 5OO5 1234 99", "phone:+1 5OO5 1234 99"),
+        ("4111 1111 1111 l111", "card:4111 1111 1111 l111"),
     ],
 )
 def test_disguised_findings(text, found):
@@ -82,6 +86,18 @@ def test_documents(spark):
     assert pii.find_pii(docs.limit(0)).count() == 0
 
 
+def test_an_address_in_part_plain_is_reported_whole():
+    text = "write jоhn@example.com or 1.2.3.4"
+    base = pii.plain(text)
+    assert [text[a:b] for a, _, b in base] == ["hn@example.com", "1.2.3.4"]
+    more = pii.disguised(text, base)
+    assert [text[a:b] for a, _, b in more] == ["jоhn@example.com"]
+    assert pii.redacted(text, [*base, *more]) == "write [EMAIL] or [IP]"
+    # numbers do not take in spelled ones beside them
+    text = "+1 (017) 555-7713 two times"
+    assert pii.disguised(text, pii.plain(text)) == []
+
+
 def test_redaction():
     text = "mail a@b.c or 1.2.3.4!"
     assert pii.redacted(text, pii.plain(text)) == "mail [EMAIL] or [IP]!"
