@@ -15,6 +15,8 @@ Cases: null text is empty; null and unknown roles are assigned the cheapest role
 names such as "human" or "gpt" count as the role they mean. Rows with a null conv_id are
 one conversation. A conversation cannot end with a system turn: it is relabelled or followed by an empty
 user turn, whichever costs less.
+Texts cannot forge turns: "<|" in a text is written as "<||" (see `escaped`), so every control token in a rendering is one that
+the repair put there.
 Each input row gives one output row, so a conversation of any length needs no single row or task.
 """
 
@@ -103,6 +105,15 @@ def repaired(roles: list[int], entry: int, leave: int) -> list[tuple[int, str, i
     return out
 
 
+def escaped(text: str) -> str:
+    """A text in which nothing reads as a control token; `unescaped` gives it back."""
+    return text.replace("<|", "<||")
+
+
+def unescaped(text: str) -> str:
+    return text.replace("<||", "<|")
+
+
 def role_code(role: Column) -> Column:
     bare = F.lower(F.trim(role))
     code = F.lit(UNKNOWN)
@@ -166,7 +177,7 @@ def _rendered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fixed = repaired([r["code"] for r in group], group[0]["entry"], group[0]["leave"])
             first = group[0]["entry"] == START
             for i, (row, (new, action, inserted, cost)) in enumerate(zip(group, fixed, strict=True)):
-                text = row["text"] or ""
+                text = escaped(row["text"] or "")
                 if action == "merge":
                     piece = GLUE + text if text else ""
                 else:
