@@ -32,12 +32,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from replylens.llm.common import scratch_path, stored
+from replylens.session import join_bounded
 
 REVISIT_BYTES = 1000
 # bytes after which an archive is closed and the next begun
 ARCHIVE_BYTES = 64 << 20
 # unselected bytes that are read rather than starting another range, and the longest range
 GAP_BYTES = 64 << 10
+# bytes that a task reads back, about
+TASK_BYTES = 64 << 20
 RANGE_BYTES = 4 << 20
 
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, type string"
@@ -144,7 +147,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), payload.alias("payload"), F.sha1(payload).alias("digest"))
     long = F.octet_length("payload") >= REVISIT_BYTES
     first = rows.where(long).groupBy("digest").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    with_first = rows.join(first.hint("merge"), "digest", "left")
+    # one row per repeated payload; payloads are not shuffled if these are few
+    with_first = join_bounded(rows, first, ["digest"], "left")
     # a revisit has to name a response
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest")).alias("refers_to")
     dealt = with_first.select("page_id", "url", "payload", "digest", refers)
@@ -186,7 +190,10 @@ def _reader(folder: str, with_payload: bool) -> Callable[[Iterable[pa.RecordBatc
 def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
     """The records of the index rows given; the payload of a revisit is null."""
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return ranges(index).mapInArrow(_reader(folder, with_payload), schema + ", payload binary" * with_payload)
+    # a row of a few bytes stands for megabytes to read, so tasks are dealt by those
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-(index.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
+    dealt = ranges(index).repartition(tasks, "file", F.col("records")[0]["offset"])
+    return dealt.mapInArrow(_reader(folder, with_payload), schema + ", payload binary" * with_payload)
 
 
 def round_trip(pages: DataFrame, with_payload: bool = False) -> DataFrame:
