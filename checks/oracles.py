@@ -589,6 +589,15 @@ ORACLES: dict[str, str] = {
           CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '...' ELSE text END AS review_preview
           FROM priced""",
     ),
+    "score_resumed": with_ctes(
+        RUN,
+        f"asked AS (SELECT model, model_ord, doc_id AS pos, text, {PROMPT} AS prompt FROM documents, run)",
+        "known AS (SELECT *, pos % 3 = 0 AND length(prompt) % 5 <> 0 AS at_first FROM asked)",
+        """log AS (SELECT model, model_ord, pos, true AS success, CASE WHEN at_first THEN 'first' ELSE 'second' END AS response,
+          CAST(length(prompt) AS DOUBLE) AS prompt_tokens, CAST(CASE WHEN at_first THEN 1 ELSE 2 END AS DOUBLE) AS completion_tokens FROM known)""",
+        PRICE, RESOLVED, PRICED,
+        select="SELECT model, pos, success, response, prompt_tokens, completion_tokens, round(cost, 10) AS cost FROM priced",
+    ),
     "score_sources": with_ctes(
         RUN,
         """log AS (SELECT model, model_ord, source, row_number() OVER (PARTITION BY model, source ORDER BY doc_id) AS source_pos,

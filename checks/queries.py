@@ -17,7 +17,7 @@ from replylens.functions.jsonx import structure_score, with_json
 from replylens.functions.naming import provider_by_prefix, resolve_alias, route_provider
 from replylens.functions.pricing import price_of, with_cost
 from replylens.functions.tokens import count_tokens, tokenizer_counter
-from replylens.operators import browse, cleaning, numbering, pairwise, prompts, ranking, sampling, scoring, stats
+from replylens.operators import browse, cleaning, journal, numbering, pairwise, prompts, ranking, sampling, scoring, stats
 from replylens.plans import report
 from replylens.plans.evaluate import evaluate, evaluate_run
 from replylens.session import prepare, scratch_path
@@ -817,6 +817,26 @@ def score_retries(spark, sf_dir):
     return scored.select("model", "pos", "success", "response", "completion_tokens")
 
 
+def _first_run(model: str, prompt: str, settings: dict) -> tuple:
+    if len(prompt) % 5 == 0:
+        raise RuntimeError("refused")
+    return "first", len(prompt), 1
+
+
+def _second_run(model: str, prompt: str, settings: dict) -> tuple:
+    return "second", len(prompt), 2
+
+
+@query
+def score_resumed(spark, sf_dir):
+    """A run over a third of the reviews, then over all: calls that are known are not made again, but for failures."""
+    run = journal.Journal(scratch_path(spark, "journal"), "run-1")
+    texts = reviews(spark, sf_dir)
+    scoring.score_resumable(texts.where("pos % 3 = 0"), RUN_MODELS, TEMPLATE, _first_run, run, RETRIES)
+    scored = scoring.score_resumable(texts, RUN_MODELS, TEMPLATE, _second_run, run, RETRIES, repeat_failures=True)
+    return rounded(scored.select("model", "pos", "success", "response", "prompt_tokens", "completion_tokens", "cost"), 10)
+
+
 @query
 def score_written(spark, sf_dir):
     scored = scoring.score(reviews(spark, sf_dir), RUN_MODELS, TEMPLATE, _count_letters, RETRIES, concurrency=16)

@@ -8,6 +8,7 @@ raises on failure. What happens around it (retries, timing, error rows) is here.
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -20,6 +21,7 @@ from replylens.functions.naming import provider_by_prefix, resolve_alias, route_
 from replylens.functions.pricing import with_cost
 from replylens.functions.text import preview, strip_provider
 from replylens.functions.tokens import Counter, count_tokens
+from replylens.operators.journal import ANSWER, Journal
 from replylens.operators.prompts import render_prompts
 
 Call = Callable[[str, str, dict], tuple]
@@ -50,10 +52,6 @@ DEFAULT_RETRIES = {
     "google": Retry(on=(Exception,)),
 }
 
-_ANSWER = (
-    "success BOOLEAN, response STRING, reported_prompt_tokens DOUBLE, "
-    "reported_completion_tokens DOUBLE, latency DOUBLE, total_time DOUBLE"
-)
 # names that a column carried along with the reviews cannot have
 _ANSWER_COLUMNS = {
     "model", "model_ord", "called_model", "provider", "review_preview", "prompt", "success", "response", "prompt_tokens",
@@ -156,8 +154,64 @@ def _with_call_id(requests: DataFrame) -> DataFrame:
     ).withColumn("refusal", F.lit(None).cast("string"))
 
 
-def _called(requests: DataFrame, call: Call, retries: dict[str, Retry] | None) -> DataFrame:
+@dataclass
+class Bucket:
+    """Lets calls pass at a steady rate; up to `burst` may come at once after a pause."""
+
+    per_second: float
+    burst: float = 1.0
+    sleep: Callable[[float], None] = time.sleep
+    clock: Callable[[], float] = time.monotonic
+
+    def __post_init__(self):
+        self.held, self.last = self.burst, self.clock()
+
+    def take(self) -> None:
+        now = self.clock()
+        self.held = min(self.burst, self.held + (now - self.last) * self.per_second) - 1
+        self.last = now
+        if self.held < 0:
+            self.sleep(-self.held / self.per_second)
+
+
+def score_resumable(
+    reviews: DataFrame,
+    models: Sequence[str],
+    template: str,
+    call: Call,
+    journal: Journal,
+    retries: dict[str, Retry] | None = None,
+    counters: Mapping[str, Counter] | None = None,
+    concurrency: int = 16,
+    rates: Mapping[str, float] | None = None,
+    repeat_failures: bool = False,
+) -> DataFrame:
+    """`score` for long runs: finished calls are recorded, and a run that is started again makes only the others.
+
+    Calls the models at once and returns the answers from the journal, so reading the result again calls nobody. A call is known
+    by run, model, position and prompt. A task that is retried goes on after the calls that its earlier attempts recorded.
+    `rates` are calls per second and provider over all tasks; each of the `concurrency` tasks keeps its share.
+    With `repeat_failures` calls whose answer was an error are made again.
+    """
+    carried = [c for c in reviews.columns if c not in ("pos", "review")]
+    if taken := sorted(set(carried) & (_ANSWER_COLUMNS | {"prompt_md5"})):
+        raise ValueError(f"columns of the reviews have names that answers use: {', '.join(taken)}")
+    spark = reviews.sparkSession
+    requests = _with_call_id(with_settings(render_prompts(reviews, models, template))).withColumn("prompt_md5", F.md5("prompt"))
+    known = journal.entries(spark).select("model", "pos", "prompt_md5", "success")
+    done = known.where("success") if repeat_failures else known
+    left = requests.join(done.drop("success"), ["model", "pos", "prompt_md5"], "left_anti").repartition(concurrency, "model", "pos")
+    shares = {provider: per_second / concurrency for provider, per_second in (rates or {}).items()}
+    _called(left, call, retries, journal, shares).write.format("noop").mode("overwrite").save()
+    answers = requests.join(journal.entries(spark), ["model", "pos", "prompt_md5"])
+    return _priced(answers, counters, carried)
+
+
+def _called(
+    requests: DataFrame, call: Call, retries: dict[str, Retry] | None, journal: Journal | None = None, rates: Mapping[str, float] | None = None
+) -> DataFrame:
     policy = {**DEFAULT_RETRIES, **(retries or {})}
+    job = uuid.uuid4().hex
 
     def guarded(model: str, prompt: str, settings: dict) -> tuple:
         if settings["refusal"]:
@@ -165,6 +219,30 @@ def _called(requests: DataFrame, call: Call, retries: dict[str, Retry] | None) -
         return call(model, prompt, settings)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        writer = journal.writer(job) if journal else None
+        buckets = {provider: Bucket(rate) for provider, rate in (rates or {}).items()}
+
+        def answer(row, settings: dict) -> dict:
+            def paced(*request) -> tuple:
+                if row.provider in buckets:
+                    buckets[row.provider].take()
+                return guarded(*request)
+
+            key = (row.model, row.pos, row.prompt_md5) if writer else None
+            if writer and key in writer.known:
+                return {name: writer.known[key][name] for name in _names}
+            found = _answer(paced, policy[row.provider], row.called_model, row.prompt, settings)
+            if writer:
+                writer.add(*key, found)
+            return found
+
+        try:
+            yield from answered(batches, answer)
+        finally:
+            if writer:
+                writer.close()
+
+    def answered(batches: Iterator[pd.DataFrame], answer: Callable) -> Iterator[pd.DataFrame]:
         for batch in batches:
             answers = []
             for row in batch.itertuples(index=False):
@@ -174,12 +252,12 @@ def _called(requests: DataFrame, call: Call, retries: dict[str, Retry] | None) -
                     max_output_tokens=row.max_output_tokens,
                     refusal=row.refusal,
                 )
-                answers.append(_answer(guarded, policy[row.provider], row.called_model, row.prompt, settings))
-            answered = pd.DataFrame(answers, index=batch.index)
-            yield pd.concat([batch, answered], axis=1) if len(batch) else batch.assign(**{c: [] for c in _names})
+                answers.append(answer(row, settings))
+            made = pd.DataFrame(answers, index=batch.index)
+            yield pd.concat([batch, made], axis=1) if len(batch) else batch.assign(**{c: [] for c in _names})
 
-    _names = [part.split()[0] for part in _ANSWER.split(", ")]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields] + [_ANSWER])
+    _names = [part.split()[0] for part in ANSWER.split(", ")]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields] + [ANSWER])
     return requests.mapInPandas(run, schema)
 
 

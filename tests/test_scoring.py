@@ -1,10 +1,13 @@
+import os
 import sys
+from collections import Counter
 
 import pytest
 from pyspark import cloudpickle
 
 from replylens.functions.tokens import tokenizer_counter
 from replylens.operators import prompts, scoring
+from replylens.operators.journal import Journal
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -117,3 +120,74 @@ def test_registry(spark):
     rows = {r.model: r for r in scoring.with_registry(df).collect()}
     assert (rows["gpt-4-32k-0613"].max_tokens, rows["gpt-4-32k-0613"].display_name) == (32768, "GPT-4")
     assert rows["gemini-9"].provider == "google" and rows["zzz"].provider is None
+
+
+class _Counted:
+    """Appends a line per call to a file, and dies at a given call."""
+
+    def __init__(self, path, dies_at=None):
+        self.path, self.dies_at = str(path), dies_at
+
+    def __call__(self, model, prompt, settings):
+        with open(self.path, "a") as log:
+            log.write(f"{model}/{prompt}\n")
+        with open(self.path) as log:
+            n = len(log.readlines())
+        if n == self.dies_at:
+            os._exit(1)  # the worker of the task is gone
+        if prompt.endswith("bad"):
+            raise RuntimeError("refused")
+        return f"{n}", 3, 4
+
+
+def _asked(path):
+    return Counter(path.read_text().splitlines())
+
+
+def test_a_killed_run_goes_on(spark, tmp_path):
+    reviews = spark.createDataFrame([(i, f"r{i}") for i in range(12)], "pos BIGINT, review STRING")
+    journal, log = Journal(str(tmp_path / "journal"), "run-1"), tmp_path / "calls"
+    models = ["gpt-4o", "claude-3-5-haiku"]
+    with pytest.raises(Exception, match="(?s)exited|crashed|EOF|Connection"):
+        scoring.score_resumable(reviews, models, "{review}", _Counted(log, dies_at=9), journal, concurrency=1)
+    answered = journal.entries(spark).count()
+    assert answered == 8
+    # the call at which the task died never ended, so it alone is made again
+    got = scoring.score_resumable(reviews, models, "{review}", _Counted(log), journal, concurrency=3)
+    assert got.count() == 24 and got.where("success").count() == 24
+    assert sorted(_asked(log).values()) == [1] * 23 + [2]
+    # reading again, and starting again, calls nobody; another prompt is another call
+    assert got.count() == 24 and scoring.score_resumable(reviews, models, "{review}", _Counted(log), journal).count() == 24
+    assert sum(_asked(log).values()) == 25
+    scoring.score_resumable(reviews.where("pos = 0"), models[:1], "again {review}", _Counted(log), journal)
+    assert sum(_asked(log).values()) == 26
+
+
+def test_failures_are_repeated_on_demand(spark, tmp_path):
+    reviews = spark.createDataFrame([(1, "bad"), (2, "good")], "pos BIGINT, review STRING")
+    journal, log = Journal(str(tmp_path / "journal"), "run", roll=1), tmp_path / "calls"
+    run = lambda **more: scoring.score_resumable(reviews, ["gpt-4o"], "{review}", _Counted(log), journal, **more)
+    assert {(r.pos, r.success) for r in run().collect()} == {(1, False), (2, True)}
+    assert run().count() == 2 and _asked(log) == {"gpt-4o/bad": 1, "gpt-4o/good": 1}
+    assert run(repeat_failures=True).count() == 2 and _asked(log) == {"gpt-4o/bad": 2, "gpt-4o/good": 1}
+    # a line that was cut off counts as a call that was not made
+    (part,) = [p for p in (tmp_path / "journal" / "run_id=run").glob("*.json") if "good" in p.read_text() or '"pos": 2' in p.read_text()]
+    part.write_text(part.read_text()[:30])
+    assert run().where("success").count() == 1 and _asked(log)["gpt-4o/good"] == 2
+
+
+def test_buckets_keep_a_rate():
+    now, slept = [0.0], []
+
+    def sleep(seconds):
+        slept.append(seconds)
+        now[0] += seconds
+
+    bucket = scoring.Bucket(2.0, burst=3, sleep=sleep, clock=lambda: now[0])
+    for _ in range(7):
+        bucket.take()
+    assert now[0] == pytest.approx(2.0) and len(slept) == 4
+    now[0] += 100
+    for _ in range(3):
+        bucket.take()
+    assert len(slept) == 4
