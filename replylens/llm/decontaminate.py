@@ -6,8 +6,9 @@ holds each window of `WINDOW` consecutive item words (an item of fewer words is
 between spaces, so a match begins and ends at words. A document is scanned once; a match is
 mapped through the words' offsets back to the original text.
 
-Items are read in blocks of bounded size, each with an automaton of its own; every document
-meets every block. Results of more than one block are merged per document.
+Items up to BLOCK_BYTES make one automaton. More items are read in blocks of that size, each with an automaton of its own; every
+document meets every block, and each block leaves only the hits of the documents that it hits. These narrow rows are merged and joined to
+the documents once; documents themselves are not written again for a block.
 
 Cases: a null or empty text has no words and no hits; an item without words never matches.
 Repeated items count once per item_id, repeated documents each for itself. Other columns are
@@ -19,6 +20,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from replylens.llm.common import stored
+from replylens.session import join_bounded
 
 WINDOW = 10
 # bytes of item texts in one automaton
@@ -105,39 +108,65 @@ def spans_of(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _BUILT: dict[str, Windows] = {}
 
 
-def _scanner(block: Broadcast, previous: bool):
-    """Function for mapInArrow: hits of one block, added to those of earlier blocks."""
+def _windows(name: str, block: Broadcast) -> Windows:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Windows(block.value)
+    return _BUILT[name]
+
+
+def _described(text: str | None, n: int, hits: list[tuple[int, int]], items: Iterable[str]) -> dict:
+    return {
+        "n_words": n,
+        "hits": [{"start": a, "end": b} for a, b in hits],
+        "items": sorted(items),
+        "spans": [{"start": a, "end": b} for a, b in spans_of(text or "", hits)],
+    }
+
+
+def _with_found(batch: pa.RecordBatch, rows: list[dict], without: int) -> pa.RecordBatch:
+    """The first columns of a batch, all but `without`, and the results."""
+    kept = batch.num_columns - without
+    return pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(rows, FOUND_ARROW)], names=[*batch.schema.names[:kept], "found"])
+
+
+def _scanner(block: Broadcast):
+    """Function for mapInArrow over rows with a text: all that one automaton finds."""
+    name = uuid.uuid4().hex
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = _windows(name, block)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            yield _with_found(batch, [_described(t, *windows.scan(t)) for t in texts], 0)
+
+    return scan
+
+
+def _hits_of(block: Broadcast):
+    """Function for mapInArrow over (key, text): the hits and items of the texts that a block hits."""
     name = uuid.uuid4().hex
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _BUILT:
-            _BUILT.clear()
-            _BUILT[name] = Windows(block.value)
-        windows = _BUILT[name]
+        windows = _windows(name, block)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            found = [windows.scan(t) for t in texts]
-            if previous:
-                earlier = batch.column(batch.schema.get_field_index("found")).to_pylist()
-                found = [
-                    (n, merged([*hits, *((h["start"], h["end"]) for h in e["hits"])]), items | set(e["items"]))
-                    for (n, hits, items), e in zip(found, earlier, strict=True)
-                ]
-            rows = [
-                {
-                    "n_words": n,
-                    "hits": [{"start": a, "end": b} for a, b in hits],
-                    "items": sorted(items),
-                    "spans": [{"start": a, "end": b} for a, b in spans_of(t or "", hits)],
-                }
-                for t, (n, hits, items) in zip(texts, found, strict=True)
-            ]
-            kept = [(f, batch.column(i)) for i, f in enumerate(batch.schema) if f.name != "found"]
-            yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(rows, FOUND_ARROW)], names=[f.name for f, _ in kept] + ["found"])
+            found = [(k, hits, items) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for _, hits, items in [windows.scan(t)] if hits]
+            keys, hits, items = ([list(c) for c in zip(*found, strict=True)]) if found else ([], [], [])
+            ranges = pa.array([[{"start": a, "end": b} for a, b in h] for h in hits], _RANGES)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), ranges, pa.array([sorted(i) for i in items], pa.list_(pa.string()))], names=["key", "hits", "items"])
 
     return scan
 
 
+def _finished(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose last two columns are the hits and items of all blocks, as results."""
+    for batch in batches:
+        rows = []
+        for text, hits, items in zip(*(batch.column(c).to_pylist() for c in ("text", "all_hits", "all_items")), strict=True):
+            rows.append(_described(text, len(words(text)), merged((h["start"], h["end"]) for h in hits or ()), items or ()))
+        yield _with_found(batch, rows, 2)
+
+
 RANGES = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 FOUND = T.StructType(
     [
@@ -166,17 +195,28 @@ def scan(docs: DataFrame, items: DataFrame, carry: list[str] | None = None, bloc
 
     `carry` names further columns of `docs` to keep.
     """
+    spark = docs.sparkSession
     current = docs.select("doc_id", "text", *(carry or []))
+    schema = T.StructType([*current.schema.fields, T.StructField("found", FOUND)])
+    dropped = [] if "text" in (carry or []) else ["text"]
     blocks = item_blocks(items, block_bytes)
-    block = next(blocks)
-    while block is not None:
-        schema = T.StructType([f for f in current.schema.fields if f.name != "found"] + [T.StructField("found", FOUND)])
-        held = docs.sparkSession.sparkContext.broadcast(block)
-        current = current.mapInArrow(_scanner(held, "found" in current.columns), schema)
-        block = next(blocks, None)
-        if block is not None:
-            current = stored(current, "contamination")
-    return current.drop("text") if "text" not in (carry or []) else current
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return current.mapInArrow(_scanner(spark.sparkContext.broadcast(first)), schema).drop(*dropped)
+    # equal rows have equal results, so they share a key
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce("text", F.lit(""))))
+    texts = docs.select(key.alias("key"), "text").where("text is not null")
+    narrow = None
+    for block in chain((first, second), blocks):
+        held = spark.sparkContext.broadcast(block)
+        found = texts.mapInArrow(_hits_of(held), T.StructType([T.StructField("key", T.StringType()), FOUND["hits"], FOUND["items"]]))
+        found = stored(found.dropDuplicates(["key"]), "contamination")
+        held.unpersist()
+        narrow = found if narrow is None else narrow.unionByName(found)
+    # a row per document and block that hits it
+    every = narrow.groupBy("key").agg(F.flatten(F.collect_list("hits")).alias("all_hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("all_items"))
+    joined = join_bounded(current.withColumn("key", key), every, ["key"], "left").select(*current.columns, "all_hits", "all_items")
+    return joined.mapInArrow(_finished, schema).drop(*dropped)
 
 
 def n_hit(found: Column) -> Column:

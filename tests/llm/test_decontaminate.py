@@ -35,7 +35,8 @@ def test_against_windows(spark, block_bytes):
     items = [(i, " ".join(chosen.choices(words, k=chosen.choice([1, 3, 10, 14])))) for i in range(8)]
     items += [(100, None), (101, "?!"), (102, "Only, one-window!"), (None, "ab c"), (0, "another text of item zero")]
     rows = [(i % 30, " ".join(chosen.choices([*words, "-", "Y."], k=chosen.randint(0, 60)))) for i in range(40)]
-    rows += [(1, None), (None, ""), (50, "ONLY one;\nwindow"), (51, "honly one windows"), (52, "Another text of item zero.")]
+    rows += [rows[0]] * 5 + [(99, "word " * 200_000 + "only one window"), (99, "")]
+    rows += [(1, None), (None, ""), (None, "c c c only one window"), (50, "ONLY one;\nwindow"), (51, "honly one windows"), (52, "Another text of item zero.")]
     docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").selectExpr("*", "1 found", "2 hits")
     table = spark.createDataFrame(items, "item_id BIGINT, text STRING")
     got = decontaminate.scan(docs, table, block_bytes=block_bytes).withColumn("n_hit", decontaminate.n_hit(decontaminate.F.col("found"))).collect()
@@ -44,6 +45,16 @@ def test_against_windows(spark, block_bytes):
     assert found == sorted((str(i), *brute(t, named)) for i, t in rows)
 
 
+def test_blocks_leave_only_hits(spark, monkeypatch):
+    kept, plain = [], decontaminate.stored
+    monkeypatch.setattr(decontaminate, "stored", lambda df, name: kept.append(plain(df, name)) or kept[-1])
+    docs = spark.range(200).selectExpr("id doc_id", "repeat('plain words ', 50) || if(id = 7, 'one two three', 'none') text", "'c' kept")
+    items = spark.createDataFrame([(i, f"one two three {'' if i == 0 else i}") for i in range(20)], "item_id BIGINT, text STRING")
+    found = decontaminate.scan(docs, items, carry=["kept"], block_bytes=40).where("size(found.hits) > 0").collect()
+    assert [(r.doc_id, r.kept, r.found["items"]) for r in found] == [(7, "c", ["0"])]
+    assert len(kept) > 4 and sum(k.count() for k in kept) == 1 and all("text" not in k.columns for k in kept)
+
+
 def test_spans_are_those_of_the_original(spark):
     item = "one two three four five six seven eight nine ten eleven"
     text = "Start: ONE, two-Three four  Five six\nseven EIGHT nine ten; eleven! end"
