@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from replylens.session import BROADCAST_ROWS, durable
+from replylens.session import BROADCAST_ROWS, durable, join_bounded
 
 # Texts per block: a tile compares at most twice the square of this.
 TEXT_BLOCK = 48
@@ -25,6 +25,8 @@ TEXT_BLOCK = 48
 BLOCK_BYTES = 4 << 20
 # Key sets per block: a tile is one matrix product of this size.
 KEY_SET_BLOCK = 1024
+# A key that at most so many sets of a group have is rare.
+RARE_SETS = 1024
 # Distinct keys held in one matrix at a time, however many a tile has.
 KEY_COLUMNS = 4096
 # Replies of a group are weighed in ranges with at most so many texts and about so many rows.
@@ -391,20 +393,55 @@ def _shared_keys(first: pd.Series, second: pd.Series) -> np.ndarray:
     return shared
 
 
-def _key_set_kernel(rows: pd.DataFrame) -> float:
-    """Weighted sum of the Jaccard index of key sets over the pairs of one tile."""
+def _class_kernel(rows: pd.DataFrame) -> float:
+    """Over the ordered pairs of classes of one tile: the Jaccard index by their frequent keys, by their numbers of replies."""
     low, high = rows["tile_low"].iat[0], rows["tile_high"].iat[0]
-    first = rows[rows["block"] == low]
-    second = rows[rows["block"] == high]
+    first, second = rows[rows["block"] == low], rows[rows["block"] == high]
     if len(first) == 0 or len(second) == 0:
         return 0.0
-    shared = _shared_keys(first["json_keys"], second["json_keys"])
-    sizes = [side["json_keys"].map(len).to_numpy(dtype=float) for side in (first, second)]
-    jaccard = shared / (sizes[0][:, None] + sizes[1][None, :] - shared)
+    shared = _shared_keys(first["pattern"], second["pattern"])
+    sizes = [side["size"].to_numpy(dtype=float) for side in (first, second)]
     copies = [side["copies"].to_numpy(dtype=float) for side in (first, second)]
-    total = float(copies[0] @ jaccard @ copies[1])
-    # On the diagonal each pair is met twice, and each reply once with itself.
-    return (total - float(copies[0].sum())) / 2 if low == high else total
+    total = float(copies[0] @ (shared / (sizes[0][:, None] + sizes[1][None, :] - shared)) @ copies[1])
+    return total if low == high else 2 * total
+
+
+def _met(rows: list[dict]) -> float:
+    """Over the pairs of sets with one rare key that share no rare key before it: what their rare keys add to the index."""
+    key = rows[0]["key"]
+    rare = pd.Series([r["rare"] for r in rows])
+    earlier = _shared_keys(*[rare.map(lambda keys: [k for k in keys if k < key])] * 2)
+    more, pattern = _shared_keys(rare, rare), pd.Series([r["pattern"] for r in rows])
+    frequent = _shared_keys(pattern, pattern)
+    size, copies = (np.array([r[c] for r in rows], float) for c in ("size", "copies"))
+    both = size[:, None] + size[None, :]
+    added = (frequent + more) / (both - frequent - more) - frequent / (both - frequent)
+    added[earlier > 0] = 0
+    np.fill_diagonal(added, 0)
+    return float(copies @ added @ copies) / 2
+
+
+def _rare_sums(keys: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sorted rows with `keys` group columns and a rare key, as one sum per group and key; a key has few rows."""
+
+    def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def done() -> pa.RecordBatch:
+            head = [pa.array([held[0][n]], schema.field(n).type) for n in schema.names[:keys]]
+            return pa.RecordBatch.from_arrays([*head, pa.array([_met(held)])], names=[*schema.names[:keys], "added"])
+
+        for batch in batches:
+            schema = batch.schema
+            for row in batch.to_pylist():
+                if held and any(row[n] != held[0][n] for n in schema.names[: keys + 1]):
+                    yield done()
+                    held = []
+                held.append(row)
+        if held:
+            yield done()
+
+    return sums
 
 
 def structure_consistency(
@@ -415,19 +452,46 @@ def structure_consistency(
     Takes rows with `json_keys`, one per reply or, with `replies` naming a count
     column, one per distinct set of a stored table. Rows without keys are ignored; groups with
     fewer than two JSON replies get 0.
+
+    Keys are told apart by the number of sets that have them. By frequent keys alone the index of two sets depends on which of these they
+    have and on their sizes, so it is summed over classes of sets that agree in both. A rare key lists its
+    sets, at most RARE_SETS, and what rare keys add to the index of a pair is counted at the first one that both share. Sets
+    without a common key never meet.
     """
     group = list(keys)
     weight = F.col(replies) if replies else F.lit(1)
-    present = key_sets.filter(F.col("json_keys").isNotNull())
-    sets = present.groupBy(*group, "json_keys").agg(F.sum(weight).alias("copies"))
-    if not replies:  # counted sets come from a stored table, replies would be parsed twice
-        sets = durable(sets)
-    sizes = durable(
-        sets.groupBy(*group).agg(F.sum("copies").alias("_n"), _blocks(F.count(F.lit(1)), KEY_SET_BLOCK))
+    present = key_sets.filter(F.col("json_keys").isNotNull()).withColumn("json_keys", F.array_sort(F.array_distinct("json_keys")))
+    sets = durable(present.groupBy(*group, "json_keys").agg(F.sum(weight).alias("copies")))
+    listed = sets.select(*group, "json_keys", F.explode("json_keys").alias("key"))
+    spread = listed.groupBy(*group, "key").agg(F.count(F.lit(1)).alias("_sets")).where("_sets > 1")
+    spread = durable(spread.select(*group, "key", (F.col("_sets") > RARE_SETS).alias("frequent")))
+
+    # each set with its frequent keys, and those rare ones that another set has as well
+    told = join_bounded(listed, spread, [*group, "key"]).groupBy(*group, "json_keys").agg(
+        F.array_sort(F.collect_list(F.when(F.col("frequent"), F.col("key")))).alias("pattern"),
+        F.array_sort(F.collect_list(F.when(~F.col("frequent"), F.col("key")))).alias("rare"),
     )
-    sums = _tile_sums(sets, sizes, group, F.xxhash64("json_keys"), _key_set_kernel)
-    mean = F.coalesce(F.try_divide("pair_sum", _pair_count(F.col("_n"))), F.lit(0.0))
-    return sizes.join(sums, group).select(*group, mean.alias("json_structure_consistency"))
+    none = F.lit([]).cast("array<string>")
+    split = durable(
+        sets.join(told, [*group, "json_keys"], "left")
+        .select(*group, F.size("json_keys").alias("size"), "copies", F.coalesce("pattern", none).alias("pattern"), F.coalesce("rare", none).alias("rare"))
+    )
+    copies = F.col("copies").cast("double")
+    own = F.sum(copies * copies * F.size("pattern") / (2 * F.col("size") - F.size("pattern")))
+    same = F.sum(copies * (copies - 1) / 2)
+    totals = durable(split.groupBy(*group).agg(F.sum("copies").alias("_n"), own.alias("_own"), same.alias("_same")))
+    classes = durable(split.groupBy(*group, "pattern", "size").agg(F.sum("copies").alias("copies")).where(F.size("pattern") > 0))
+    sizes = durable(classes.groupBy(*group).agg(_blocks(F.count(F.lit(1)), KEY_SET_BLOCK)))
+    by_class = _tile_sums(classes, sizes, group, F.xxhash64("pattern", "size"), _class_kernel)
+
+    postings = split.where(F.size("rare") > 0).select(*group, F.explode("rare").alias("key"), "size", "copies", "pattern", "rare")
+    in_order = postings.repartition(*group, "key").sortWithinPartitions(*group, "key")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in split.select(*group).schema.fields)
+    added = in_order.mapInArrow(_rare_sums(len(group)), f"{kinds}, added double").groupBy(*group).agg(F.sum("added").alias("added"))
+    joined = totals.join(by_class, group, "left").join(added, group, "left").fillna(0.0, ["pair_sum", "added"])
+    total = F.col("_same") + (F.col("pair_sum") - F.col("_own")) / 2 + F.col("added")
+    mean = F.coalesce(F.try_divide(total, _pair_count(F.col("_n"))), F.lit(0.0))
+    return joined.select(*group, mean.alias("json_structure_consistency"))
 
 
 def pair_counts(replies: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:

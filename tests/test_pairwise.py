@@ -37,6 +37,7 @@ def small_blocks(monkeypatch):
     monkeypatch.setattr(pairwise, "PART_GROUPS", 2)
     monkeypatch.setattr(pairwise, "KEY_SET_BLOCK", 2)
     monkeypatch.setattr(pairwise, "KEY_COLUMNS", 2)
+    monkeypatch.setattr(pairwise, "RARE_SETS", 6)
 
 
 def check_texts(spark, rows):
@@ -164,6 +165,26 @@ def test_key_sets_against_pairs(spark, small_blocks):
     check_keys(spark, rows + [("one", ["a"])])
 
 
+@pytest.mark.parametrize("rare", [0, 3, 1000])
+def test_frequent_and_rare_keys(spark, monkeypatch, rare):
+    monkeypatch.setattr(pairwise, "RARE_SETS", rare)
+    names = ["all", "most"] + [f"k{i}" for i in range(40)]
+    rows = []
+    for i in range(150):
+        keys = {"all"} | ({"most"} if chosen.random() < 0.7 else set()) | set(chosen.sample(names[2:], chosen.randint(0, 4)))
+        rows.append((f"m{i % 2}", chosen.sample(sorted(keys), len(keys)) if i % 9 else ["alone", f"x{i}"]))
+    check_keys(spark, rows + [("other", ["a"]), ("other", ["b"]), ("other", [])][:2])
+
+
+def test_very_many_key_sets(spark):
+    """100,000 sets {all, i, i + 1}: neighbours share two keys of four, others one of five."""
+    n = 100_000
+    sets = spark.range(n).selectExpr("'m' model", "array('all', concat('k', id), concat('k', id + 1)) json_keys")
+    pairs = n * (n - 1) / 2
+    want = ((n - 1) * 2 / 4 + (pairs - n + 1) / 5) / pairs
+    assert pairwise.structure_consistency(sets).first()[1] == pytest.approx(want, rel=1e-12)
+
+
 def test_golden_key_sets(spark):
     check_keys(spark, [("m", ["a"]), ("m", ["a"]), ("m", ["a", "b"])])
 
