@@ -276,6 +276,17 @@ ORACLES: dict[str, str] = {
           CAST(r.output AS DOUBLE) AS output, count(*) AS calls
           FROM log l JOIN resolved r ON l.model = r.model GROUP BY ALL""",
     ),
+    "price_table_resolution": with_ctes(
+        REQ, PRICE,
+        """asked AS (SELECT model, replace(model, 'openai:', '') AS id, CAST(pos % 2 AS INT) AS version FROM req)""",
+        """ranked AS (SELECT m.*, p.key, p.input, CASE WHEN p.key = m.id THEN 'exact' WHEN starts_with(m.id, p.key) OR starts_with(p.key, m.base) THEN 'prefix'
+            ELSE 'default' END AS how, row_number() OVER (PARTITION BY m.id, m.version ORDER BY CASE WHEN p.key = m.id THEN 0
+            WHEN starts_with(m.id, p.key) OR starts_with(p.key, m.base) THEN 1 WHEN p.key = 'gpt-3.5-turbo' THEN 2 ELSE 3 END,
+            CASE m.version WHEN 0 THEN p.ord ELSE -p.ord END) AS choice
+          FROM (SELECT DISTINCT id, version, array_to_string(string_split(id, '-')[1:2], '-') AS base FROM asked) m, price p)""",
+        select="""SELECT a.model, a.version, r.key, r.how AS price_source, CAST(r.input AS DOUBLE) AS input, count(*) AS calls
+          FROM asked a JOIN ranked r ON r.id = a.id AND r.version = a.version AND r.choice = 1 GROUP BY ALL""",
+    ),
     "cost_flat": with_ctes(*COSTED, select="SELECT pos, round(cost, 10) AS cost FROM priced WHERE thr IS NULL"),
     "cost_tiered": with_ctes(*COSTED, select="SELECT pos, round(cost, 10) AS cost FROM priced WHERE thr IS NOT NULL"),
     # literal values, so that a wrong price list does not pass unseen: USD per million tokens, beyond 200,000 tokens the last two

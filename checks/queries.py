@@ -17,6 +17,7 @@ from replylens.functions.jsonx import structure_score, with_json
 from replylens.functions.naming import provider_by_prefix, resolve_alias, route_provider
 from replylens.functions.pricing import price_of, with_cost
 from replylens.functions.tokens import count_tokens, tokenizer_counter
+from replylens.operators import prices as price_tables
 from replylens.operators import browse, cleaning, journal, numbering, pairwise, prompts, ranking, sampling, scoring, stats
 from replylens.plans import report
 from replylens.plans.evaluate import evaluate, evaluate_run
@@ -72,6 +73,16 @@ def price_resolution(spark, sf_dir):
     )
 
 
+@query
+def price_table_resolution(spark, sf_dir):
+    """Requests under all kinds of names, with two versions of the price list as a table."""
+    table = price_tables.price_table(spark)
+    both = table.withColumn("version", F.lit(0)).unionByName(table.withColumns({"version": F.lit(1), "ord": -F.col("ord")}))
+    asked = bind(spark, sf_dir, REQUESTS).withColumn("version", (F.col("pos") % 2).cast("int"))
+    priced = price_tables.with_price_from(asked, both, ["version"])
+    return priced.groupBy("model", "version", "price.key", "price.price_source", "price.input").agg(F.count(F.lit(1)).alias("calls"))
+
+
 @query
 def cost_flat(spark, sf_dir):
     log = run_log(spark, sf_dir).filter(F.col("price.tier_threshold").isNull())

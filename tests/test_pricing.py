@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from replylens.functions.pricing import price_of, with_cost
+from replylens.operators import prices
 
 RESOLVED = [
     ("gpt-4o", "gpt-4o", "exact"),
@@ -64,3 +65,42 @@ def test_lookup_needs_no_shuffle(spark):
     df = spark.range(10).select(F.lit("o1").alias("model"), F.lit(1).alias("prompt_tokens"), F.lit(1).alias("completion_tokens"))
     plan = with_cost(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan and "from_json" not in plan
+
+
+def test_prices_from_a_table(spark):
+    df = spark.createDataFrame([*RESOLVED, ("openai:gpt-4o", "gpt-4o", "exact"), (None, "gpt-3.5-turbo", "default")], "model STRING, want STRING, how STRING")
+    got = prices.with_price_from(df, prices.price_table(spark)).collect()
+    assert len(got) == len(RESOLVED) + 2
+    assert [(r.model, r.price.key, r.price.price_source) for r in got if (r.price.key, r.price.price_source) != (r.want, r.how)] == []
+    costs = spark.createDataFrame(COSTS, "model STRING, prompt_tokens BIGINT, completion_tokens BIGINT, want DOUBLE")
+    for row in prices.with_cost_from(costs, prices.price_table(spark)).collect():
+        assert row.cost == pytest.approx(row.want, abs=1e-12)
+
+
+def test_versions_of_a_price_list(spark):
+    table = prices.price_table(spark)
+    both = table.withColumn("version", F.lit(1)).unionByName(
+        table.where("key <> 'gpt-4'").withColumns({"version": F.lit(2), "input": F.col("input") * 2})
+    )
+    log = spark.createDataFrame([("gpt-4-turbo", 1), ("gpt-4-turbo", 2), ("zzz", 2), ("zzz", 3)], "model STRING, version INT")
+    got = {(r.model, r.version): r.price and (r.price.key, r.price.input) for r in prices.with_price_from(log, both, ["version"]).collect()}
+    assert got == {("gpt-4-turbo", 1): ("gpt-4", 30.0), ("gpt-4-turbo", 2): ("gpt-4-0613", 60.0), ("zzz", 2): ("gpt-3.5-turbo", 1.0), ("zzz", 3): None}
+
+
+def test_large_price_tables_need_no_nested_loop(spark):
+    n = 100_000
+    table = spark.range(n).selectExpr(
+        "cast(id as int) ord", "concat('m', id) key", "1D input", "1D output", "cast(null as bigint) tier_threshold", "0D tier2_input", "0D tier2_output"
+    )
+    log = spark.range(0, n, 97).selectExpr("if(id % 2 = 0, concat('m', id), concat('m', id, 'x-1-2')) model", "id")
+    priced = prices.with_price_from(log, table)
+    plan = priced._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = {r.model: (r.price.key, r.price.price_source) if r.price else None for r in priced.collect()}
+    for model, found in got.items():
+        digits = model[1:].split("x")[0]
+        if "x" in model:
+            # the first key that starts the id, or starts with its first two parts, which none does
+            assert found == (min((f"m{digits[:i]}" for i in range(1, len(digits) + 1)), key=lambda k: int(k[1:])), "prefix")
+        else:
+            assert found == (model, "exact")
