@@ -319,6 +319,9 @@ ORACLES: dict[str, str] = {
     "evaluate_metrics": with_ctes(
         *EVALUATED, select=f"SELECT model, model_ord, {rounded(BASIC_COLUMNS + JSON_COLUMNS)} FROM evaluation"
     ),
+    "running_evaluation": with_ctes(
+        *EVALUATED, select=f"SELECT model, model_ord, {rounded(BASIC_COLUMNS + tuple(c for c in JSON_COLUMNS if c != 'format_consistency'))} FROM evaluation"
+    ),
     "evaluate_all": with_ctes(
         *EVALUATED, select=f"SELECT model, model_ord, {rounded(BASIC_COLUMNS + JSON_COLUMNS)} FROM evaluation"
     ),

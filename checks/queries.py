@@ -117,6 +117,16 @@ def running_stats(spark, sf_dir):
     return rounded(spark.read.parquet(out))
 
 
+@query
+def running_evaluation(spark, sf_dir):
+    """The metrics of a log that arrives in files, after the last of them."""
+    path, out, state = (scratch_path(spark, n) for n in ("responses", "metrics", "state"))
+    bind(spark, sf_dir, RUN_LOG).repartition(3, "pos").write.parquet(path)
+    stream = live_stats.read_responses(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
+    live_stats.write_evaluation(live_stats.running_evaluation(stream, expected_keys=DEFAULT_REPLY_KEYS), out, state).awaitTermination()
+    return rounded(live_stats.latest_evaluation(spark, out))
+
+
 @query
 def eval_basic(spark, sf_dir):
     return rounded(stats.eval_basic(run_log(spark, sf_dir)))

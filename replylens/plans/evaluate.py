@@ -44,6 +44,29 @@ def evaluate(
     return evaluate_run(log, keys, expected_keys, policy)[0]
 
 
+def key_set_sums(
+    log: DataFrame, keys: Sequence[str] = ("model",), expected_keys: Sequence[str] | None = None, policy: str = "record"
+) -> DataFrame:
+    """Every sum behind the metrics but the text consistency, per group and key set `_set`; for batches and streams alike."""
+    priced = log if "cost" in log.columns else with_cost(log)
+    parsed = with_json(priced.withColumn("usable", usable(priced, policy)))
+    counted = run_stat_sums() if "success" in log.columns else []
+    return (
+        parsed.withColumn("_set", F.when(F.col("usable"), F.col("json_keys")))
+        .groupBy(*keys, "_set")
+        .agg(*eval_sums(True, expected_keys), *[c.alias(f"run_{n}") for c, n in zip(counted, RUN_SUMS, strict=False)])
+    )
+
+
+def metrics_of(by_key_set: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
+    """The metrics that follow from the sums per key set, which are read twice."""
+    group = list(keys)
+    rolled = by_key_set.groupBy(*group).agg(F.min("model_ord").alias("model_ord"), *[F.sum(c).alias(c) for c in _SUMS])
+    sets = by_key_set.select(*group, F.col("_set").alias("json_keys"), "n")
+    metrics = finish_eval(rolled, group, True).join(structure_consistency(sets, group, replies="n"), group, "left")
+    return metrics.fillna(0.0, ["json_structure_consistency"])
+
+
 def evaluate_run(
     log: DataFrame,
     keys: Sequence[str] = ("model",),
@@ -58,29 +81,12 @@ def evaluate_run(
     already runs passes over the log.
     """
     group = list(keys)
-    priced = log if "cost" in log.columns else with_cost(log)
-    flagged = priced.withColumn("usable", usable(priced, policy))
-    parsed = with_json(flagged)
-    key_set = F.when(F.col("usable"), F.col("json_keys"))
-    counted = run_stat_sums() if "success" in log.columns else []
-    by_key_set = durable(
-        parsed.withColumn("_set", key_set)
-        .groupBy(*group, "_set")
-        .agg(*eval_sums(True, expected_keys), *[c.alias(f"run_{n}") for c, n in zip(counted, RUN_SUMS, strict=False)])
-    )
-    rolled = by_key_set.groupBy(*group).agg(
-        F.min("model_ord").alias("model_ord"), *[F.sum(c).alias(c) for c in _SUMS]
-    )
-    metrics = finish_eval(rolled, group, True)
-    structure = structure_consistency(
-        by_key_set.select(*group, F.col("_set").alias("json_keys"), "n"), group, replies="n"
-    )
-    # One row per model on either side from here on.
-    metrics = metrics.join(structure, group, "left")
-    metrics = metrics.join(format_consistency(flagged.filter("usable"), group), group, "left")
-    complete = metrics.fillna(0.0, ["json_structure_consistency", "format_consistency"])
+    by_key_set = durable(key_set_sums(log, group, expected_keys, policy))
+    texts = format_consistency(log.withColumn("usable", usable(log, policy)).filter("usable"), group)
+    # one row per model on either side
+    complete = metrics_of(by_key_set, group).join(texts, group, "left").fillna(0.0, ["format_consistency"])
     evaluation = durable(complete.select(*group, "model_ord", *EVALUATION_METRICS))
-    if not counted:
+    if "success" not in log.columns:
         return evaluation, None
     sums = by_key_set.groupBy(*group).agg(*[F.sum(f"run_{n}").alias(n) for n in RUN_SUMS])
     return evaluation, finish_run_stats(sums, group)

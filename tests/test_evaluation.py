@@ -155,3 +155,20 @@ def test_stream_matches_batch(spark, log, tmp_path):
         live_stats.write_stats(stream, out, str(tmp_path / "state")).awaitTermination()
     key = lambda r: r.model
     assert sorted(spark.read.parquet(out).collect(), key=key) == sorted(stats.run_stats(log).collect(), key=key)
+
+
+def test_metrics_follow_every_file_of_a_run(spark, tmp_path):
+    path, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    replies = ['{"a": 1}', '{"a": 1, "b": 2}', '{"b": 0}', "text", "[1]", '{"c": {}}', "Error: x"]
+    rows = [(f"m{i % 2}", i % 2, i, i % 7 != 6, replies[i % 7], float(i), float(2 * i), 0.5) for i in range(60)]
+    columns = "model STRING, model_ord INT, pos BIGINT, success BOOLEAN, response STRING, prompt_tokens DOUBLE, completion_tokens DOUBLE, latency DOUBLE"
+    done = []
+    for part in (rows[:13], rows[13:40], rows[40:]):
+        log = spark.createDataFrame(part, columns).coalesce(1)
+        log.write.mode("append").parquet(path)
+        done += part
+        stream = live_stats.running_evaluation(live_stats.read_responses(spark, path, log.schema, 1), expected_keys=["a", "z"])
+        live_stats.write_evaluation(stream, out, state).awaitTermination()
+        got = {r.model: r.asDict() for r in live_stats.latest_evaluation(spark, out).collect()}
+        want = evaluate(spark.createDataFrame(done, columns), expected_keys=["a", "z"]).drop("format_consistency")
+        assert got == {r.model: pytest.approx(r.asDict()) for r in want.collect()}
