@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -358,8 +359,13 @@ def read_staged(spark: SparkSession, path: str, run_id: str) -> DataFrame:
 
 
 def read_report(spark: SparkSession, path: str, report_name: str) -> DataFrame:
-    """A stored report by name, as it was written; only its partition is read. An unknown name is an error."""
-    stored = spark.read.parquet(path).filter(F.col("report_name") == F.lit(report_name))
-    if stored.isEmpty():
+    """The last complete version of a stored report, as it was written; only its partition is read. An unknown name is an error."""
+    root = path.rstrip("/")
+    try:
+        manifest = spark.read.schema("report_name STRING, version STRING").parquet(f"{root}/manifest/*")
+    except AnalysisException as missing:
+        raise FileNotFoundError(f"no reports at {path}") from missing
+    version = manifest.filter(F.col("report_name") == F.lit(report_name)).agg(F.max("version")).first()[0]
+    if version is None:
         raise FileNotFoundError(f"no report named {report_name}")
-    return stored
+    return spark.read.parquet(f"{root}/versions/{version}").filter(F.col("report_name") == F.lit(report_name))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,10 +40,18 @@ def write_responses(responses: DataFrame, path: str) -> DataFrame:
     return responses.sparkSession.read.schema(responses.schema).parquet(path)
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """Keep report documents with their schema, one partition per name; a name written again is replaced."""
-    writer = report.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("report_name").parquet(path)
+def write_report(report: DataFrame, path: str) -> str:
+    """Keep report documents with their schema below `path`; a name written again has a new version. Returns the version.
+
+    Each write has a folder of its own and is listed in the manifest once it is complete, by one file. So
+    several writers do not meet, and a reader sees whole reports only.
+    """
+    version = f"{datetime.now(UTC):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex}"
+    folder = f"{path.rstrip('/')}/versions/{version}"
+    report.write.partitionBy("report_name").parquet(folder)
+    names = report.sparkSession.read.parquet(folder).select("report_name").distinct()
+    names.select(F.col("report_name").cast("string"), F.lit(version).alias("version")).coalesce(1).write.parquet(f"{path.rstrip('/')}/manifest/{version}")
+    return version
 
 
 def export_report(report: DataFrame, path: str) -> None:

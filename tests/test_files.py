@@ -1,3 +1,4 @@
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 import pytest
@@ -180,3 +181,18 @@ def test_missing_report(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).first().report_name == "r1"
     with pytest.raises(FileNotFoundError):
         readers.read_report(spark, path, "r2")
+
+
+def test_writers_at_the_same_time_leave_whole_reports(spark, tmp_path):
+    path = str(tmp_path / "reports")
+    with pytest.raises(FileNotFoundError):
+        readers.read_report(spark, path, "r")
+    documents = [spark.range(40).selectExpr("'r' report_name", f"{w} writer", "id line").repartition(4) for w in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda d: sinks.write_report(d, path), documents))
+    rows = readers.read_report(spark, path, "r").collect()
+    assert len(rows) == 40 and {r.line for r in rows} == set(range(40))
+    assert {r.writer for r in rows} == {versions.index(max(versions))}
+    # a write that did not end is not seen
+    documents[0].write.partitionBy("report_name").parquet(f"{path}/versions/9")
+    assert readers.read_report(spark, path, "r").count() == 40
