@@ -229,15 +229,13 @@ def _rooted(named: DataFrame) -> DataFrame:
 def survivors(docs: DataFrame) -> DataFrame:
     """(doc_id, row): of each class the row of `docs` with the smallest doc_id, then the smallest number `row`.
 
-    Rows without a doc_id are not dropped for those with one: of them a class keeps the smallest `row`, too.
+    A row without a doc_id stays only if no row of its class has one.
     """
     chosen = docs.select(F.col("doc_id").cast("bigint"), "text", "row")
     prints = chosen.mapInArrow(_fingerprints, "doc_id bigint, fp bigint, row bigint")
-    with_id = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))
-    without = F.when(F.col("doc_id").isNull(), F.struct("doc_id", "row"))
-    named = stored(prints.groupBy("fp").agg(F.min(with_id).alias("named"), F.min(without).alias("nameless")), "fingerprint-rows")
-    lowest = _rooted(named).groupBy("root").agg(F.min("named").alias("named"), F.min("nameless").alias("nameless"))
-    return lowest.select(F.explode(F.array("named", "nameless")).alias("kept")).where("kept is not null").select("kept.*")
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
+    named = stored(prints.groupBy("fp").agg(F.min(first).alias("kept")), "fingerprint-rows")
+    return _rooted(named).groupBy("root").agg(F.min("kept").alias("kept")).select("kept.doc_id", "kept.row")
 
 
 def classes(docs: DataFrame) -> DataFrame:
