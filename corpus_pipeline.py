@@ -30,11 +30,13 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked fingerprints the document with the smallest doc_id, and one of those without a doc_id.
+    """Of each class of linked fingerprints the document with the smallest doc_id; one without a doc_id if none has one.
 
     Of rows that share the smallest doc_id, the one whose columns have the smallest hash stays.
     """
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # a hash skips nulls, so it takes in which columns are null
+    row = F.xxhash64(*columns, *[c.isNull() for c in columns])
     whole = docs.select("doc_id", "text", row.alias("row"), whole_row(docs).alias("doc"))
     first = stored(simhash.survivors(whole), "kept-documents").toDF("kept_id", "kept_row")
     same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("row") == F.col("kept_row"))
