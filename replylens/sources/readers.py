@@ -302,7 +302,7 @@ def is_allowed(path: str) -> bool:
 def read_reviews(spark: SparkSession, path: str, column: str | None = None, whole_files: bool = True) -> DataFrame:
     """Reviews of a file, by extension; a chosen column or a detected one.
 
-    `whole_files=False` splits large files, whose cells must not hold line breaks then.
+    Delimited files are split if they are large; with `whole_files=False` so are plain texts, and cells must not hold line breaks then.
     """
     kind = extension(path)
     if kind == "txt":
