@@ -16,8 +16,10 @@ import csv
 import io
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,9 +120,14 @@ class _Lines:
 
     def _rows(self) -> Iterator[tuple[tuple, bytes, bool]]:
         for batch in self.batches:
-            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for source, block, value, valid, *more in zip(*columns, strict=True):
-                yield (source, block, *more), value, valid
+            values, valid = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            keys = [batch.column(i) for i in range(batch.num_columns) if i not in (2, 3)]
+            # most batches lie in one split, whose key is made once
+            if len(values) and all(pc.all(pc.equal(k, k[0])).as_py() for k in keys[:2]):
+                key = tuple(k[0].as_py() for k in keys)
+                yield from zip(repeat(key), values, valid)
+            else:
+                yield from zip(zip(*[k.to_pylist() for k in keys], strict=True), values, valid, strict=True)
 
 
 SUMMARY = pa.schema(
