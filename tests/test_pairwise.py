@@ -3,6 +3,7 @@ from collections import defaultdict
 from difflib import SequenceMatcher
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
@@ -198,3 +199,22 @@ def test_weighted_key_sets(spark):
 def test_pair_counts(spark):
     rows = pairwise.pair_counts(spark.range(7).selectExpr("'m' model", "id pos")).collect()
     assert [tuple(r) for r in rows] == [("m", 7, 21)]
+
+
+@pytest.mark.parametrize("most", [1 << 17, 3000])
+def test_pairs_are_compared_together_as_difflib_does(monkeypatch, most):
+    made = []
+    monkeypatch.setattr(pairwise, "SequenceMatcher", lambda *given: made.append(given) or SequenceMatcher(*given))
+    monkeypatch.setattr(pairwise, "POINTS", most)
+    monkeypatch.setattr(pairwise, "FEW_PAIRS", 0)
+    seed = random.Random(7)
+    texts = ["", "x", "\U0001f600a" * 130, "ab" * 50]
+    texts += ["".join(seed.choice("ab cdé" if n % 2 else "abcdefghijklmnop ") for _ in range(seed.choice([40, 199, 200, 600]))) for n in range(6)]
+    texts += [t[3:90] + "q" + t[80:] for t in texts[-4:]]
+    wanted = [[i != j and seed.random() < 0.8 for j in range(len(texts))] for i in range(len(texts))]
+    got = pairwise.ratios(texts, np.array(wanted))
+    for i, first in enumerate(texts):
+        for j, second in enumerate(texts):
+            assert got[i, j] == (SequenceMatcher(None, first, second).ratio() if wanted[i][j] else 0)
+    # one pair at a time only where it has too many points to be held with others
+    assert bool(made) == (most < 1 << 17)
