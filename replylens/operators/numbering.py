@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from replylens.session import durable, join_bounded
 
-# A group of at most so many rows is sorted in one task.
+# A group of at most so many rows is sorted in one task,
 GROUP_ROWS = 1_000_000
+# or of so many with texts.
+WIDE_ROWS = 20_000
+_WIDE = ("string", "binary", "array", "map", "struct", "variant")
 # Rows of a group are pruned in so many parts before they are numbered.
 PRUNING_PARTS = 64
 
@@ -48,18 +51,21 @@ def number_rows(
 ) -> DataFrame:
     """Number rows 1..n per group in order of `pos` (one or more columns), optionally with n itself.
 
-    Groups are counted first, unless it is known how many rows they have at `most`. Up to GROUP_ROWS rows a group is sorted in one task by `row_number()`. Beyond that a task
+    Groups are counted first, unless it is known how many rows they have at `most`. Up to GROUP_ROWS rows a group is sorted in one task by `row_number()`, or up to
+    WIDE_ROWS if rows have texts or lists besides their place. Beyond that a task
     would have to sort too much: then the places alone, without the other columns, are sorted by ranges and numbered,
     and the rows get their numbers by a join on group and place. Only if places repeat
     in a group whole rows are sorted by ranges and kept.
     """
     group = list(keys)
     place = [pos] if isinstance(pos, str) else list(pos)
+    wide = any(f.dataType.typeName() in _WIDE for f in df.schema.fields if f.name not in (*group, *place))
+    allowed = min(GROUP_ROWS, WIDE_ROWS) if wide else GROUP_ROWS
     if most is None:
         most = df.count()
-        if most > GROUP_ROWS and group:
+        if most > allowed and group:
             most = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    if most <= GROUP_ROWS:
+    if most <= allowed:
         whole = Window.partitionBy(*group)
         numbered = df.withColumn(name, F.row_number().over(whole.orderBy(*place)).cast("bigint"))
         return numbered.withColumn(total, F.count(F.lit(1)).over(whole)) if total else numbered
