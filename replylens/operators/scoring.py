@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from replylens import dims
 from replylens.functions.naming import provider_by_prefix, resolve_alias, route_provider
 from replylens.functions.pricing import with_cost
-from replylens.functions.text import preview, strip_provider
+from replylens.functions.text import preview, render_prompt, strip_provider
 from replylens.functions.tokens import Counter, count_tokens
 from replylens.operators.journal import ANSWER, Journal
-from replylens.operators.prompts import render_prompts
+from replylens.operators.prompts import check_run, fan_out, render_prompts
 
 Call = Callable[[str, str, dict], tuple]
 
@@ -123,10 +123,16 @@ def score(
     carried = [c for c in reviews.columns if c not in ("pos", "review")]
     if taken := sorted(set(carried) & _ANSWER_COLUMNS):
         raise ValueError(f"columns of the reviews have names that answers use: {', '.join(taken)}")
-    requests = with_settings(render_prompts(reviews, models, template))
+    check_run(models, template)
+    asked = fan_out(reviews, models)
     if concurrency:
-        requests = requests.repartition(concurrency, "model", "pos")
-    return _priced(_called(_with_call_id(requests), call, retries), counters, carried)
+        asked = asked.repartition(concurrency, "model", "pos")
+    return _priced(_called(_requests(asked, template), call, retries), counters, carried)
+
+
+def _requests(asked: DataFrame, template: str) -> DataFrame:
+    """Reviews with their models as requests; prompts are made last, so that no shuffle carries them."""
+    return _with_call_id(with_settings(asked.withColumn("prompt", render_prompt(template, F.col("review")))))
 
 
 def score_prompt(

@@ -191,3 +191,17 @@ def test_buckets_keep_a_rate():
     for _ in range(3):
         bucket.take()
     assert len(slept) == 4
+
+
+def test_prompts_are_made_after_the_shuffle(spark):
+    df = scoring.score(reviews(spark, "a", "b"), ["gpt-4o"], "Rate {review}", answer, FAST, concurrency=3)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    repartition = plan.index("RepartitionByExpression")
+    assert "replace(" in plan[:repartition].lower() and "replace(" not in plan[repartition:].lower()
+    assert {r.prompt for r in df.collect()} == {"Rate a", "Rate b"}
+
+
+def test_batches_for_python_are_bounded_in_bytes(spark):
+    longest = spark.range(400, numPartitions=1).selectExpr("repeat('x', 100000) text")
+    sizes = longest.mapInArrow(lambda batches: (b.__class__.from_arrays([[b.nbytes]], names=["n"]) for b in batches), "n long")
+    assert max(r.n for r in sizes.collect()) < 8 << 20
