@@ -200,17 +200,23 @@ def score_resumable(
     With `repeat_failures` calls whose answer was an error are made again.
     """
     carried = [c for c in reviews.columns if c not in ("pos", "review")]
-    if taken := sorted(set(carried) & (_ANSWER_COLUMNS | {"prompt_md5"})):
+    if taken := sorted(set(carried) & (_ANSWER_COLUMNS | {"prompt_md5", "review_md5"})):
         raise ValueError(f"columns of the reviews have names that answers use: {', '.join(taken)}")
     spark = reviews.sparkSession
-    requests = _with_call_id(with_settings(render_prompts(reviews, models, template))).withColumn("prompt_md5", F.md5("prompt"))
-    known = journal.entries(spark).select("model", "pos", "prompt_md5", "success")
+    check_run(models, template)
+    # what is compared with the journal are keys without texts; reviews are joined with what is left of them
+    named = reviews.withColumn("review_md5", F.md5("review"))
+    keys = render_prompts(named, models, template).withColumn("prompt_md5", F.md5("prompt"))
+    call_key, review_key = ["model", "pos", "prompt_md5"], ["pos", "review_md5"]
+    keys = keys.select("model", "model_ord", "pos", "review_md5", "prompt_md5").dropDuplicates(call_key)
+    known = journal.entries(spark).select(*call_key, "success")
     done = known.where("success") if repeat_failures else known
-    left = requests.join(done.drop("success"), ["model", "pos", "prompt_md5"], "left_anti").repartition(concurrency, "model", "pos")
+    left = keys.join(done.drop("success"), call_key, "left_anti")
+    asked = named.join(left, review_key).repartition(concurrency, "model", "pos")
     shares = {provider: per_second / concurrency for provider, per_second in (rates or {}).items()}
-    _called(left, call, retries, journal, shares).write.format("noop").mode("overwrite").save()
-    answers = requests.join(journal.entries(spark), ["model", "pos", "prompt_md5"])
-    return _priced(answers, counters, carried)
+    _called(_requests(asked, template), call, retries, journal, shares).write.format("noop").mode("overwrite").save()
+    answers = named.join(keys.join(journal.entries(spark), call_key), review_key)
+    return _priced(_requests(answers, template), counters, carried)
 
 
 def _called(

@@ -205,3 +205,19 @@ def test_batches_for_python_are_bounded_in_bytes(spark):
     longest = spark.range(400, numPartitions=1).selectExpr("repeat('x', 100000) text")
     sizes = longest.mapInArrow(lambda batches: (b.__class__.from_arrays([[b.nbytes]], names=["n"]) for b in batches), "n long")
     assert max(r.n for r in sizes.collect()) < 8 << 20
+
+
+def test_a_resumed_run_joins_keys_without_texts(spark, tmp_path):
+    rows = [(0, "a"), (1, "b"), (1, "b"), (1, "c"), (2, "")]
+    asked = spark.createDataFrame(rows, "pos BIGINT, review STRING")
+    journal, log = Journal(str(tmp_path / "journal"), "run"), tmp_path / "calls"
+    models = ["gpt-4o", "claude-3-5-haiku"]
+    scoring.score_resumable(asked.where("pos = 0"), models, "Rate {review}", _Counted(log), journal, concurrency=2)
+    got = scoring.score_resumable(asked, models, "Rate {review}", _Counted(log), journal, concurrency=2)
+    # equal reviews at one position have an answer each
+    assert Counter((r.model, r.pos, r.review, r.prompt) for r in got.collect()) == Counter((m, p, t, f"Rate {t}") for m in models for p, t in rows)
+    assert _asked(log)["gpt-4o/Rate a"] == 1
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning(model" in line]
+    assert shuffled and "prompt_md5" in shuffled[0]
+    assert plan.index("Rate {review}") < plan.index("Exchange")
