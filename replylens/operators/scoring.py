@@ -23,6 +23,7 @@ from replylens.functions.text import preview, render_prompt, strip_provider
 from replylens.functions.tokens import Counter, count_tokens
 from replylens.operators.journal import ANSWER, Journal
 from replylens.operators.prompts import check_run, fan_out, render_prompts
+from replylens.session import durable
 
 Call = Callable[[str, str, dict], tuple]
 
@@ -52,6 +53,9 @@ DEFAULT_RETRIES = {
     "google": Retry(on=(Exception,)),
 }
 
+# so many reviews per task keep all tasks about equally busy
+REVIEWS_A_TASK = 32
+
 # names that a column carried along with the reviews cannot have
 _ANSWER_COLUMNS = {
     "model", "model_ord", "called_model", "provider", "review_preview", "prompt", "success", "response", "prompt_tokens",
@@ -211,8 +215,12 @@ def score_resumable(
     keys = keys.select("model", "model_ord", "pos", "review_md5", "prompt_md5").dropDuplicates(call_key)
     known = journal.entries(spark).select(*call_key, "success")
     done = known.where("success") if repeat_failures else known
-    left = keys.join(done.drop("success"), call_key, "left_anti")
-    asked = named.join(left, review_key).repartition(concurrency, "model", "pos")
+    left = durable(keys.join(done.drop("success"), call_key, "left_anti"))
+    # reviews are dealt to the tasks as they are joined, but for few of them, whose models are dealt as well
+    if left.select(*review_key).distinct().limit(REVIEWS_A_TASK * concurrency).count() < REVIEWS_A_TASK * concurrency:
+        asked = named.join(left, review_key).repartition(concurrency, "model", "pos")
+    else:
+        asked = named.repartition(concurrency, *review_key).join(left.repartition(concurrency, *review_key), review_key)
     shares = {provider: per_second / concurrency for provider, per_second in (rates or {}).items()}
     _called(_requests(asked, template), call, retries, journal, shares).write.format("noop").mode("overwrite").save()
     answers = named.join(keys.join(journal.entries(spark), call_key), review_key)

@@ -207,7 +207,9 @@ def test_batches_for_python_are_bounded_in_bytes(spark):
     assert max(r.n for r in sizes.collect()) < 8 << 20
 
 
-def test_a_resumed_run_joins_keys_without_texts(spark, tmp_path):
+@pytest.mark.parametrize("a_task", [1, 32])
+def test_a_resumed_run_joins_keys_without_texts(spark, tmp_path, monkeypatch, a_task):
+    monkeypatch.setattr(scoring, "REVIEWS_A_TASK", a_task, raising=False)
     rows = [(0, "a"), (1, "b"), (1, "b"), (1, "c"), (2, "")]
     asked = spark.createDataFrame(rows, "pos BIGINT, review STRING")
     journal, log = Journal(str(tmp_path / "journal"), "run"), tmp_path / "calls"
