@@ -128,9 +128,13 @@ def score(
     if taken := sorted(set(carried) & _ANSWER_COLUMNS):
         raise ValueError(f"columns of the reviews have names that answers use: {', '.join(taken)}")
     check_run(models, template)
-    asked = fan_out(reviews, models)
-    if concurrency:
-        asked = asked.repartition(concurrency, "model", "pos")
+    # reviews are dealt to the tasks once for all models, but for few of them, whose models are dealt as well
+    if concurrency and reviews.limit(REVIEWS_A_TASK * concurrency).count() == REVIEWS_A_TASK * concurrency:
+        asked = fan_out(reviews.repartition(concurrency, "pos", "review"), models)
+    elif concurrency:
+        asked = fan_out(reviews, models).repartition(concurrency, "model", "pos")
+    else:
+        asked = fan_out(reviews, models)
     return _priced(_called(_requests(asked, template), call, retries), counters, carried)
 
 

@@ -201,6 +201,14 @@ def test_prompts_are_made_after_the_shuffle(spark):
     assert {r.prompt for r in df.collect()} == {"Rate a", "Rate b"}
 
 
+def test_many_reviews_are_dealt_once_for_all_models(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "REVIEWS_A_TASK", 1, raising=False)
+    df = scoring.score(reviews(spark, "a", "b", "c", "d"), ["gpt-4o", "gpt4o"], "Rate {review}", answer, FAST, concurrency=3)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("RepartitionByExpression")
+    assert Counter((r.model, r.prompt) for r in df.collect()) == Counter((m, f"Rate {t}") for m in ("gpt-4o", "gpt4o") for t in "abcd")
+
+
 def test_batches_for_python_are_bounded_in_bytes(spark):
     longest = spark.range(400, numPartitions=1).selectExpr("repeat('x', 100000) text")
     sizes = longest.mapInArrow(lambda batches: (b.__class__.from_arrays([[b.nbytes]], names=["n"]) for b in batches), "n long")
