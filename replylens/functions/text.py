@@ -18,13 +18,19 @@ def strip_blank(text: Column) -> Column:
     return F.trim(text, F.lit(_BLANKS))
 
 
+def strip_leading(text: Column) -> Column:
+    """Without the blanks before it. It looks at these alone, where `strip_blank` walks the whole text."""
+    return F.ltrim(text, F.lit(_BLANKS))
+
+
 def is_header_like(text: Column, rule: str | None) -> Column:
     """Rows that are a leftover header: `prefix:word`, `equals:word` or no rule."""
     if rule is None:
         return F.lit(False)
     kind, word = rule.split(":", 1)
     if kind == "prefix":
-        return F.lower(text).startswith(word)
+        # each character has at least one in lower case, so no more than these can matter
+        return F.lower(F.substring(text, 1, len(word))).startswith(word)
     if kind == "equals":
         return F.lower(text) == F.lit(word)
     raise ValueError(f"unknown header rule: {rule}")

@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replylens.functions.text import is_header_like, strip_blank
+from replylens.functions.text import is_header_like, strip_blank, strip_leading
 from replylens.operators.cleaning import (
     EQUALS_RULE,
     PREFIX_RULE,
@@ -161,7 +161,7 @@ def read_cells(spark: SparkSession, path: str | list[str], multi_line: bool = Tr
 
 
 def _usable(cell: Column) -> Column:
-    return (strip_blank(cell) != "") & ~is_header_like(strip_blank(cell), PREFIX_RULE)
+    return (strip_leading(cell) != "") & ~is_header_like(strip_leading(cell), PREFIX_RULE)
 
 
 def _first_usable(cells: str = "cells") -> Column:
@@ -253,19 +253,20 @@ def csv_with_fallbacks(spark: SparkSession, path: str | list[str], multi_line: b
     rows = join_bounded(table.rows(), heads, ["source"])
 
     def usable(cell: Column) -> Column:
-        text = strip_blank(not_missing(cell))
-        return F.when((text != "") & ~is_header_like(text, PREFIX_RULE), text)
+        present = not_missing(cell)
+        return F.when(_usable(present), present)
 
     named = F.when(F.col("pos") > F.col("first"), usable(F.get("cells", F.col("place"))))
     final, last = usable(F.get("cells", F.col("width") - 1)), F.element_at("cells", -1)
-    seen = rows.groupBy("source").agg(
+    found = rows.select("*", named.alias("named"), final.isNotNull().alias("has_final"), _usable(last).alias("has_last"))
+    seen = found.groupBy("source").agg(
         *[F.first(c).alias(c) for c in ("first", "width", "widest", "top_width", "refused", "place")],
         F.max(F.size("cells")).alias("most"),
-        F.count(named).alias("n_named"),
-        F.count(final).alias("n_final"),
-        F.count_if(_usable(last)).alias("n_last"),
-        F.min(F.when(named.isNotNull(), F.col("pos"))).alias("p_named"),
-        F.min(F.when(is_quoted(named), F.col("pos"))).alias("p_quoted"),
+        F.count("named").alias("n_named"),
+        F.count_if("has_final").alias("n_final"),
+        F.count_if("has_last").alias("n_last"),
+        F.min(F.when(F.col("named").isNotNull(), F.col("pos"))).alias("p_named"),
+        F.min(F.when(strip_leading(F.col("named")).startswith('"') & is_quoted(strip_blank(F.col("named"))), F.col("pos"))).alias("p_quoted"),
     )
     whole = ~F.col("refused")
     way = (
@@ -282,8 +283,8 @@ def csv_with_fallbacks(spark: SparkSession, path: str | list[str], multi_line: b
         ways = durable(ways.join(by_line.select("source").distinct(), "source", "left_anti"))
     kept = join_bounded(table.rows(), ways, ["source"])
     review = (
-        F.when(F.col("way") == HEADED, F.when(F.col("quoted"), without_quotes(named)).otherwise(named))
-        .when(F.col("way") == HEADLESS, final)
+        F.when(F.col("way") == HEADED, F.when(F.col("quoted"), without_quotes(strip_blank(named))).otherwise(strip_blank(named)))
+        .when(F.col("way") == HEADLESS, strip_blank(final))
         .when(F.col("way") == BY_LAST, F.when(_usable(last), last))
         .otherwise(_first_usable())
     )
