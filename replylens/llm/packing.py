@@ -15,10 +15,12 @@ other than doc_id and text are not read unless carried by name.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -26,6 +28,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 from replylens.llm.common import stored
 
@@ -48,6 +52,12 @@ KIND[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = MA
 KIND[[9, 10, 11, 12, 13, 32]] = BLANK
 # what special tokens begin with
 SPECIAL = b"<|"
+# words of small letters, ASCII or Latin-1: they are as they are in normal form and in lower case
+LOWER = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+# byte-level tokenizers write a byte as the character of its number, but for these of the second bytes
+BYTE_CHARACTERS = {0x9F: 0x141, 0xA0: 0x142, 0xAD: 0x143}
+# such words on which the short way to their ids is tried: every letter, common words and none
+PROBE = "abcdefghijklmnopqrstuvwxyz zyxwvutsrqponmlkjihgfedcba ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ the quick brown fox jumps over lazy dogs s t re qxzv été ñesezrr"
 
 
 def words_of(texts: list[bytes]) -> list[list[bytes]]:
@@ -88,33 +98,45 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # words of LOWER letters need no normalizing, are split at spaces and come as characters for bytes; any other goes the whole way
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer, self.plain.pre_tokenizer = None, CharDelimiterSplit(" ")
+        probe = PROBE.encode().split()
+        self.short = self._letters(probe, False) == self._letters(probe, True) != []
         # words in use, and those that were before the last change of generation
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, missing: list[bytes]) -> None:
-        decoded = [w.decode() for w in missing]
-        # a word of letters ends with the first id that ends a word
-        plain = [(w, t) for w, t in zip(missing, decoded, strict=True) if t.isalpha()]
-        for low in range(0, len(plain), 4096):
-            part = plain[low : low + 4096]
-            ids = self._encode(" ".join(t for _, t in part))
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part):
-                data, starts = ids.tobytes(), [0, *(4 * cuts[:-1]).tolist()]
-                self.cache.update((w, data[a:b]) for (w, _), a, b in zip(part, starts, (4 * cuts).tolist(), strict=True))
-        for word, text in zip(missing, decoded, strict=True):
+    def _encode(self, text: str, tokenizer: Tokenizer | None = None) -> np.ndarray:
+        return np.array((tokenizer or self.tokenizer).encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _letters(self, words: list[bytes], short: bool) -> list[bytes]:
+        """The ids of words of letters, each of which ends with the first id that ends a word; nothing if these are not as many."""
+        text = b" ".join(words)
+        if short:
+            ids = self._encode(text.decode("latin-1").translate(BYTE_CHARACTERS), self.plain)
+        else:
+            ids = self._encode(text.decode())
+        cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)] if len(cuts) == len(words) else []
+
+    def _learn(self, missing: set[bytes]) -> None:
+        lower = [w for w in missing if w.isalpha() or LOWER.fullmatch(w)] if self.short else []
+        for low in range(0, len(lower), 256):
+            part = lower[low : low + 256]
+            self.cache.update(zip(part, self._letters(part, True), strict=False))
+        rest = [w for w in missing if w not in self.cache and w.decode().isalpha()]
+        for low in range(0, len(rest), 256):
+            part = rest[low : low + 256]
+            self.cache.update(zip(part, self._letters(part, False), strict=False))
+        for word in missing:
             if word not in self.cache:
-                self.cache[word] = self._encode(text).tobytes()
+                self.cache[word] = self._encode(word.decode()).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
@@ -122,15 +144,24 @@ class WordTokenizer:
             return []
         whole = {i for i, t in enumerate(texts) if SPECIAL in t}
         split = words_of([b"" if i in whole else t for i, t in enumerate(texts)])
-        used = set().union(*split)
         if len(self.cache) > CACHE_WORDS:
             self.cache, self.older = {}, self.cache
-        missing = used.difference(self.cache)
-        self.cache.update((w, self.older[w]) for w in missing.intersection(self.older))
-        if missing := missing.difference(self.older):
-            self._learn(sorted(missing))
-        known = self.cache.__getitem__
-        return [self._encode(t.decode()).tobytes() if i in whole else b"".join(map(known, w)) for i, (t, w) in enumerate(zip(texts, split, strict=True))]
+        words = list(chain.from_iterable(split))
+        ids = list(map(self.cache.get, words))
+        gaps = [i for i, found in enumerate(ids) if found is None]
+        if gaps:
+            missing = {words[i] for i in gaps}
+            if self.older:
+                self.cache.update((w, self.older[w]) for w in missing if w in self.older)
+                missing.difference_update(self.cache)
+            self._learn(missing)
+            for i in gaps:
+                ids[i] = self.cache[words[i]]
+        ends = list(accumulate(map(len, split)))
+        out = [b"".join(ids[low:high]) for low, high in zip([0, *ends[:-1]], ends, strict=True)]
+        for i in whole:
+            out[i] = self._encode(texts[i].decode()).tobytes()
+        return out
 
 
 @cache
