@@ -218,3 +218,33 @@ def test_pairs_are_compared_together_as_difflib_does(monkeypatch, most):
             assert got[i, j] == (SequenceMatcher(None, first, second).ratio() if wanted[i][j] else 0)
     # one pair at a time only where it has too many points to be held with others
     assert bool(made) == (most < 1 << 17)
+
+
+def uneven(seed, n):
+    """A text of a few frequent characters and many that are rare."""
+    return "".join(seed.choice("etaoin  ") if seed.random() < 0.9 else seed.choice("bcdfghjklmpqrsuvwxyzBCDFGHJKL.,;") for _ in range(n))
+
+
+def test_points_are_listed_for_rows_of_characters_only(monkeypatch):
+    seed, listed, runs = random.Random(11), [], pairwise._Matches._runs
+    monkeypatch.setattr(pairwise._Matches, "_runs", lambda self, i, *more: listed.append(len(i)) or runs(self, i, *more))
+    texts = [uneven(seed, seed.randint(250, 900)) for _ in range(16)]
+    pairs = list(combinations(range(len(texts)), 2))
+    got = pairwise.ratios(texts, np.triu(np.ones((16, 16), bool), 1))
+    assert {p: got[p] for p in pairs} == {(i, j): SequenceMatcher(None, texts[i], texts[j]).ratio() for i, j in pairs}
+    places = [SequenceMatcher(None, "", text).b2j for text in texts]
+    single = sum(len(places[j].get(c, ())) for i, j in pairs for c in texts[i])
+    assert sum(listed) < single / 5
+
+
+@pytest.mark.parametrize("limits", [{}, {"CELLS": 0}, {"CELLS": 30_000}, {"COLUMNS": 3}, {"ROW_CELLS": 1}, {"POINTS": 700}], ids=str)
+def test_limits_of_the_arrays_do_not_change_ratios(monkeypatch, limits):
+    for name, value in ({"FEW_PAIRS": 0} | limits).items():
+        monkeypatch.setattr(pairwise, name, value)
+    seed = random.Random(13)
+    texts = ["", "e", "\U0001f600", "éte" * 20] + [uneven(seed, seed.choice([30, 199, 200, 450])) for _ in range(10)]
+    texts += [t[5:150] + "中" + t[100:] for t in texts[-5:]]
+    wanted = ~np.eye(len(texts), dtype=bool)
+    got = pairwise.ratios(texts, wanted)
+    for i, j in np.argwhere(wanted).tolist():
+        assert got[i, j] == SequenceMatcher(None, texts[i], texts[j]).ratio()
